@@ -185,21 +185,22 @@ MATCH = "array<struct<item_id: long, similarity: double, first_word: long, n_wor
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "matches", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` with an array column ``out`` of the benchmark items that each text contains."""
-    found = []
-    for index in _blocks(benchmark, item_col, item_text_col):
-
-        @F.pandas_udf(MATCH)
-        def apply(texts: pd.Series, index: ItemIndex = index) -> pd.Series:
-            rows = []
-            for _, data, offsets in row_chunks(pa.array(texts, pa.large_string())):
-                for own in index.rows(words_in(data, offsets, split_punctuation=True)):
-                    rows.append([dict(zip(("item_id", "similarity", "first_word", "n_words"), m)) for m in own])
-            return pd.Series(rows, dtype=object)
-
-        found.append(apply(text_or_empty(text_col)))
+    found = [_matcher(index)(text_or_empty(text_col)) for index in _blocks(benchmark, item_col, item_text_col)]
     return docs.withColumn(out, F.concat(*found) if len(found) > 1 else found[0])
 
 
+def _matcher(index: ItemIndex):
+    @F.pandas_udf(MATCH)
+    def apply(texts: pd.Series) -> pd.Series:
+        rows = []
+        for _, data, offsets in row_chunks(pa.array(texts, pa.large_string())):
+            for own in index.rows(words_in(data, offsets, split_punctuation=True)):
+                rows.append([dict(zip(("item_id", "similarity", "first_word", "n_words"), m)) for m in own])
+        return pd.Series(rows, dtype=object)
+
+    return apply
+
+
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its id, the items it contains in order, their number, the best similarity and contaminated."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
