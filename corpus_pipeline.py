@@ -1,13 +1,68 @@
-"""The corpus pipeline: five stages over documents, each written and read again."""
+"""The corpus pipeline: five stages over documents, each written and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the
+last return the columns of documents; where a stage rewrites texts, n_chars follows. Rows with a
+null doc_id pass the stages that compare documents unchanged.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperlume.llm import bpe, decontamination, ngram_join, quality, substring_dedup
+from paperlume.llm._spark import shared_folder, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the attention classifier does not reject."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.with_score(docs, model, out="__score").where(F.col("__score") >= 0.5).select(docs.columns)
+
+
+def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    return ngram_join.keep_one_per_group(docs)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the paragraphs that another document has already."""
+    rewritten = substring_dedup.remove_repeats(docs)
+    return rewritten.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids (little-endian 32 bits), how many, and whether they decode to the text."""
+    encoded = bpe.decode(bpe.encode(docs, out="ids_le"), ids_col="ids_le", out="__decoded")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return encoded.select(*docs.columns, "ids_le", (F.octet_length("ids_le") / 4).cast("long").alias("n_tokens"), (F.col("__decoded") == text).alias("lossless"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", one_per_group),
+    ("substring_dedup", drop_repeats),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
+
+#: Trained models and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each stage's rows written to the shared folder and read back."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -18,19 +18,24 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, cutting its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, shared by the cluster.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a single-process local
-    session without that setting gets a temporary folder of its own.
+    Only a single-process local session without that setting gets a temporary folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not (context.master == "local" or context.master.startswith("local[")):
                 raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
             atexit.register(shutil.rmtree, folder, True)
         context.setCheckpointDir(folder)
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back, cutting its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

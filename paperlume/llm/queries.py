@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontamination, quality, token_count, toxicity
+from . import ann_scan, bpe, chat_format, decontamination, gated_lm, ngram_join, quality, substring_dedup, token_count, toxicity
 from ._spark import table
 
 
@@ -15,6 +15,14 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(turns))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -24,10 +32,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_ann_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_scan.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -39,9 +55,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_ngram_join": op3_ngram_join,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
+    "op6_gated_lm": op6_gated_lm,
     "op7_token_counts": op7_token_counts,
+    "op8_ann_scan": op8_ann_scan,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
