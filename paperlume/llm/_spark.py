@@ -39,3 +39,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, cutting its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of two longs that a task may hold as one table: about 64 MB.
+BROADCAST_ROWS = 4_000_000
+
+
+def join_ids(df: DataFrame, ids: DataFrame, key: str, how: str, weight: Column | None = None) -> DataFrame:
+    """Join wide rows with a narrow checkpointed table, without a shuffle of the wide rows where its size allows.
+
+    ``ids`` is counted (or its ``weight`` summed); up to ``BROADCAST_ROWS`` it is broadcast, beyond
+    that both sides are shuffled by key.
+    """
+    size = ids.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    return df.join(F.broadcast(ids) if size <= BROADCAST_ROWS else ids, key, how)

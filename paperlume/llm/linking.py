@@ -1,10 +1,11 @@
 """From lists of sets that may be similar to groups of sets that are, without all pairs of a list.
 
-A list holds the nodes that share a key. First every node of a list is compared with the list's
-least node, its lead; in a list of copies of one text that already ties all of them together.
-Then only lists that still hold nodes of different components are looked at again, and only pairs
-across components. So each candidate pair is compared, or its nodes are known to be connected:
-components are those of all candidate pairs, while a list of n connected nodes costs n comparisons.
+A list holds the nodes that share a key. In each round one node of a list, its lead, is compared
+with those nodes of the list that are not yet connected with it; in a list of near copies of one
+text the first rounds tie nearly all of them together. Lists whose nodes are all connected are
+done. Once few pairs are left, or after ``ROUNDS`` rounds, all pairs of a list across components
+are compared. So each candidate pair is compared, or its nodes are known to be connected:
+components are those of all candidate pairs, while a list of n similar nodes costs n comparisons.
 
 A comparison first bounds the overlap from above by the parities of hashed bits: each differing
 bit of two such bitmaps needs an element that only one set has. What passes is verified by the
@@ -24,6 +25,8 @@ from ._spark import checkpointed
 from .components import components
 
 BITS = 512
+#: Rounds with leads, and the pairs per row up to which all pairs across components are compared at once.
+ROUNDS, FEW = 8, 6
 
 
 def parity_bits(tokens: np.ndarray) -> np.ndarray:
@@ -79,25 +82,46 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def shared_lists(postings: DataFrame) -> DataFrame:
-    """(key, node, lead) of the lists that hold at least two nodes; repeated rows count once."""
-    leads = postings.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
-    return checkpointed(postings.join(leads.select("key", "lead"), "key").select("key", "node", "lead").distinct())
+    """(key, node) of the lists that hold at least two nodes; repeated rows count once."""
+    several = postings.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    return checkpointed(postings.join(several.select("key"), "key").select("key", "node").distinct())
 
 
 def connect(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the nodes that have a similar node in one of their lists."""
-    tried = lists.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    edges = checkpointed(similar_pairs(tried, sets, percent))
-    known = checkpointed(components(edges))
-    placed = lists.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
-    rest = checkpointed(placed.join(mixed.select("key"), "key").distinct())
-    other = rest.select("key", F.col("node").alias("b"), F.col("c").alias("d"))
-    across = rest.withColumnRenamed("node", "a").join(other, "key").where("a < b AND c <> d").select("a", "b").distinct()
-    more = similar_pairs(across.join(tried, ["a", "b"], "left_anti"), sets, percent)
-    more = checkpointed(more)
-    if more.isEmpty():
-        return known
-    # Components found so far stand for their nodes.
-    kept = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return components(kept.unionByName(more))
+    placed = lists.withColumn("c", F.col("node"))
+    known: DataFrame | None = None
+    for turn in range(ROUNDS + 1):
+        if known is not None:
+            placed = placed.drop("c").join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        mixed = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("held")).where("least < most")
+        placed = checkpointed(placed.join(mixed.select("key", "held"), "key").drop("held"))
+        rows, square = placed.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+        if not rows:
+            break
+        last = turn == ROUNDS or square <= FEW * rows
+        pairs = _across(placed) if last else _with_leads(placed, turn)
+        edges = similar_pairs(pairs, sets, percent)
+        if known is not None:
+            # Components found so far stand for their nodes.
+            edges = edges.unionByName(known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        known = checkpointed(components(edges))
+        if last:
+            break
+    return known if known is not None else lists.sparkSession.createDataFrame([], "node long, component long")
+
+
+def _with_leads(placed: DataFrame, turn: int) -> DataFrame:
+    """The lead of each list with the list's nodes of other components.
+
+    The order that makes a lead is one for all lists, so the many lists of one group agree on few.
+    """
+    leads = placed.groupBy("key").agg(F.min_by(F.struct("node", "c"), F.xxhash64(F.lit(turn), "node")).alias("lead"))
+    pairs = placed.join(leads, "key").where(F.col("c") != F.col("lead.c"))
+    return pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+
+
+def _across(placed: DataFrame) -> DataFrame:
+    """All pairs of a list that lie in different components."""
+    other = placed.select("key", F.col("node").alias("b"), F.col("c").alias("d"))
+    return placed.withColumnRenamed("node", "a").join(other, "key").where("a < b AND c <> d").select("a", "b").distinct()

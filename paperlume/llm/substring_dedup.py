@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed, text_or_empty
+from ._spark import checkpointed, join_ids, text_or_empty
 from .linking import connect, list_column, parity_bits, shared_lists
 from .ngram_join import node_of
 from .words import Words, mix, row_chunks, words_in
@@ -105,7 +105,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, size: int = SIZE, perce
     nodes = checkpointed(found.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")))
     lists = shared_lists(found.select(F.explode("keys").alias("key"), "node"))
     wanted = lists.select("node").distinct().join(nodes, "node").groupBy(F.col("first.id").alias("id")).agg(F.collect_set("first.line").alias("lines"))
-    sets = checkpointed(_sets(rows.join(wanted, "id"), min_words, size).dropDuplicates(["node"]))
+    picked = join_ids(rows, checkpointed(wanted), "id", "inner", F.size("lines"))
+    sets = checkpointed(_sets(picked, min_words, size).dropDuplicates(["node"]))
     linked = connect(lists, sets, percent)
     named = checkpointed(nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
     groups = named.groupBy("component").agg(F.min("first").alias("kept"), F.sum("copies").alias("members")).where("members > 1")
@@ -119,5 +120,5 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     """``docs`` without the paragraphs that repeat an earlier one; no row is dropped."""
     lines = repeats(docs, min_words, id_col=id_col, text_col=text_col).where("removed").groupBy(id_col).agg(F.collect_set("line").alias("__lines"))
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda _, at: ~F.array_contains("__lines", at)), "\n")
-    marked = docs.join(lines, id_col, "left")
+    marked = join_ids(docs, checkpointed(lines), id_col, "left", F.size("__lines"))
     return marked.withColumn(text_col, F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
