@@ -1,11 +1,11 @@
 """From lists of sets that may be similar to groups of sets that are, without all pairs of a list.
 
-A list holds the nodes that share a key. In each round one node of a list, its lead, is compared
-with those nodes of the list that are not yet connected with it; in a list of near copies of one
-text the first rounds tie nearly all of them together. Lists whose nodes are all connected are
-done. Once few pairs are left, or after ``ROUNDS`` rounds, all pairs of a list across components
-are compared. So each candidate pair is compared, or its nodes are known to be connected:
-components are those of all candidate pairs, while a list of n similar nodes costs n comparisons.
+A list holds the nodes that share a key. In each of a few rounds one node of a list, its lead, is
+compared with those nodes of the list that are not yet connected with it; in a list of copies of
+one text that ties nearly all of them together. Lists whose nodes are all connected are done.
+After that all pairs of a list across components are compared, in tiles of blocks of nodes. So
+each candidate pair is compared, or its nodes are known to be connected: components are those of
+all candidate pairs, while a list of n copies costs n comparisons.
 
 A comparison first bounds the overlap from above by the parities of hashed bits: each differing
 bit of two such bitmaps needs an element that only one set has. What passes is verified by the
@@ -25,8 +25,10 @@ from ._spark import checkpointed
 from .components import components
 
 BITS = 512
-#: Rounds with leads, and the pairs per row up to which all pairs across components are compared at once.
-ROUNDS, FEW = 8, 6
+#: Rounds with leads, and the pairs per row up to which they are left out.
+ROUNDS, FEW = 2, 6
+#: Nodes of a block of a list; a task compares two blocks at a time.
+TILE = 512
 
 
 def parity_bits(tokens: np.ndarray) -> np.ndarray:
@@ -81,6 +83,13 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "a_tokens", "b_tokens").mapInArrow(verify, "a long, b long")
 
 
+def linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """The nodes that may have a similar set: at most (1 - t) of their elements occur in no other set."""
+    alone = sets.select(F.explode("tokens").alias("token"), "node").groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    counted = sets.select("node", "n").join(alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "node", "left")
+    return checkpointed(counted.where(100 * F.coalesce("alone", F.lit(0)) <= (100 - percent) * F.col("n")).select("node"))
+
+
 def shared_lists(postings: DataFrame) -> DataFrame:
     """(key, node) of the lists that hold at least two nodes; repeated rows count once."""
     several = postings.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
@@ -100,7 +109,7 @@ def connect(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if not rows:
             break
         last = turn == ROUNDS or square <= FEW * rows
-        pairs = _across(placed) if last else _with_leads(placed, turn)
+        pairs = _across(placed, sets, percent) if last else _with_leads(placed, turn)
         edges = similar_pairs(pairs, sets, percent)
         if known is not None:
             # Components found so far stand for their nodes.
@@ -121,7 +130,48 @@ def _with_leads(placed: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
 
-def _across(placed: DataFrame) -> DataFrame:
-    """All pairs of a list that lie in different components."""
-    other = placed.select("key", F.col("node").alias("b"), F.col("c").alias("d"))
-    return placed.withColumnRenamed("node", "a").join(other, "key").where("a < b AND c <> d").select("a", "b").distinct()
+def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list in different components whose bitmaps do not rule them out.
+
+    Lists are cut into blocks by a hash of the node and pairs of blocks are tiles, so a task holds
+    two blocks at a time; only pairs that pass the bound become rows.
+    """
+    blocks = placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    rows = placed.join(sets.select("node", F.col("n").alias("size"), "bits"), "node").join(blocks, "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "c", "size", "bits")
+    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[np.ndarray] = []
+        for batch in batches:
+            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+            own.append(batch.column(7).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, BITS // 64))
+            own = [np.concatenate(x) for x in zip(left, own)] if left else own
+            starts = np.flatnonzero(np.r_[True, (np.diff(own[0]) != 0) | (np.diff(own[1]) != 0) | (np.diff(own[2]) != 0)])
+            yield _pairs_of([own[k][: starts[-1]] for k in range(8)], starts, percent)
+            left = [x[starts[-1] :] for x in own]
+        if left:
+            yield _pairs_of(left, np.array([0, len(left[0])]), percent)
+
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _pairs_of(columns: list[np.ndarray], starts: np.ndarray, percent: int) -> pa.RecordBatch:
+    """The pairs of the tiles that begin at all but the last of ``starts``."""
+    _, lo, hi, block, node, c, size, bits = columns
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start, stop in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        x = y = np.arange(start, stop)
+        if lo[start] != hi[start]:
+            x, y = x[block[x] == lo[start]], y[block[y] == hi[start]]
+        both = size[x][:, None] + size[y][None]
+        differing = np.bitwise_count(bits[x][:, None] ^ bits[y][None]).sum(2, dtype=np.int64)
+        near = ((both - differing) * (100 + percent) >= 2 * percent * both) & (c[x][:, None] != c[y][None]) & ((lo[start] != hi[start]) | (x[:, None] < y[None]))
+        i, j = np.nonzero(near)
+        first.append(node[x[i]])
+        second.append(node[y[j]])
+    a, b = np.concatenate(first), np.concatenate(second)
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import checkpointed, join_ids, text_or_empty
-from .linking import connect, list_column, parity_bits, shared_lists
+from .linking import connect, linkable, list_column, parity_bits, shared_lists
 from .words import mix, row_chunks, words_in
 
 SIZE, PERCENT = 4, 85
@@ -153,6 +153,8 @@ def join_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_co
     wanted = checkpointed(open_nodes.where("first_id IS NOT NULL").select(F.col("first_id").alias("id")).distinct())
     picked = join_ids(rows, wanted, "id", "left_semi")
     sets = checkpointed(_full_sets(picked, size).dropDuplicates(["node"]))
+    # Among the candidates all elements are counted.
+    sets = join_ids(sets, linkable(sets, percent), "node", "left_semi")
     found = connect(shared_lists(tile_keys(sets, percent)), sets, percent)
     placed = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = checkpointed(placed.select("node", "component", "first_id", "copies"))

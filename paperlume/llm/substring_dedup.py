@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import checkpointed, join_ids, text_or_empty
-from .linking import connect, list_column, parity_bits, shared_lists
+from .linking import connect, linkable, list_column, parity_bits, shared_lists
 from .ngram_join import node_of
 from .words import Words, mix, row_chunks, words_in
 
@@ -107,7 +107,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, size: int = SIZE, perce
     wanted = lists.select("node").distinct().join(nodes, "node").groupBy(F.col("first.id").alias("id")).agg(F.collect_set("first.line").alias("lines"))
     picked = join_ids(rows, checkpointed(wanted), "id", "inner", F.size("lines"))
     sets = checkpointed(_sets(picked, min_words, size).dropDuplicates(["node"]))
-    linked = connect(lists, sets, percent)
+    linked = connect(join_ids(lists, linkable(sets, percent), "node", "left_semi"), sets, percent)
     named = checkpointed(nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
     groups = named.groupBy("component").agg(F.min("first").alias("kept"), F.sum("copies").alias("members")).where("members > 1")
     by_node = named.select("node", "component").join(groups, "component").select("node", "kept")
