@@ -28,7 +28,7 @@ BITS = 512
 #: Rounds with leads, and the pairs per row up to which they are left out.
 ROUNDS, FEW = 2, 6
 #: Nodes of a block of a list; a task compares two blocks at a time.
-TILE = 512
+TILE, LOW = 512, 16
 
 
 def parity_bits(tokens: np.ndarray) -> np.ndarray:
@@ -58,15 +58,16 @@ def _may_reach(percent: int) -> Column:
     return (both - differing) * (100 + percent) >= 2 * percent * both
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int, bounded: bool = False) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have 100 * intersection >= percent * union.
 
-    ``sets`` has node, n (its size), bits (its parities) and tokens (its sorted array), one row a node.
+    ``sets`` has node, n (its size), bits (its parities) and tokens (its sorted array), one row a node. ``bounded`` pairs have passed the bound already.
     """
-    for side in ("a", "b"):
+    for side in () if bounded else ("a", "b"):
         light = sets.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits"))
         pairs = pairs.join(light, side)
-    pairs = pairs.where(_may_reach(percent)).select("a", "b")
+    if not bounded:
+        pairs = pairs.where(_may_reach(percent)).select("a", "b")
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("tokens").alias(f"{side}_tokens")), side)
 
@@ -110,7 +111,7 @@ def connect(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             break
         last = turn == ROUNDS or square <= FEW * rows
         pairs = _across(placed, sets, percent) if last else _with_leads(placed, turn)
-        edges = similar_pairs(pairs, sets, percent)
+        edges = similar_pairs(pairs, sets, percent, bounded=last)
         if known is not None:
             # Components found so far stand for their nodes.
             edges = edges.unionByName(known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
@@ -137,10 +138,14 @@ def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     two blocks at a time; only pairs that pass the bound become rows.
     """
     blocks = placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
-    rows = placed.join(sets.select("node", F.col("n").alias("size"), "bits"), "node").join(blocks, "key")
+    # Of the lists that a pair shares, the one with the least key reports it, as far as LOW keys show.
+    low = placed.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOW).alias("low"))
+    low = low.withColumn("low", F.concat("low", F.array_repeat(F.lit((1 << 63) - 1), F.lit(LOW) - F.size("low"))))
+    described = sets.select("node", F.col("n").alias("size"), "bits").join(low, "node")
+    rows = placed.join(described, "node").join(blocks, "key")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "c", "size", "bits")
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "c", "size", "bits", "low")
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +153,10 @@ def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
             own.append(batch.column(7).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, BITS // 64))
+            own.append(batch.column(8).flatten().to_numpy(zero_copy_only=False).reshape(-1, LOW))
             own = [np.concatenate(x) for x in zip(left, own)] if left else own
             starts = np.flatnonzero(np.r_[True, (np.diff(own[0]) != 0) | (np.diff(own[1]) != 0) | (np.diff(own[2]) != 0)])
-            yield _pairs_of([own[k][: starts[-1]] for k in range(8)], starts, percent)
+            yield _pairs_of([own[k][: starts[-1]] for k in range(9)], starts, percent)
             left = [x[starts[-1] :] for x in own]
         if left:
             yield _pairs_of(left, np.array([0, len(left[0])]), percent)
@@ -160,7 +166,7 @@ def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _pairs_of(columns: list[np.ndarray], starts: np.ndarray, percent: int) -> pa.RecordBatch:
     """The pairs of the tiles that begin at all but the last of ``starts``."""
-    _, lo, hi, block, node, c, size, bits = columns
+    key, lo, hi, block, node, c, size, bits, low = columns
     first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for start, stop in zip(starts[:-1].tolist(), starts[1:].tolist()):
         x = y = np.arange(start, stop)
@@ -170,6 +176,11 @@ def _pairs_of(columns: list[np.ndarray], starts: np.ndarray, percent: int) -> pa
         differing = np.bitwise_count(bits[x][:, None] ^ bits[y][None]).sum(2, dtype=np.int64)
         near = ((both - differing) * (100 + percent) >= 2 * percent * both) & (c[x][:, None] != c[y][None]) & ((lo[start] != hi[start]) | (x[:, None] < y[None]))
         i, j = np.nonzero(near)
+        for at in range(0, len(i), 16_384):
+            own, other = low[x[i[at : at + 16_384]]], low[y[j[at : at + 16_384]]]
+            earlier = ((own[:, :, None] == other[:, None]) & (own < key[start])[:, :, None]).any((1, 2))
+            near[i[at : at + 16_384], j[at : at + 16_384]] = ~earlier
+        i, j = np.nonzero(near)
         first.append(node[x[i]])
         second.append(node[y[j]])
     a, b = np.concatenate(first), np.concatenate(second)
