@@ -1 +1,3 @@
+"""Operators on whole tables; importing this registers their queries."""
 
+from . import access, documents, economics, engagement, quality, retrieval, texts  # noqa: F401

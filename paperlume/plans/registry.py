@@ -8,6 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FLAGSHIP = "overview"
+FLAGSHIP = "hybrid_retrieval"
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a function of (spark, sf_dir), with DuckDB SQL for the same rows where SQL can say it."""
+
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return register
