@@ -1,7 +1,8 @@
-"""Connected components of an undirected graph, by alternating large-star and small-star rounds.
+"""Connected components of an undirected graph, by union-find or by alternating stars.
 
-Every round joins the edges with the least neighbour of each end and is written to the checkpoint
-folder, so lineage stays short. Minima are pre-aggregated before they are shuffled, and the join
+Up to ``ONE_TASK`` edges, some tens of MB, are joined in one task by union-find. Of more, every
+round joins the edges with the least neighbour of each end and is written to the checkpoint folder, so
+lineage stays short. Minima are pre-aggregated before they are shuffled, and the join
 with them has one row per node on one side, so a node with very many edges can be split.
 
 Edge cases: no edges give no rows; loops, repeated edges and null ends are ignored.
@@ -9,17 +10,25 @@ Edge cases: no edges give no rows; loops, repeated edges and null ends are ignor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import checkpointed
 
+ONE_TASK = 500_000
+
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) for every end of the edges (a, b); the component is its least node."""
     ends = edges.where("a <> b")
     edges = checkpointed(ends.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     state = _state(edges)
+    if state[0] <= one_task:
+        return edges.coalesce(1).mapInArrow(_union_find, "node long, component long")
     while True:
         edges = checkpointed(_small_star(_large_star(edges)))
         now = _state(edges)
@@ -31,6 +40,27 @@ def components(edges: DataFrame) -> DataFrame:
     return members.unionByName(heads)
 
 
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels of all ends of the edges of one partition: minima are passed along edges and shortened."""
+    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if len(b)]
+    if not parts:
+        return
+    nodes, ends = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (a, b):
+            np.minimum.at(new, end, least)
+            np.minimum.at(new, label[end], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first())
 
