@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed
+from ._spark import checkpointed, join_ids
 from .components import components
 
 BITS = 512
@@ -94,7 +94,7 @@ def linkable(sets: DataFrame, percent: int) -> DataFrame:
 def shared_lists(postings: DataFrame) -> DataFrame:
     """(key, node) of the lists that hold at least two nodes; repeated rows count once."""
     several = postings.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    return checkpointed(postings.join(several.select("key"), "key").select("key", "node").distinct())
+    return checkpointed(join_ids(postings, checkpointed(several.select("key")), "key", "left_semi").select("key", "node").distinct())
 
 
 def connect(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
