@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +57,21 @@ def join_ids(df: DataFrame, ids: DataFrame, key: str, how: str, weight: Column |
     """
     size = ids.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
     return df.join(F.broadcast(ids) if size <= BROADCAST_ROWS else ids, key, how)
+
+
+def release_memory() -> None:
+    """Hand freed memory back to the system: Python workers stay for later tasks, and what they keep counts with the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[Any]], Iterator[Any]]:
+    """``run`` over a task's batches, handing freed memory back at its end."""
+
+    def wrapped(batches: Iterator[Any]) -> Iterator[Any]:
+        yield from run(batches)
+        release_memory()
+
+    return wrapped

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import text_or_empty
+from ._spark import releasing, text_or_empty
 
 
 def fold_of(id_col: str, folds: int) -> Column:
@@ -42,5 +42,5 @@ def fit_in_one_task(sample: DataFrame, fit: Callable[[pd.DataFrame], Any]) -> An
         rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"id": [], "text": [], "label": []})
         yield pd.DataFrame({"model": [pickle.dumps(fit(rows.sort_values("id", ignore_index=True)))]})
 
-    fitted = sample.coalesce(1).mapInPandas(run, "model binary").collect()
+    fitted = sample.coalesce(1).mapInPandas(releasing(run), "model binary").collect()
     return pickle.loads(fitted[0]["model"]) if fitted else fit(pd.DataFrame({"id": [], "text": [], "label": []}))

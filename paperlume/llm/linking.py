@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed, join_ids
+from ._spark import checkpointed, join_ids, releasing
 from .components import components
 
 BITS = 512
@@ -81,7 +81,7 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int, bounded: bool
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "a_tokens", "b_tokens").mapInArrow(verify, "a long, b long")
+    return pairs.select("a", "b", "a_tokens", "b_tokens").mapInArrow(releasing(verify), "a long, b long")
 
 
 def linkable(sets: DataFrame, percent: int) -> DataFrame:
@@ -161,7 +161,7 @@ def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if left:
             yield _pairs_of(left, np.array([0, len(left[0])]), percent)
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(releasing(compare), "a long, b long").distinct()
 
 
 def _pairs_of(columns: list[np.ndarray], starts: np.ndarray, percent: int) -> pa.RecordBatch:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed, join_ids, text_or_empty
+from ._spark import checkpointed, join_ids, releasing, text_or_empty
 from .linking import connect, linkable, list_column, parity_bits, shared_lists
 from .words import mix, row_chunks, words_in
 
@@ -67,7 +67,7 @@ def summaries(docs: DataFrame, size: int, share: float) -> DataFrame:
                 counted.append(tokens[: np.searchsorted(tokens, limit)].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), list_column(counted)], names=["id", "n", "node", "counted"])
 
-    return docs.mapInArrow(run, "id long, n long, node long, counted array<long>")
+    return docs.mapInArrow(releasing(run), "id long, n long, node long, counted array<long>")
 
 
 class SizeBands:
@@ -125,7 +125,7 @@ def _full_sets(docs: DataFrame, size: int) -> DataFrame:
                 names=["node", "n", "bits", "tokens"],
             )
 
-    return docs.mapInArrow(run, "node long, n long, bits array<long>, tokens array<long>")
+    return docs.mapInArrow(releasing(run), "node long, n long, bits array<long>, tokens array<long>")
 
 
 def tile_keys(sets: DataFrame, percent: int) -> DataFrame:
@@ -137,7 +137,7 @@ def tile_keys(sets: DataFrame, percent: int) -> DataFrame:
             keys = [bands.keys(tokens.values.to_numpy(zero_copy_only=False).view(_U64)).view(np.int64) for tokens in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), list_column(keys)], names=["node", "keys"])
 
-    return sets.select("node", "tokens").mapInArrow(run, "node long, keys array<long>").select(F.explode("keys").alias("key"), "node")
+    return sets.select("node", "tokens").mapInArrow(releasing(run), "node long, keys array<long>").select(F.explode("keys").alias("key"), "node")
 
 
 def join_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

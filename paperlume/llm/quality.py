@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import text_or_empty
+from ._spark import release_memory, text_or_empty
 from ._training import fit_in_one_task, fold_of, labelled_sample
 from .words import row_chunks, words_in
 
@@ -184,9 +184,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds:
 def with_score(docs: DataFrame, model: AttentionModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 in column ``out``."""
 
-    @F.pandas_udf("double")
-    def apply(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(pa.array(texts, pa.large_string())))
+    @F.arrow_udf("double")
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from (pa.array(model.score(texts), pa.float64()) for texts in batches)
+        release_memory()
 
     return docs.withColumn(out, apply(text_or_empty(text_col)))
 

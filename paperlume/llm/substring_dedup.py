@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed, join_ids, text_or_empty
+from ._spark import checkpointed, join_ids, releasing, text_or_empty
 from .linking import connect, linkable, list_column, parity_bits, shared_lists
 from .ngram_join import node_of
 from .words import Words, mix, row_chunks, words_in
@@ -76,7 +76,7 @@ def paragraph_rows(rows: DataFrame, min_words: int, size: int) -> DataFrame:
                 keys = list_column(list(minhash_keys(runs, bounds).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(base + row)), pa.array(line, pa.int32()), pa.array(words.counts, pa.int64()), pa.array(nodes, pa.int64()), keys], names=["id", "line", "n_words", "node", "keys"])
 
-    return rows.mapInArrow(run, "id long, line int, n_words long, node long, keys array<long>")
+    return rows.mapInArrow(releasing(run), "id long, line int, n_words long, node long, keys array<long>")
 
 
 def _sets(picked: DataFrame, min_words: int, size: int) -> DataFrame:
@@ -94,7 +94,7 @@ def _sets(picked: DataFrame, min_words: int, size: int) -> DataFrame:
                     names=["node", "n", "bits", "tokens"],
                 )
 
-    return picked.select("text", "lines").mapInArrow(run, "node long, n long, bits array<long>, tokens array<long>")
+    return picked.select("text", "lines").mapInArrow(releasing(run), "node long, n long, bits array<long>, tokens array<long>")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

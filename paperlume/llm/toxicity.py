@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import text_or_empty
+from ._spark import releasing, text_or_empty
 from ._training import fit_in_one_task, fold_of, labelled_sample
 from .words import Words, mix, row_chunks, words_in
 
@@ -118,7 +118,7 @@ def score(docs: DataFrame, model: SparseWeights, folds: int = 5, held_fold: int
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(batch.column(1), model))], names=["id", "score"])
 
-    scored = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "id long, score double")
+    scored = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(releasing(run), "id long, score double")
     return scored.select(
         F.col("id").alias(id_col),
         F.coalesce(fold_of("id", folds) == held_fold, F.lit(False)).alias("held_out"),
