@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -40,8 +41,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, cutting its lineage."""
+    """Write ``df`` to the shared checkpoint folder and read it back, cutting its lineage.
+
+    Spark deletes the shuffle files of a cut lineage once the driver's collector has found it
+    unused, which a quiet driver may put off for half an hour. So the driver collects first, and
+    the files of earlier steps do not stay beside those that this step writes.
+    """
     shared_folder(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
