@@ -7,6 +7,7 @@ import ctypes
 import gc
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -47,12 +48,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     unused, which a quiet driver may put off for half an hour. So the driver collects first, and
     the files of earlier steps do not stay beside those that this step writes.
     """
-    shared_folder(df.sparkSession)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    _collect_lineage(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: as ``checkpointed``, for columns of ids.
+
+    The columns are compressed, and later steps read only those that they name.
+    """
+    _collect_lineage(df.sparkSession)
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _collect_lineage(spark: SparkSession) -> None:
+    shared_folder(spark)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of a narrow table that every executor may hold: below 270 MB as Spark keeps them, by the largest measured.
 BROADCAST_ROWS = 4_000_000
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed
+from ._spark import written
 
 ONE_TASK = 500_000
 
@@ -25,12 +25,12 @@ ONE_TASK = 500_000
 def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) for every end of the edges (a, b); the component is its least node."""
     ends = edges.where("a <> b")
-    edges = checkpointed(ends.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    edges = written(ends.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     state = _state(edges)
     if state[0] <= one_task:
         return edges.coalesce(1).mapInArrow(_union_find, "node long, component long")
     while True:
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = written(_small_star(_large_star(edges)))
         now = _state(edges)
         if now == state:
             break

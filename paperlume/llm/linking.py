@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed, join_ids, releasing
+from ._spark import join_ids, releasing, written
 from .components import components
 
 BITS = 512
@@ -88,13 +88,13 @@ def linkable(sets: DataFrame, percent: int) -> DataFrame:
     """The nodes that may have a similar set: at most (1 - t) of their elements occur in no other set."""
     alone = sets.select(F.explode("tokens").alias("token"), "node").groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
     counted = sets.select("node", "n").join(alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "node", "left")
-    return checkpointed(counted.where(100 * F.coalesce("alone", F.lit(0)) <= (100 - percent) * F.col("n")).select("node"))
+    return written(counted.where(100 * F.coalesce("alone", F.lit(0)) <= (100 - percent) * F.col("n")).select("node"))
 
 
 def shared_lists(postings: DataFrame) -> DataFrame:
     """(key, node) of the lists that hold at least two nodes; repeated rows count once."""
     several = postings.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    return checkpointed(join_ids(postings, checkpointed(several.select("key")), "key", "left_semi").select("key", "node").distinct())
+    return written(join_ids(postings, written(several.select("key")), "key", "left_semi").select("key", "node").distinct())
 
 
 def connect(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -105,7 +105,7 @@ def connect(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if known is not None:
             placed = placed.drop("c").join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
         mixed = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("held")).where("least < most")
-        placed = checkpointed(placed.join(mixed.select("key", "held"), "key").drop("held"))
+        placed = written(placed.join(mixed.select("key", "held"), "key").drop("held"))
         rows, square = placed.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
         if not rows:
             break
@@ -115,7 +115,7 @@ def connect(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if known is not None:
             # Components found so far stand for their nodes.
             edges = edges.unionByName(known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-        known = checkpointed(components(edges))
+        known = written(components(edges))
         if last:
             break
     return known if known is not None else lists.sparkSession.createDataFrame([], "node long, component long")

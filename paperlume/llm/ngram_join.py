@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed, join_ids, releasing, text_or_empty
+from ._spark import join_ids, releasing, text_or_empty, written
 from .linking import connect, linkable, list_column, parity_bits, shared_lists
 from .words import mix, row_chunks, words_in
 
@@ -143,21 +143,21 @@ def tile_keys(sets: DataFrame, percent: int) -> DataFrame:
 def join_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its id, n_shingles, component_id (smallest id reachable by links) and n_copies (rows with an equal set)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    seen = checkpointed(summaries(rows, size, COUNTED * (100 - percent) / 100))
+    seen = written(summaries(rows, size, COUNTED * (100 - percent) / 100))
     nodes = seen.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     # Elements that one node alone has, counted by node.
     alone = seen.select(F.explode("counted").alias("token"), "node").groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
     alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
     spare = 100 - percent
     open_nodes = nodes.join(alone, "node", "left").where((spare * F.col("n") >= percent) & (100 * F.coalesce("alone", F.lit(0)) <= spare * F.col("n")))
-    wanted = checkpointed(open_nodes.where("first_id IS NOT NULL").select(F.col("first_id").alias("id")).distinct())
+    wanted = written(open_nodes.where("first_id IS NOT NULL").select(F.col("first_id").alias("id")).distinct())
     picked = join_ids(rows, wanted, "id", "left_semi")
-    sets = checkpointed(_full_sets(picked, size).dropDuplicates(["node"]))
+    sets = written(_full_sets(picked, size).dropDuplicates(["node"]))
     # Among the candidates all elements are counted.
     sets = join_ids(sets, linkable(sets, percent), "node", "left_semi")
     found = connect(shared_lists(tile_keys(sets, percent)), sets, percent)
     placed = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = checkpointed(placed.select("node", "component", "first_id", "copies"))
+    named = written(placed.select("node", "component", "first_id", "copies"))
     heads = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_node = named.join(heads, "component").select("node", "component_id", "copies")
     return seen.select("id", "n", "node").join(by_node, "node", "left").select(
@@ -171,5 +171,5 @@ def join_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_co
 def keep_one_per_group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that name their group; rows without an id stay."""
     groups = join_groups(docs, size, percent, id_col, text_col)
-    removed = checkpointed(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
+    removed = written(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
     return join_ids(docs, removed, id_col, "left_anti").select(docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed, join_ids, releasing, text_or_empty
+from ._spark import join_ids, releasing, text_or_empty, written
 from .linking import connect, linkable, list_column, parity_bits, shared_lists
 from .ngram_join import node_of
 from .words import Words, mix, row_chunks, words_in
@@ -100,15 +100,15 @@ def _sets(picked: DataFrame, min_words: int, size: int) -> DataFrame:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per paragraph that repeats: its id, line and n_words, the id and line of its group's first, and removed."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).where("id IS NOT NULL")
-    found = checkpointed(paragraph_rows(rows, min_words, size))
+    found = written(paragraph_rows(rows, min_words, size))
     place = F.struct("id", "line")
-    nodes = checkpointed(found.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")))
+    nodes = written(found.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")))
     lists = shared_lists(found.select(F.explode("keys").alias("key"), "node"))
     wanted = lists.select("node").distinct().join(nodes, "node").groupBy(F.col("first.id").alias("id")).agg(F.collect_set("first.line").alias("lines"))
-    picked = join_ids(rows, checkpointed(wanted), "id", "inner", F.size("lines"))
-    sets = checkpointed(_sets(picked, min_words, size).dropDuplicates(["node"]))
+    picked = join_ids(rows, written(wanted), "id", "inner", F.size("lines"))
+    sets = written(_sets(picked, min_words, size).dropDuplicates(["node"]))
     linked = connect(join_ids(lists, linkable(sets, percent), "node", "left_semi"), sets, percent)
-    named = checkpointed(nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    named = written(nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
     groups = named.groupBy("component").agg(F.min("first").alias("kept"), F.sum("copies").alias("members")).where("members > 1")
     by_node = named.select("node", "component").join(groups, "component").select("node", "kept")
     return found.join(by_node, "node").select(
@@ -120,5 +120,5 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     """``docs`` without the paragraphs that repeat an earlier one; no row is dropped."""
     lines = repeats(docs, min_words, id_col=id_col, text_col=text_col).where("removed").groupBy(id_col).agg(F.collect_set("line").alias("__lines"))
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda _, at: ~F.array_contains("__lines", at)), "\n")
-    marked = join_ids(docs, checkpointed(lines), id_col, "left", F.size("__lines"))
+    marked = join_ids(docs, written(lines), id_col, "left", F.size("__lines"))
     return marked.withColumn(text_col, F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
