@@ -1,19 +1,30 @@
-"""Removal of passages that repeat across documents: paragraph MinHash banding with exact checks.
+"""Removal of passages that repeat across documents: lines by MinHash banding, then running text by exact windows.
 
-Method: paragraphs are the lines of a text that have at least ``MIN_WORDS`` words. A paragraph's
+Lines: paragraphs are the lines of a text that have at least ``MIN_WORDS`` words. A paragraph's
 set holds its distinct five-word runs. MinHash signatures of BANDS x ROWS values make BANDS keys;
 a pair at similarity 0.8 shares one with probability 1 - (1 - 0.8**4)**16 > 0.9998. Paragraphs
 that share a key are joined and verified by exact Jaccard similarity (0.8 or more), and the links'
 components are the groups of repeats. Of each group the paragraph of the smallest (id, place)
 stays and the others are removed from their texts.
 
+Running text: the words that stay are one sequence, whatever lines they stand on. Every window of
+``MIN_WORDS`` words that has occurred before, in order of (id, place), is a repeat; windows that
+follow each other are joined to the full shared run. No window is missed: of the runs of half as
+many words, the least hash of each window is an anchor (winnowing), so equal windows have an equal
+anchor, and all windows around an anchor that occurs twice are compared by 64-bit hash. Each word
+removed equals one of an earlier place, so one copy of a passage always stays. Within a text a
+window that overlaps its own first place is no repeat.
+
 Scale: equal sets are one node, so copies never form pairs; see ``linking`` for lists of many
-similar paragraphs. One narrow pass writes a row of 16 keys for each paragraph; texts are shuffled
-once, to pick the paragraphs that have candidates, and once more to rewrite them.
+similar paragraphs. One narrow pass writes a row of 16 keys for each paragraph and one writes an
+anchor for about every eleventh word; texts are picked by id for the paragraphs and for the windows
+that have candidates, and once more to rewrite them. Firsts are minima, so a passage of very many
+texts is combined before it is shuffled.
 
 Edge cases: null, empty and blank texts have no paragraphs; rows with a null id are not compared
-and stay as they are; rows that repeat an id share the decisions made for that id; shorter lines
-are never removed; an empty table gives no rows; other columns are not read.
+and stay as they are; rows that repeat an id share the decisions made for its lines, and those for
+running text if their texts are equal; what is shorter than ``MIN_WORDS`` is never removed; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,13 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import join_ids, releasing, text_or_empty, written
 from .linking import connect, linkable, list_column, parity_bits, shared_lists
 from .ngram_join import node_of
-from .words import Words, mix, row_chunks, words_in
+from .words import Words, _powers_to, mix, row_chunks, words_in
 
 MIN_WORDS = 40
 SIZE, PERCENT = 5, 80
@@ -97,9 +109,8 @@ def _sets(picked: DataFrame, min_words: int, size: int) -> DataFrame:
     return picked.select("text", "lines").mapInArrow(releasing(run), "node long, n long, bits array<long>, tokens array<long>")
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per paragraph that repeats: its id, line and n_words, the id and line of its group's first, and removed."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).where("id IS NOT NULL")
+def repeated_lines(rows: DataFrame, min_words: int, size: int, percent: int) -> DataFrame:
+    """Per paragraph of (id, text) that repeats: id, line, n_words, kept_id, kept_line and removed."""
     found = written(paragraph_rows(rows, min_words, size))
     place = F.struct("id", "line")
     nodes = written(found.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")))
@@ -111,14 +122,172 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, size: int = SIZE, perce
     named = written(nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
     groups = named.groupBy("component").agg(F.min("first").alias("kept"), F.sum("copies").alias("members")).where("members > 1")
     by_node = named.select("node", "component").join(groups, "component").select("node", "kept")
-    return found.join(by_node, "node").select(
-        F.col("id").alias(id_col), "line", "n_words", F.col("kept.id").alias("kept_id"), F.col("kept.line").alias("kept_line"), (place != F.col("kept")).alias("removed")
+    return found.join(by_node, "node").select("id", "line", "n_words", F.col("kept.id").alias("kept_id"), F.col("kept.line").alias("kept_line"), (place != F.col("kept")).alias("removed"))
+
+
+def _staying(data: np.ndarray, offsets: np.ndarray, gone: list[list[int] | None]) -> tuple[Words, np.ndarray]:
+    """The words of a chunk of texts without those of the lines ``gone``, and the line of each."""
+    words = words_in(data, offsets)
+    breaks = np.flatnonzero(data == 10)
+    row = words.row()
+    line = np.searchsorted(breaks, words.start) - np.searchsorted(breaks, offsets[row])
+    places = np.array([r << 32 | at for r, lines in enumerate(gone) for at in lines or ()], np.int64)
+    stay = ~np.isin(row << 32 | line, places)
+    bounds = np.r_[0, np.cumsum(stay)][words.bounds]
+    return Words(words.hash[stay], words.start[stay], words.end[stay], bounds, data), line[stay]
+
+
+def _windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each ``size`` words in sequence, and whether they lie in one row."""
+    n = len(words.hash)
+    if n < size:
+        return np.zeros(0, _U64), np.zeros(0, bool)
+    power, inverse = _powers_to(n)
+    sums = np.zeros(n + 1, _U64)
+    np.cumsum(mix(words.hash) * power[:n], out=sums[1:])
+    row = words.row()
+    return mix((sums[size:] - sums[:-size]) * inverse[: n - size + 1]), row[size - 1 :] == row[: n - size + 1]
+
+
+def _sliding(values: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
+    """``least`` (a minimum or maximum) of each ``width`` values in sequence."""
+    held = 1
+    while 2 * held <= width:
+        values = least(values[:-held], values[held:])
+        held *= 2
+    return least(values[: len(values) - (width - held)], values[width - held :])
+
+
+def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the runs of ``window // 2`` words that are the least of a window of words in one row."""
+    width = window - window // 2 + 1
+    runs, _ = _windows(words, window // 2)
+    _, whole = _windows(words, window)
+    if not whole.any():
+        return np.zeros(0, np.int64), np.zeros(0, _U64)
+    least = np.where(whole, _sliding(runs, width, np.minimum), _U64(0))
+    edge = np.zeros(width - 1, _U64)
+    at = np.flatnonzero(_sliding(np.r_[edge, least, edge], width, np.maximum) == runs)
+    return at, runs[at]
+
+
+def _anchor_rows(rows: DataFrame, window: int) -> DataFrame:
+    """Per anchor of (id, version, text, gone): id, version, at (its place among the words that stay) and key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, data, offsets in row_chunks(batch.column(2)):
+                words, _ = _staying(data, offsets, batch.column(3).slice(base, len(offsets) - 1).to_pylist())
+                at, keys = anchors(words, window)
+                row = np.searchsorted(words.bounds, at, side="right") - 1
+                own = pa.array(base + row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(at - words.bounds[row], pa.int32()), pa.array(keys.view(np.int64))], names=["id", "version", "at", "key"])
+
+    return rows.select("id", "version", "text", "gone").mapInArrow(releasing(run), "id long, version long, at int, key long")
+
+
+def _window_rows(rows: DataFrame, window: int) -> DataFrame:
+    """Per window around the anchors of (id, version, text, gone, held): its key, place, line and bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, data, offsets in row_chunks(batch.column(2)):
+                words, line = _staying(data, offsets, batch.column(3).slice(base, len(offsets) - 1).to_pylist())
+                keys, whole = _windows(words, window)
+                held = batch.column(4).slice(base, len(offsets) - 1)
+                at = words.bounds[:-1].repeat(pc.list_value_length(held).to_numpy(zero_copy_only=False)) + held.flatten().to_numpy()
+                near = np.zeros(len(keys) + 1, np.int64)
+                np.add.at(near, np.clip(at - (window - window // 2), 0, len(keys)), 1)
+                np.add.at(near, np.clip(at + 1, 0, len(keys)), -1)
+                first = np.flatnonzero((np.cumsum(near[:-1]) > 0) & whole)
+                row = np.searchsorted(words.bounds, first, side="right") - 1
+                own, origin = pa.array(base + row), offsets[row] - offsets[0]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(own), batch.column(1).take(own), pa.array(first - words.bounds[row], pa.int32()), pa.array(line[first], pa.int32()), pa.array(words.start[first] - origin, pa.int32()),
+                     pa.array(words.end[first + window - 1] - origin, pa.int32()), pa.array(keys[first].view(np.int64))],
+                    names=["id", "version", "at", "line", "start", "end", "key"],
+                )
+
+    return rows.select("id", "version", "text", "gone", "held").mapInArrow(releasing(run), "id long, version long, at int, line int, start int, end int, key long")
+
+
+def repeated_passages(rows: DataFrame, gone: DataFrame, window: int) -> DataFrame:
+    """Per run of words that repeats, outside the lines of (id, gone): id, version, line, n_words, kept_id, kept_line, removed, and its bytes.
+
+    The version is a hash of the text that the bytes belong to.
+    """
+    rows = join_ids(rows.withColumn("version", F.xxhash64("text")), gone, "id", "left", F.size("gone"))
+    seen = written(_anchor_rows(rows, window))
+    place = F.xxhash64("id", "version", "at")
+    several = written(seen.groupBy("key").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("key"))
+    held = written(join_ids(seen, several, "key", "left_semi").groupBy("id", "version").agg(F.collect_set("at").alias("held")).select("id", F.col("version").alias("of"), "held"))
+    picked = join_ids(rows, held, "id", "inner", F.size("held")).where("version = of")
+    found = written(_window_rows(picked, window))
+    firsts = found.groupBy("key").agg(F.min(F.struct("id", "version", "at", "line")).alias("first"), F.max(F.struct("id", "version", "at", "line")).alias("last"))
+    apart = "(first.id, first.version) <> (last.id, last.version) OR last.at >= first.at + {0}".format(window)
+    firsts = written(firsts.where(apart).select("key", F.col("first.id").alias("kept_id"), F.col("first.version").alias("kept_version"), F.col("first.at").alias("kept_at"), F.col("first.line").alias("kept_line")))
+    other = (F.col("id") != F.col("kept_id")) | (F.col("version") != F.col("kept_version"))
+    placed = join_ids(found, firsts, "key", "inner").withColumn("removed", other | (F.col("at") >= F.col("kept_at") + window))
+    placed = placed.where(F.col("removed") | (F.col("at") == F.col("kept_at")))
+    run = ["id", "version", "kept_id", "kept_version", "removed"]
+    placed = placed.withColumn("run", F.col("at") - F.dense_rank().over(Window.partitionBy(*run).orderBy("at")))
+    joined = placed.groupBy(*run, "run").agg(
+        (F.max("at") - F.min("at") + window).cast("long").alias("n_words"), F.min("line").alias("line"), F.min("kept_line").alias("kept_line"), F.min("start").alias("start"), F.max("end").alias("end")
     )
+    return joined.select("id", "version", "line", "n_words", "kept_id", "kept_line", "removed", "start", "end")
+
+
+def _units(docs: DataFrame, min_words: int, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Repeated lines, removed lines by id, and repeated passages."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).where("id IS NOT NULL")
+    lines = written(repeated_lines(rows, min_words, size, percent))
+    gone = written(lines.where("removed").groupBy("id").agg(F.collect_set("line").alias("gone")))
+    return lines, gone, repeated_passages(rows, gone, min_words)
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per unit that repeats: its id, (first) line and n_words, the id and line that it is kept at, and removed.
+
+    A unit is a paragraph, or a run of words with its bytes, from start to before end, in the text.
+    """
+    lines, _, passages = _units(docs, min_words, size, percent, id_col, text_col)
+    return lines.unionByName(passages.drop("version"), allowMissingColumns=True).withColumnRenamed("id", id_col)
+
+
+def _without(text: bytes, lines: set[int], cuts: list[tuple[int, int]]) -> bytes:
+    """``text`` without these lines and without the bytes of these ranges."""
+    stay = np.ones(len(text) + 1, bool)
+    for start, end in cuts:
+        stay[start:end] = False
+    data, out, at = np.frombuffer(text, np.uint8), [], 0
+    for k, line in enumerate(text.split(b"\n")):
+        if k not in lines:
+            # The line with the line feed before it, which the first line that stays has not.
+            begin = at - 1 if out else at
+            out.append(data[begin : at + len(line)][stay[begin : at + len(line)]].tobytes())
+        at += len(line) + 1
+    return b"".join(out)
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the paragraphs that repeat an earlier one; no row is dropped."""
-    lines = repeats(docs, min_words, id_col=id_col, text_col=text_col).where("removed").groupBy(id_col).agg(F.collect_set("line").alias("__lines"))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda _, at: ~F.array_contains("__lines", at)), "\n")
-    marked = join_ids(docs, written(lines), id_col, "left", F.size("__lines"))
-    return marked.withColumn(text_col, F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
+    """``docs`` without the lines and passages that repeat an earlier one; no row is dropped."""
+    _, gone, passages = _units(docs, min_words, SIZE, PERCENT, id_col, text_col)
+    cuts = passages.where("removed").groupBy("id").agg(F.collect_list(F.struct("version", "start", "end")).alias("__cuts"))
+    edits = written(gone.withColumnRenamed("gone", "__lines").join(cuts, "id", "full_outer").withColumnRenamed("id", id_col))
+    size = F.greatest(F.size("__lines"), F.lit(0)) + F.greatest(F.size("__cuts"), F.lit(0))
+    marked = join_ids(docs, edits, id_col, "left", size).withColumn("__version", F.xxhash64(text_or_empty(text_col)))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, cuts, version = (batch.column(len(batch.schema) - k) for k in (3, 2, 1))
+            texts = batch.column(at).to_pylist()
+            for k in np.flatnonzero(pc.or_(lines.is_valid(), cuts.is_valid()).to_numpy(zero_copy_only=False)).tolist():
+                own = [(c["start"], c["end"]) for c in cuts[k].as_py() or () if c["version"] == version[k].as_py()]
+                if texts[k] is not None:
+                    texts[k] = _without(texts[k].encode(), set(lines[k].as_py() or ()), own).decode()
+            columns = [pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = docs.columns
+    return marked.select(*names, "__lines", "__cuts", "__version").mapInArrow(releasing(run), docs.schema)

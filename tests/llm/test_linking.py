@@ -102,3 +102,44 @@ def test_repeats_are_removed_once(spark):
     kept = {x["doc_id"]: x["text"] for x in substring_dedup.remove_repeats(docs).collect()}
     assert kept == {1: passage, 2: f"short line\n{own[1]}", 3: f"{own[0]}\nshort line", 4: own[2], 5: None, 6: "", None: passage}
     assert substring_dedup.repeats(docs.limit(0)).count() == 0
+
+
+def test_running_text_that_repeats_is_removed(spark):
+    r = random.Random(5)
+    text = lambda n: [f"ü{r.randrange(9000)}" for _ in range(n)]
+    passage, other = text(51), text(55)
+    long = [" ".join(text(30) + passage + text(60)) for _ in range(2)]
+    broken = "\n".join(" ".join(passage[k : k + 9]) for k in range(0, 51, 9))
+    twice = f"{' '.join(other)}\n{' '.join(text(6) + other)}"
+    rows = [(4, long[1]), (2, long[0]), (6, f"a b\n{broken}\nc d"), (7, " ".join(text(39))), (8, twice), (9, " ".join("x" for _ in range(300)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(x["doc_id"], x["n_words"], x["kept_id"], x["removed"]) for x in substring_dedup.repeats(docs).collect() if x["start"] is not None}
+    assert found == {(2, 51, 2, False), (4, 51, 2, True), (6, 51, 2, True), (9, 40, 9, False), (9, 260, 9, True)}
+    kept = {x["doc_id"]: x["text"] for x in substring_dedup.remove_repeats(docs).collect()}
+    own = long[1].split()
+    first = twice.split("\n")[0]
+    assert kept == dict(rows) | {4: f"{' '.join(own[:30])}  {' '.join(own[81:])}", 6: "a b\n\nc d", 8: first, 9: "x " * 40}
+
+
+def test_windows_equal_brute_force(spark):
+    r = random.Random(11)
+    texts = []
+    for _ in range(60):
+        own = [f"v{r.randrange(5000)}" for _ in range(r.randrange(5, 120))]
+        if texts and r.random() < 0.7:
+            source, at = r.choice(texts), r.randrange(0, len(own))
+            begin = r.randrange(0, len(source))
+            own[at:at] = source[begin : begin + r.randrange(30, 80)]
+        texts.append(own)
+    joined = [" ".join(w + ("\n" if k % 30 == 29 or r.random() < 0.1 else "") for k, w in enumerate(own)) for own in texts]
+    docs = spark.createDataFrame(list(enumerate(joined)), "doc_id long, text string")
+    seen, left = set(), {}
+    for k, own in enumerate(texts):
+        windows = [tuple(own[a : a + 40]) for a in range(len(own) - 39)]
+        cut = {a + d for a, w in enumerate(windows) if w in seen for d in range(40)}
+        seen |= set(windows)
+        left[k] = [w for a, w in enumerate(own) if a not in cut]
+    assert any(len(left[k]) < len(own) for k, own in enumerate(texts))
+    # No line has 40 words here, so only running text is compared.
+    assert all(len(line.split()) < 40 for text in joined for line in text.split("\n"))
+    assert {x["doc_id"]: x["text"].split() for x in substring_dedup.remove_repeats(docs).collect()} == left
