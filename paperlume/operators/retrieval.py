@@ -100,15 +100,18 @@ def retrieve(chunks: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def demo_chunks(spark, sf_dir) -> DataFrame:
+    """All documents as chunks; one without a vector is found by its words only and is a file of its own."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("file_id"), "embedding")
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return vectors.join(texts, "chunk_id").withColumn("page", (F.col("chunk_id") % 40).cast("int"))
+    chunks = texts.join(vectors, "chunk_id", "left").withColumn("file_id", F.coalesce("file_id", -1 - F.col("chunk_id")))
+    return chunks.withColumn("page", (F.col("chunk_id") % 40).cast("int"))
 
 
 def demo_questions(spark, sf_dir) -> DataFrame:
-    """Vectors and opening words of the first chunks, asked as questions about the others."""
+    """Vectors and opening words of every chunk whose id is divisible by ``ASKED``, asked as questions about the others."""
     words = F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ")
-    return demo_chunks(spark, sf_dir).where("chunk_id < 8").select(F.col("chunk_id").alias("question_id"), words.alias("question"), "embedding", F.when(F.col("chunk_id") % 2 == 0, F.col("file_id")).alias("active_file"), F.col("page").alias("active_page"))
+    asked = demo_chunks(spark, sf_dir).where(F.col("chunk_id") % ASKED == 0)
+    return asked.select(F.col("chunk_id").alias("question_id"), words.alias("question"), "embedding", F.when(F.col("chunk_id") % 2 == 0, F.col("file_id")).alias("active_file"), F.col("page").alias("active_page"))
 
 
 @query("hybrid_retrieval")
