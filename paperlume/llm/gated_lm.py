@@ -4,16 +4,15 @@ Method: words and an end symbol are tokens. The ``SYMBOLS`` - 2 most frequent tr
 symbols of their own; the others share one. A gated recurrent unit reads the symbols one by one;
 the next symbol's probability is that of its class times its probability within the class, both
 softmaxes. Words that share the symbol get that probability times their smoothed share among such
-words in the training rows. The unit is trained in numpy by truncated backpropagation: a first
-model on a bounded sample in one task, then ``ROUNDS`` rounds in which up to ``TRAINERS`` tasks go
-on with their rows of a fixed share of all training rows, and their weights are averaged. Scoring
-carries the state from window to window through the whole document.
+words in the training rows. The unit is trained in numpy by truncated backpropagation on every training
+row once: in each of ``ROUNDS`` rounds up to ``TRAINERS`` tasks go on with their part of the round's
+rows, and their weights are averaged. Scoring carries the state from window to window through the whole document.
 
 The base score is that of a smoothed unigram model. Counts cover all training rows: they are
 pre-aggregated in each task and shuffled by word. Frequent words' counts, ``HEAD_WORDS`` at most,
 travel to the tasks; those of all other words are joined to their occurrences by a shuffle.
 
-Scale: two narrow passes over all texts and one over the training share. What is shuffled are a
+Scale: two narrow passes over all texts and one over the training rows, which are read in each round. What is shuffled are a
 task's distinct words, and occurrences of rare words. A task holds about ``GROUP_TOKENS`` tokens.
 
 Edge cases: null and empty texts have the end token alone; a null id is not held out; repeated
@@ -41,9 +40,8 @@ SYMBOLS = CLASSES * PER_CLASS
 END, OTHER = 0, 1
 HEAD_WORDS = 1 << 18
 GROUP_TOKENS = 4_000_000
-#: Training: bytes of the first model's sample; 1 in ``SHARE`` rows for each of the later rounds.
-FIRST_BYTES, FIRST_EPOCHS = 1_500_000, 3
-SHARE, ROUNDS, TRAINERS = 128, 2, 64
+#: Training: every row belongs to one of the rounds; a trainer has about ``TRAINER_BYTES`` of a round at least.
+ROUNDS, TRAINERS, TRAINER_BYTES = 8, 64, 2_000_000
 LANES, WINDOW, RATE = 64, 20, 0.004
 #: The end token in counts of words; words hash to other values with all but certainty.
 END_WORD = np.uint64(0)
@@ -55,9 +53,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class GatedUnit:
-    """A gated recurrent unit with a class-factored softmax."""
+    """A gated recurrent unit with a class-factored softmax; ``seen`` is the number of tokens it was trained on."""
 
     def __init__(self, counts: np.ndarray, seed: int = 3):
+        self.seen = 0
         r = np.random.default_rng(seed)
         draw = lambda *shape: (r.standard_normal(shape) * 0.1).astype(np.float32)
         share = (counts + 0.5) / (counts + 0.5).sum()
@@ -136,10 +135,11 @@ class GatedUnit:
     def train(self, symbols: np.ndarray, epochs: int) -> None:
         """Truncated backpropagation over one long run of symbols, cut into lanes."""
         lanes = max(1, min(LANES, len(symbols) // (4 * WINDOW)))
-        steps = len(symbols) // lanes
+        steps = -(-len(symbols) // lanes)
         if not steps:
             return
-        y = symbols[: lanes * steps].reshape(lanes, steps).T
+        # End symbols fill the last lane.
+        y = np.r_[symbols, np.full(lanes * steps - len(symbols), END)].reshape(lanes, steps).T
         x = np.vstack([np.full((1, lanes), END), y[:-1]])
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -302,12 +302,12 @@ def _training_run(corpus: Corpus, batches: Iterator[pa.RecordBatch], most: int)
 
 
 def train(rows: DataFrame, corpus: Corpus) -> GatedUnit:
-    """A unit trained on (id, text): first on a bounded sample, then on a fixed share of all rows."""
+    """A unit trained on (id, text): on every row once, a part of them in each round."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(corpus)
-    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20))
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS))
 
-    def one(model: GatedUnit, epochs: int):
+    def one(model: GatedUnit):
         packed = pickle.dumps(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +315,7 @@ def train(rows: DataFrame, corpus: Corpus) -> GatedUnit:
             unit, seen = pickle.loads(packed), 0
             batches = iter(batches)
             while len(symbols := _training_run(shared.value, batches, GROUP_TOKENS)):
-                unit.train(symbols, epochs)
+                unit.train(symbols, 1)
                 seen += len(symbols)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([pickle.dumps(unit)], pa.binary())], names=["n", "unit"])
@@ -324,18 +324,13 @@ def train(rows: DataFrame, corpus: Corpus) -> GatedUnit:
 
     model = GatedUnit(corpus.symbol_counts)
     sizes = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    if not sizes:
-        return model
-    sample = rows.where(place < F.lit(max(1, int((1 << 20) * min(1.0, FIRST_BYTES / sizes)))))
-    first = sample.coalesce(1).mapInArrow(one(model, FIRST_EPOCHS), "n long, unit binary").collect()
-    if first:
-        model = pickle.loads(first[0]["unit"])
-    for turn in range(ROUNDS):
-        own = rows.where(place % SHARE == turn + 1).coalesce(TRAINERS)
-        found = own.mapInArrow(one(model, 1), "n long, unit binary").collect()  # TRAINERS rows at most
+    trainers = max(1, min(TRAINERS, sizes // (ROUNDS * TRAINER_BYTES)))
+    for turn in range(ROUNDS if sizes else 0):
+        found = rows.where(place == turn).coalesce(trainers).mapInArrow(one(model), "n long, unit binary").collect()  # TRAINERS rows at most
         weight = sum(r["n"] for r in found)
         units = [(r["n"] / weight, pickle.loads(r["unit"]).p) for r in found]
         if units:
+            model.seen += weight
             model.p = {k: sum(w * p[k] for w, p in units).astype(np.float32) for k in model.p}
     return model
 

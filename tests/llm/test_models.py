@@ -106,3 +106,9 @@ def test_words_of_sliced_columns():
 
     column = pa.array(["x", "A b", None, "c"]).slice(1)
     assert words_of(column).counts.tolist() == [2, 0, 1]
+
+
+def test_unit_learns_from_every_training_row(spark):
+    rows = spark.range(3000).selectExpr("id", "concat_ws(' ', transform(sequence(1, 200), k -> concat('word', (id * k) % 701))) AS text")
+    corpus = gated_lm.describe(gated_lm.word_counts(rows))
+    assert gated_lm.train(rows, corpus).seen == corpus.total == 3000 * 201
