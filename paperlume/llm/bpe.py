@@ -4,8 +4,8 @@ Method: texts are split at safe boundaries into pieces (see ``pieces``), distinc
 pre-tokens, and distinct pre-tokens are merged together. The symbols of all those words lie in
 one flat array with the word of each symbol. In every round each adjacent pair of symbols is
 looked up by binary search in the sorted array of mergeable pair keys, the lowest rank of each
-word is found, and every occurrence of it in the word merges, left to right. Words without a
-mergeable pair leave the array. Decoding maps each id to its bytes and joins them.
+word (of each part of a very long word) is found, and every occurrence of it merges, left to right.
+Words without a mergeable pair leave the array. Decoding maps each id to its bytes and joins them.
 
 Scale: a narrow pass, no shuffle, no state beyond a bounded cache of pieces in each worker. The
 vocabulary is a file of fixed size that each worker reads at its own path.
@@ -32,6 +32,8 @@ from .pieces import PieceCache, byte_balanced, split_safely
 from .token_count import tokenizer_path
 
 BATCH_BYTES = 4_000_000
+#: Words of more bytes are merged in several parts at once.
+LONG = 512
 CACHE_CHARS = 8_000_000
 
 
@@ -66,11 +68,30 @@ class ByteBpe:
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = PieceCache(self._encode_pieces, CACHE_CHARS)
 
+    def _reach(self, words: list[bytes]) -> int:
+        """Bytes of the longest token that some of these words may hold."""
+        present = set().union(*words)
+        return max((len(t) for t in self.bytes_of.values() if present.issuperset(t)), default=1)
+
     def merge_words(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each word, all words merged together."""
+        """Little-endian 32-bit ids of each word, all words merged together.
+
+        A round merges the pairs that are the lowest of their part of a word. Words of up to ``LONG`` bytes
+        are one part. Longer ones have parts of as many bytes as the longest token that may occur; a
+        pair must be the lowest of the parts that any token holding one of its symbols can lie in, so
+        no merge elsewhere can come before it, and distant parts of a word go on side by side.
+        """
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), lengths)
+        long = lengths > LONG
+        step = self._reach([w for w, far in zip(words, long.tolist()) if far]) if long.any() else 0
+        # Part numbers rise along a word; those between words stay empty.
+        parts = np.where(long, -(-lengths // step) + 3, 4) if step else np.full(len(words), 4)
+        base = np.cumsum(parts) - parts + 1
+        part = base[word]
+        if step:
+            part = part + np.where(long[word], (np.arange(len(ids)) - (np.cumsum(lengths) - lengths)[word]) // step, 0)
         done_ids, done_word = [], []
         no_rank = len(self.ranks)
         while len(ids):
@@ -87,16 +108,30 @@ class ByteBpe:
             if over.any():
                 done_ids.append(ids[over])
                 done_word.append(word[over])
-            hit = (rank == np.repeat(best, size)) & ~over
+            if step:
+                own = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                lowest = np.full(int(parts.sum()) + 4, no_rank, np.int64)
+                lowest[part[own]] = np.minimum.reduceat(rank, own)
+                lowest[1:-2] = np.minimum.reduce([lowest[:-3], lowest[1:-2], lowest[2:-1], lowest[3:]])
+                hit = (rank == lowest[part]) & (rank < no_rank)
+            else:
+                hit = (rank == np.repeat(best, size)) & ~over
             # In a run of overlapping hits (aaa with pair aa) every other one merges, from the left.
             where = np.flatnonzero(hit)
             run = np.flatnonzero(np.r_[True, np.diff(where) != 1][: len(where)])
-            within = np.arange(len(where)) - np.repeat(run, np.diff(np.r_[run, len(where)]))
-            where = where[within % 2 == 0]
+            length = np.diff(np.r_[run, len(where)])
+            within = np.arange(len(where)) - np.repeat(run, length)
+            take = within % 2 == 0
+            if step:
+                # A run whose left part has to wait waits with it.
+                begin = where[run]
+                waits = (begin > 0) & (rank[begin - 1] == rank[begin]) & (word[begin - 1] == word[begin])
+                take &= np.repeat(~waits, length)
+            where = where[take]
             ids[where] = self.made[at[where]]
             keep = ~over
             keep[where + 1] = False
-            ids, word = ids[keep], word[keep]
+            ids, word, part = ids[keep], word[keep], part[keep]
         if not done_ids:
             return [b""] * len(words)
         word = np.concatenate(done_word)
