@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import releasing, text_or_empty
+from ._spark import releasing, text_or_empty, written
 
 
 def fold_of(id_col: str, folds: int) -> Column:
@@ -23,15 +23,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, keep: Co
 
     Labelled ids are taken in the order of a hash, so the sample is the same at every run and
     spread over the corpus. An id with several labels has the larger one, an id with several
-    texts the smaller one. Only these ids are broadcast; no text is shuffled before the join.
+    texts the smaller one. A text that does not fit in what is left of the bytes is passed over, and
+    those after it are still taken. Only ids are broadcast, no text is shuffled before the join, and
+    the driver sees the lengths of at most ``max_rows`` texts.
     """
     ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isNotNull())
     ids = ids.where(keep).groupBy("id").agg(F.max("label").alias("label"))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    found = texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
-    running = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("id"), "id"))
-    return found.withColumn("running", running).where(F.col("running") <= max_bytes).select("id", "text", "label")
+    found = written(texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text")))
+    chosen, left = [], max_bytes
+    for row in found.select("id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("id"), "id").collect():  # max_rows at most
+        if row["n"] <= left:
+            chosen.append((row["id"],))
+            left -= row["n"]
+    wanted = docs.sparkSession.createDataFrame(chosen, found.select("id").schema)
+    return found.join(F.broadcast(wanted), "id", "left_semi").select("id", "text", "label")
 
 
 def fit_in_one_task(sample: DataFrame, fit: Callable[[pd.DataFrame], Any]) -> Any:
