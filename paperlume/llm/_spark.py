@@ -9,6 +9,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 import pyarrow as pa
@@ -24,6 +26,14 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or one made from it that no column has."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, shared by the cluster.
 
@@ -52,13 +62,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+#: Paths of the tables written in each scope that is open, the innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """The tables ``written`` inside are deleted at the end, but for those written with ``keep``."""
+    held = _scopes.set((*_scopes.get(), []))
+    try:
+        yield
+    finally:
+        for path in _scopes.get()[-1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _scopes.reset(held)
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: as ``checkpointed``, for columns of ids.
 
-    The columns are compressed, and later steps read only those that they name.
+    The columns are compressed, and later steps read only those that they name. The table lasts as
+    long as the innermost ``scratch``, or the one around it where it is to be kept.
     """
     _collect_lineage(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    depth, scopes = 2 if keep else 1, _scopes.get()
+    if len(scopes) >= depth:
+        scopes[-depth].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -69,8 +100,8 @@ def _collect_lineage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: Rows of a narrow table that every executor may hold: below 270 MB as Spark keeps them, by the largest measured.
-BROADCAST_ROWS = 4_000_000
+#: Rows of a narrow table that every executor may hold: below 70 MB as Spark keeps them, by the largest measured.
+BROADCAST_ROWS = 1_000_000
 
 
 def join_ids(df: DataFrame, ids: DataFrame, key: str, how: str, weight: Column | None = None) -> DataFrame:

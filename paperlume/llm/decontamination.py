@@ -12,17 +12,18 @@ that hold a shared shingle are fingerprinted; none that could be verified is pas
 Items of fewer than five words are one shingle, their whole sequence, and match where it occurs.
 A text shorter than an item is one window.
 
-Scale: one narrow pass over the documents for each block of at most ``ITEM_BYTES`` of items
-(one block, for a usual benchmark); the block's index is what each task holds. No shuffle.
+Scale: one narrow pass over the documents for each block of about ``ITEM_BYTES`` of items (one block,
+for a usual benchmark); the driver and each task hold one block's index at a time. With several blocks,
+what each pass finds is written by a hash of the text and joined to the rows in the end.
 
-Edge cases: null or empty texts and items without words match nothing; ids may be null or
-repeat, each row is judged by itself; an empty benchmark leaves every row clean; other columns
+Edge cases: null or empty texts and items without words match nothing; ids of documents and items
+may be null or repeat (items with the same text all count), each row is judged by itself; an empty benchmark leaves every row clean; other columns
 are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import text_or_empty
+from ._spark import join_ids, text_or_empty, unused, written
 from .words import Words, row_chunks, words_in, words_of
 
 SHINGLE = 5
@@ -62,7 +63,10 @@ class ItemIndex:
         self.posted = np.r_[0, np.cumsum(df)].astype(np.int64)
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[self.known >> np.uint64(64 - _FILTER_BITS)] = True
-        self.short = {int(n): {int(self.runs[k][0]): k for k in np.flatnonzero(self.words == n)} for n in sorted({*self.words[self.words < SHINGLE].tolist()})}
+        # Items of fewer words by their number of words and their whole sequence; several may say the same.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for k in np.flatnonzero(self.words < SHINGLE).tolist():
+            self.short.setdefault(int(self.words[k]), {}).setdefault(int(self.runs[k][0]), []).append(k)
         long = np.flatnonzero(self.words >= SHINGLE)
         self.sizes, group = np.unique(self.words[long] - SHINGLE + 1, return_inverse=True)
         prints = np.array([self.fingerprints(self.runs[k], np.array([0]), np.array([len(self.runs[k])]))[0] for k in long], np.uint64)
@@ -165,28 +169,40 @@ class ItemIndex:
             runs, bounds = words.shingles(size)
             for at in np.flatnonzero(np.isin(runs, np.array(list(items), np.uint64))).tolist():
                 r = int(np.searchsorted(bounds, at, side="right")) - 1
-                out[r].setdefault(items[int(runs[at])], (1.0, at - int(bounds[r])))
+                for k in items[int(runs[at])]:
+                    out[r].setdefault(k, (1.0, at - int(bounds[r])))
         return [[(self.ids[k], s, first, int(self.words[k])) for k, (s, first) in sorted(found.items())] for found in out]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[ItemIndex]:
-    """Indexes of the items, in blocks of about ``ITEM_BYTES``; at least one."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), text_or_empty(text_col).alias("text")).where("item IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    count = -(-total // ITEM_BYTES) or 1
-    for k in range(count):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k).collect()
-        rows.sort(key=lambda r: (r["item"], r["text"]))
-        yield ItemIndex([r["item"] for r in rows], [r["text"] for r in rows])
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("long").alias("item"), text_or_empty(text_col).alias("text"))
+
+
+def _index(items: DataFrame) -> ItemIndex:
+    """The index of some items, ``ITEM_BYTES`` or about that at most."""
+    rows = sorted(items.collect(), key=lambda r: (r["item"] is None, r["item"] or 0, r["text"]))
+    return ItemIndex([r["item"] for r in rows], [r["text"] for r in rows])
 
 
 MATCH = "array<struct<item_id: long, similarity: double, first_word: long, n_words: long>>"
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "matches", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "matches", item_col: str = "item_id", item_text_col: str = "text", item_bytes: int = ITEM_BYTES) -> DataFrame:
     """``docs`` with an array column ``out`` of the benchmark items that each text contains."""
-    found = [_matcher(index)(text_or_empty(text_col)) for index in _blocks(benchmark, item_col, item_text_col)]
-    return docs.withColumn(out, F.concat(*found) if len(found) > 1 else found[0])
+    items = _items(benchmark, item_col, item_text_col)
+    count = -(-(items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // item_bytes) or 1
+    if count == 1:
+        return docs.withColumn(out, _matcher(_index(items))(text_or_empty(text_col)))
+    # One block of items after another; what its pass finds is written before the next index is made.
+    text, parts = F.sha2(text_or_empty(text_col), 256), []
+    for k in range(count):
+        index = _index(items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k))
+        found = docs.select(text.alias("__text"), _matcher(index)(text_or_empty(text_col)).alias("found"))
+        parts.append(written(found.where(F.size("found") > 0).dropDuplicates(["__text"])))
+    found = reduce(DataFrame.unionByName, parts).groupBy("__text").agg(F.flatten(F.collect_list("found")).alias(out))
+    key = unused(docs.columns, "text_key")
+    joined = join_ids(docs.withColumn(key, text), written(found.withColumnRenamed("__text", key)), key, "left", F.size(out))
+    return joined.withColumn(out, F.coalesce(out, F.array().cast(MATCH))).select(*docs.columns, out)
 
 
 def _matcher(index: ItemIndex):
@@ -216,6 +232,6 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose texts contain no benchmark item."""
-    columns = docs.columns
-    marked = find_matches(docs, benchmark, text_col, out="__matches")
-    return marked.where(F.size("__matches") == 0).select(*(F.col(f"`{c}`") for c in columns))
+    columns, out = docs.columns, unused(docs.columns, "matches")
+    marked = find_matches(docs, benchmark, text_col, out=out)
+    return marked.where(F.size(out) == 0).select(*(F.col(f"`{c}`") for c in columns))
