@@ -20,6 +20,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import text_or_empty
+from ._spark import release_memory, text_or_empty
 from .pieces import PieceCache, byte_balanced, split_safely
 from .token_count import tokenizer_path
 
 BATCH_BYTES = 4_000_000
 #: Words of more bytes are merged in several parts at once.
 LONG = 512
-CACHE_CHARS = 8_000_000
+CACHE_CHARS = 2_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -179,26 +180,57 @@ def load(name: str) -> ByteBpe:
     return ByteBpe(tokenizer_path(name))
 
 
+@contextmanager
+def loaded(name: str) -> Iterator[ByteBpe]:
+    """The vocabulary for one task; a worker keeps it for later tasks, but not the pieces of this one."""
+    bpe = load(name)
+    try:
+        yield bpe
+    finally:
+        bpe.pieces.forget()
+        release_memory()
+
+
 def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text_col: str = "text", out: str = "ids_le") -> DataFrame:
     """``docs`` with a column ``out``: the text's ids as little-endian unsigned 32-bit integers."""
-    return _with_column(docs, F.col(text_col), out, "binary", pa.binary(), lambda texts: load(tokenizer).encode_batch(texts))
+
+    @F.arrow_udf("binary")
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with loaded(tokenizer) as bpe:
+            for texts in batches:
+                yield pa.array(bpe.encode_batch(texts.to_pylist()), pa.binary())
+
+    return docs.withColumn(out, apply(text_or_empty(text_col)))
 
 
 def decode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ids_col: str = "ids_le", out: str = "decoded") -> DataFrame:
-    """``docs`` with a column ``out``: the text that the ids in ``ids_col`` stand for."""
-    return _with_column(docs, F.col(ids_col), out, "string", pa.string(), lambda ids: map(load(tokenizer).decode, ids))
+    """``docs`` with a column ``out``: the text that the ids in ``ids_col`` stand for; empty for null."""
 
+    @F.arrow_udf("string")
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with loaded(tokenizer) as bpe:
+            for ids in batches:
+                yield pa.array([bpe.decode(x or b"") for x in ids.to_pylist()], pa.string())
 
-def _with_column(docs, source, out, kind, arrow_type, convert):
-    empty = b"" if kind == "string" else ""
+    return docs.withColumn(out, apply(F.col(ids_col)))
 
-    @F.pandas_udf(kind)
-    def apply(values):
-        import pandas as pd
 
-        return pd.Series(list(convert([empty if v is None else v for v in values])), dtype=object)
+def encode_checked(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text_col: str = "text", out: str = "encoded") -> DataFrame:
+    """``docs`` with a column ``out``: a struct of ids_le as by ``encode`` and lossless, whether they decode to the text.
+
+    Encoding and decoding share a task's worker, so decoded texts never leave it.
+    """
+
+    @F.arrow_udf("struct<ids_le: binary, lossless: boolean>")
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with loaded(tokenizer) as bpe:
+            for batch in batches:
+                texts = batch.to_pylist()
+                ids = list(bpe.encode_batch(texts))
+                same = [bpe.decode(x) == text for x, text in zip(ids, texts)]
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(same, pa.bool_())], names=["ids_le", "lossless"])
 
-    return docs.withColumn(out, apply(source))
+    return docs.withColumn(out, apply(text_or_empty(text_col)))
 
 
 def round_trip(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,20 +240,20 @@ def round_trip(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: st
     """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(tokenizer)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sizes, id_hashes, text_hashes, same = [], [], [], []
-            for text, ids in zip(texts, bpe.encode_batch(texts)):
-                decoded = bpe.decode(ids)
-                sizes.append(len(ids) // 4)
-                id_hashes.append(hashlib.sha256(ids).hexdigest())
-                text_hashes.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-                same.append(decoded == text)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string()), pa.array(same, pa.bool_())],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"],
-            )
+        with loaded(tokenizer) as bpe:
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                sizes, id_hashes, text_hashes, same = [], [], [], []
+                for text, ids in zip(texts, bpe.encode_batch(texts)):
+                    decoded = bpe.decode(ids)
+                    sizes.append(len(ids) // 4)
+                    id_hashes.append(hashlib.sha256(ids).hexdigest())
+                    text_hashes.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+                    same.append(decoded == text)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string()), pa.array(same, pa.bool_())],
+                    names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"],
+                )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     out = rows.mapInArrow(digests, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")

@@ -42,6 +42,11 @@ class PieceCache(dict):
             self.chars += sum(map(len, new))
             self.update(zip(new, self.encode(new)))
 
+    def forget(self) -> None:
+        """Keep nothing, as at the end of a task: workers stay for other tasks."""
+        self.clear()
+        self.chars = 0
+
     def trim(self, recent: set[str]) -> None:
         """Once too large, keep only the pieces of the latest batch, which are mostly frequent."""
         if self.chars > self.max_chars:

@@ -136,7 +136,10 @@ class AttentionModel:
         return {"We": f["x"].T @ dh, "be": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ da, "c": f["z"].T @ dy, "d": dy.sum(keepdims=True)}
 
     def fit(self, x: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> None:
-        self.mean, self.scale = x.mean(0), x.std(0) + 0.02
+        self.mean = x.mean(0)
+        # In parts, as the differences of all passages would take as much memory as the passages.
+        parts = [((x[at : at + 4096] - self.mean) ** 2).sum(0) for at in range(0, len(x), 4096)]
+        self.scale = (np.sqrt(sum(parts) / len(x)) + 0.02).astype(np.float32)
         self.fitted = True
         r = np.random.default_rng(5)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
