@@ -17,27 +17,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import written
+from ._spark import scratch, written
 
 ONE_TASK = 500_000
 
 
 def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) for every end of the edges (a, b); the component is its least node."""
-    ends = edges.where("a <> b")
-    edges = written(ends.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    state = _state(edges)
-    if state[0] <= one_task:
-        return edges.coalesce(1).mapInArrow(_union_find, "node long, component long")
-    while True:
-        edges = written(_small_star(_large_star(edges)))
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
-    members = edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component"))
-    heads = edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-    return members.unionByName(heads)
+    ends = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    with scratch(edges.sparkSession):
+        edges = written(ends.distinct())
+        state = _state(edges)
+        if state[0] <= one_task:
+            return written(edges.coalesce(1).mapInArrow(_union_find, "node long, component long"), keep=True)
+        while True:
+            with scratch(edges.sparkSession):
+                edges = written(_small_star(written(_large_star(edges))), keep=True)
+            now = _state(edges)
+            if now == state:
+                break
+            state = now
+        members = edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component"))
+        heads = edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
+        return written(members.unionByName(heads), keep=True)
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,8 +8,9 @@ each candidate pair is compared, or its nodes are known to be connected: compone
 all candidate pairs, while a list of n copies costs n comparisons.
 
 A comparison first bounds the overlap from above by the parities of hashed bits: each differing
-bit of two such bitmaps needs an element that only one set has. What passes is verified by the
-exact intersection of the two sorted arrays.
+bit of two such bitmaps needs an element that only one set has. A short bitmap of fixed length rules
+out most pairs, one of two to four bits an element nearly all others. Only what passes both is
+verified by the exact intersection of the two sorted arrays, so few pairs ever carry an array.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import join_ids, releasing, written
+from ._spark import join_ids, releasing, scratch, written
 from .components import components
 
 BITS = 512
@@ -31,12 +32,26 @@ ROUNDS, FEW = 2, 6
 TILE, LOW = 512, 16
 
 
-def parity_bits(tokens: np.ndarray) -> np.ndarray:
-    """The parity of the number of tokens that fall on each of ``BITS`` bits, as 64-bit words."""
-    counts = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS)
+def parity_bits(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The parity of the number of tokens that fall on each of ``bits`` bits, as 64-bit words."""
+    counts = np.bincount((tokens >> np.uint64(36)).astype(np.int64) % bits, minlength=bits)
     return np.packbits(counts & 1, bitorder="little").view(np.int64)
 
 
+def wide_bits(tokens: np.ndarray) -> np.ndarray:
+    """``parity_bits`` of a power of two of bits, twice as many as tokens at least; half of it folds onto the other half."""
+    return parity_bits(tokens, max(BITS, 1 << (2 * len(tokens) - 1).bit_length()))
+
+
+SET = "node long, n long, bits array<long>, wide array<long>, tokens array<long>"
+
+
+def set_rows(sets: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+    """Rows of ``SET``: a set's name, its size, its bitmaps and its sorted elements."""
+    columns = [list(map(parity_bits, sets)), list(map(wide_bits, sets)), [x.view(np.int64) for x in sets]]
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(len, sets), pa.int64()), *map(list_column, columns)], names=["node", "n", "bits", "wide", "tokens"])
+
+
 def list_column(values: list[np.ndarray]) -> pa.Array:
     """An Arrow list column of 64-bit integers."""
     offsets = np.r_[0, np.cumsum(np.fromiter(map(len, values), np.int64, len(values)))]
@@ -58,16 +73,46 @@ def _may_reach(percent: int) -> Column:
     return (both - differing) * (100 + percent) >= 2 * percent * both
 
 
+def _rows_of(column: pa.Array, rows: np.ndarray, width: int) -> np.ndarray:
+    """The lists of ``width`` values at these rows of a list column, as a matrix."""
+    starts = column.offsets.to_numpy()[rows]
+    return column.values.to_numpy(zero_copy_only=False).view(np.uint64)[starts[:, None] + np.arange(width)]
+
+
+def within_bound(a: pa.Array, b: pa.Array, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows' wide bitmaps allow 100 * overlap >= percent * union; ``sizes`` are those of both sets together."""
+    widths = np.stack([np.diff(x.offsets.to_numpy()) for x in (a, b)], 1)
+    differing = np.zeros(len(sizes), np.int64)
+    for left, right in np.unique(widths, axis=0).tolist():
+        rows = np.flatnonzero((widths == (left, right)).all(1))
+        least = min(left, right)
+        for at in range(0, len(rows), step := max(1, (1 << 20) // max(left, right))):
+            own = rows[at : at + step]
+            folded = [np.bitwise_xor.reduce(_rows_of(x, own, w).reshape(len(own), -1, least), axis=1) for x, w in ((a, left), (b, right))]
+            differing[own] = np.bitwise_count(folded[0] ^ folded[1]).sum(1, dtype=np.int64)
+    return (sizes - differing) * (100 + percent) >= 2 * percent * sizes
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int, bounded: bool = False) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have 100 * intersection >= percent * union.
 
-    ``sets`` has node, n (its size), bits (its parities) and tokens (its sorted array), one row a node. ``bounded`` pairs have passed the bound already.
+    ``sets`` has the columns of ``SET``, one row a node. ``bounded`` pairs have passed the short bitmap already.
     """
-    for side in () if bounded else ("a", "b"):
-        light = sets.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits"))
-        pairs = pairs.join(light, side)
     if not bounded:
+        for side in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits")), side)
         pairs = pairs.where(_may_reach(percent)).select("a", "b")
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("wide").alias(f"{side}_wide")), side)
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = within_bound(batch.column(4), batch.column(5), sizes, percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    # Written, so that the joins with the arrays are planned by the number of pairs that are left.
+    pairs = written(pairs.select("a", "b", "a_n", "b_n", "a_wide", "b_wide").mapInArrow(releasing(bound), "a long, b long"))
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("tokens").alias(f"{side}_tokens")), side)
 
@@ -93,32 +138,40 @@ def linkable(sets: DataFrame, percent: int) -> DataFrame:
 
 def shared_lists(postings: DataFrame) -> DataFrame:
     """(key, node) of the lists that hold at least two nodes; repeated rows count once."""
-    several = postings.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    return written(join_ids(postings, written(several.select("key")), "key", "left_semi").select("key", "node").distinct())
+    with scratch(postings.sparkSession):
+        several = postings.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+        return written(join_ids(postings, written(several.select("key")), "key", "left_semi").select("key", "node").distinct(), keep=True)
 
 
 def connect(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the nodes that have a similar node in one of their lists."""
-    placed = lists.withColumn("c", F.col("node"))
-    known: DataFrame | None = None
-    for turn in range(ROUNDS + 1):
+    spark = lists.sparkSession
+    known, placed = None, lists.withColumn("c", F.col("node"))
+    with scratch(spark):
+        for turn in range(ROUNDS + 1):
+            placed, known, done = _round(turn, placed, known, sets, percent)
+            if done:
+                break
+        return written(known, keep=True) if known is not None else spark.createDataFrame([], "node long, component long")
+
+
+def _round(turn: int, placed: DataFrame, known: DataFrame | None, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None, bool]:
+    """The lists (key, node, c) that still hold several components, what is connected after this round, and whether it was the last."""
+    with scratch(placed.sparkSession):
         if known is not None:
             placed = placed.drop("c").join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        mixed = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("held")).where("least < most")
-        placed = written(placed.join(mixed.select("key", "held"), "key").drop("held"))
+        mixed = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+        placed = written(placed.join(mixed.select("key"), "key", "left_semi"), keep=True)
         rows, square = placed.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
         if not rows:
-            break
+            return placed, known, True
         last = turn == ROUNDS or square <= FEW * rows
         pairs = _across(placed, sets, percent) if last else _with_leads(placed, turn)
         edges = similar_pairs(pairs, sets, percent, bounded=last)
         if known is not None:
             # Components found so far stand for their nodes.
             edges = edges.unionByName(known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-        known = written(components(edges))
-        if last:
-            break
-    return known if known is not None else lists.sparkSession.createDataFrame([], "node long, component long")
+        return placed, written(components(edges), keep=True), last
 
 
 def _with_leads(placed: DataFrame, turn: int) -> DataFrame:

@@ -15,22 +15,23 @@ Scale: equal sets are one node. One narrow pass over all texts, one pre-aggregat
 counted share of elements, and one shuffle of texts to pick the candidates' texts. Lists are never
 gathered in one task.
 
-Edge cases: null, empty and blank texts have an empty set and are linked with nothing; a null id
-belongs to its set's component but never names one (null if the set has no other id); repeated
-ids are separate rows; an empty table gives no rows; other columns are not read.
+Edge cases: null, empty and blank texts have an empty set and are linked with nothing; a row with a
+null id is linked like any other and never names a component (which is null if no row of it has an
+id); repeated ids are separate rows; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import join_ids, releasing, text_or_empty, written
-from .linking import connect, linkable, list_column, parity_bits, shared_lists
+from ._spark import join_ids, releasing, scratch, text_or_empty, written
+from .linking import SET, connect, linkable, list_column, set_rows, shared_lists
 from .words import mix, row_chunks, words_in
 
 SIZE, PERCENT = 4, 85
@@ -39,12 +40,11 @@ COUNTED = 1.6
 _U64 = np.uint64
 
 
-def token_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each row."""
+def token_sets(column: pa.Array, size: int) -> Iterator[list[np.ndarray]]:
+    """The sorted distinct shingle hashes of each row, for some rows at a time."""
     for _, data, offsets in row_chunks(column):
         runs, bounds = words_in(data, offsets).shingles(size)
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            yield np.unique(runs[a:b])
+        yield [np.unique(runs[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -61,7 +61,7 @@ def summaries(docs: DataFrame, size: int, share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, nodes, counted = [], [], []
-            for tokens in token_sets(batch.column(1), size):
+            for tokens in chain.from_iterable(token_sets(batch.column(1), size)):
                 sizes.append(len(tokens))
                 nodes.append(node_of(tokens))
                 counted.append(tokens[: np.searchsorted(tokens, limit)].view(np.int64))
@@ -114,18 +114,15 @@ class SizeBands:
         return np.concatenate(out)
 
 
-def _full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """Per row of (id, text): node, n, bits and tokens."""
+def _full_sets(texts: DataFrame, size: int) -> DataFrame:
+    """The set of each text, in the columns of ``SET``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(token_sets(batch.column(1), size))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), list_column(list(map(parity_bits, sets))), list_column([s.view(np.int64) for s in sets])],
-                names=["node", "n", "bits", "tokens"],
-            )
+            for sets in token_sets(batch.column(0), size):
+                yield set_rows(sets, list(map(node_of, sets)))
 
-    return docs.mapInArrow(releasing(run), "node long, n long, bits array<long>, tokens array<long>")
+    return texts.mapInArrow(releasing(run), SET)
 
 
 def tile_keys(sets: DataFrame, percent: int) -> DataFrame:
@@ -143,33 +140,55 @@ def tile_keys(sets: DataFrame, percent: int) -> DataFrame:
 def join_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its id, n_shingles, component_id (smallest id reachable by links) and n_copies (rows with an equal set)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    seen = written(summaries(rows, size, COUNTED * (100 - percent) / 100))
-    nodes = seen.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    # Elements that one node alone has, counted by node.
-    alone = seen.select(F.explode("counted").alias("token"), "node").groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
-    alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    with scratch(docs.sparkSession):
+        seen, nodes, open_nodes = _open_nodes(rows, size, percent)
+        found = _linked(rows, open_nodes, size, percent)
+        named = written(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        heads = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        by_node = named.join(heads, "component").select("node", "component_id", "copies")
+        out = seen.join(by_node, "node", "left").select(
+            F.col("id").alias(id_col),
+            F.col("n").alias("n_shingles"),
+            F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+            F.coalesce("copies", F.lit(1)).alias("n_copies"),
+        )
+        return written(out, keep=True)
+
+
+def _open_nodes(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of (id, text): (id, n, node) of every row, (node, first_id, copies) of every set, and (node, first_id) of those that may be linked."""
     spare = 100 - percent
-    open_nodes = nodes.join(alone, "node", "left").where((spare * F.col("n") >= percent) & (100 * F.coalesce("alone", F.lit(0)) <= spare * F.col("n")))
-    wanted = written(open_nodes.where("first_id IS NOT NULL").select(F.col("first_id").alias("id")).distinct())
-    picked = join_ids(rows, wanted, "id", "left_semi")
-    sets = written(_full_sets(picked, size).dropDuplicates(["node"]))
-    # Among the candidates all elements are counted.
-    sets = join_ids(sets, linkable(sets, percent), "node", "left_semi")
-    found = connect(shared_lists(tile_keys(sets, percent)), sets, percent)
-    placed = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = written(placed.select("node", "component", "first_id", "copies"))
-    heads = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_node = named.join(heads, "component").select("node", "component_id", "copies")
-    return seen.select("id", "n", "node").join(by_node, "node", "left").select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-        F.coalesce("copies", F.lit(1)).alias("n_copies"),
-    )
+    with scratch(rows.sparkSession):
+        seen = written(summaries(rows, size, COUNTED * spare / 100))
+        nodes = seen.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+        nodes = written(nodes, keep=True)
+        # Elements that one node alone has, counted by node.
+        alone = seen.select(F.explode("counted").alias("token"), "node").groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+        alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+        open_nodes = nodes.join(alone, "node", "left").where((spare * F.col("n") >= percent) & (100 * F.coalesce("alone", F.lit(0)) <= spare * F.col("n")))
+        open_nodes = written(open_nodes.select("node", "first_id"), keep=True)
+        return written(seen.select("id", "n", "node"), keep=True), nodes.select("node", "first_id", "copies"), open_nodes
+
+
+def _linked(rows: DataFrame, open_nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component) of the sets among ``open_nodes`` that are linked with another."""
+    with scratch(rows.sparkSession):
+        # A set that has an id is taken from that row; one that only rows without an id hold, from all of those.
+        wanted = written(open_nodes.select(F.col("first_id").alias("id")).where("id IS NOT NULL").distinct())
+        texts = join_ids(rows, wanted, "id", "left_semi").select("text")
+        if open_nodes.where("first_id IS NULL").take(1):
+            texts = texts.unionByName(rows.where("id IS NULL").select("text").dropDuplicates())
+        sets = join_ids(_full_sets(texts, size), open_nodes.select("node"), "node", "left_semi")
+        sets = written(sets.dropDuplicates(["node"]))
+        # Among the candidates all elements are counted.
+        sets = join_ids(sets, linkable(sets, percent), "node", "left_semi")
+        lists = shared_lists(tile_keys(sets, percent))
+        return written(connect(lists, sets, percent), keep=True)
 
 
 def keep_one_per_group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that name their group; rows without an id stay."""
-    groups = join_groups(docs, size, percent, id_col, text_col)
-    removed = written(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
+    with scratch(docs.sparkSession):
+        groups = join_groups(docs, size, percent, id_col, text_col)
+        removed = written(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), keep=True)
     return join_ids(docs, removed, id_col, "left_anti").select(docs.columns)

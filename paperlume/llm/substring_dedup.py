@@ -18,8 +18,9 @@ window that overlaps its own first place is no repeat.
 Scale: equal sets are one node, so copies never form pairs; see ``linking`` for lists of many
 similar paragraphs. One narrow pass writes a row of 16 keys for each paragraph and one writes an
 anchor for about every eleventh word; texts are picked by id for the paragraphs and for the windows
-that have candidates, and once more to rewrite them. Firsts are minima, so a passage of very many
-texts is combined before it is shuffled.
+that have candidates, once more to find the bytes of the runs, and to rewrite them. A window is a
+row of its place and its hash alone. Firsts are minima, so a passage of very many texts is combined
+before it is shuffled. Tables of steps are deleted once they have been read.
 
 Edge cases: null, empty and blank texts have no paragraphs; rows with a null id are not compared
 and stay as they are; rows that repeat an id share the decisions made for its lines, and those for
@@ -37,8 +38,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import join_ids, releasing, text_or_empty, written
-from .linking import connect, linkable, list_column, parity_bits, shared_lists
+from ._spark import join_ids, releasing, scratch, text_or_empty, unused, written
+from .linking import SET, connect, linkable, list_column, set_rows, shared_lists
 from .ngram_join import node_of
 from .words import Words, _powers_to, mix, row_chunks, words_in
 
@@ -92,7 +93,7 @@ def paragraph_rows(rows: DataFrame, min_words: int, size: int) -> DataFrame:
 
 
 def _sets(picked: DataFrame, min_words: int, size: int) -> DataFrame:
-    """Node, n, bits and tokens of the named lines of (id, text, lines)."""
+    """The sets of the named lines of (id, text, lines), in the columns of ``SET``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,28 +102,33 @@ def _sets(picked: DataFrame, min_words: int, size: int) -> DataFrame:
                 runs, bounds = words.shingles(size)
                 wanted = [set(lines) for lines in batch.column(1).slice(base, len(offsets) - 1).to_pylist()]
                 sets = [np.unique(runs[bounds[k] : bounds[k + 1]]) for k, (r, at) in enumerate(zip(row.tolist(), line.tolist())) if at in wanted[r]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), list_column(list(map(parity_bits, sets))), list_column([s.view(np.int64) for s in sets])],
-                    names=["node", "n", "bits", "tokens"],
-                )
+                yield set_rows(sets, list(map(node_of, sets)))
 
-    return picked.select("text", "lines").mapInArrow(releasing(run), "node long, n long, bits array<long>, tokens array<long>")
+    return picked.select("text", "lines").mapInArrow(releasing(run), SET)
 
 
 def repeated_lines(rows: DataFrame, min_words: int, size: int, percent: int) -> DataFrame:
     """Per paragraph of (id, text) that repeats: id, line, n_words, kept_id, kept_line and removed."""
-    found = written(paragraph_rows(rows, min_words, size))
     place = F.struct("id", "line")
-    nodes = written(found.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")))
-    lists = shared_lists(found.select(F.explode("keys").alias("key"), "node"))
-    wanted = lists.select("node").distinct().join(nodes, "node").groupBy(F.col("first.id").alias("id")).agg(F.collect_set("first.line").alias("lines"))
-    picked = join_ids(rows, written(wanted), "id", "inner", F.size("lines"))
-    sets = written(_sets(picked, min_words, size).dropDuplicates(["node"]))
-    linked = connect(join_ids(lists, linkable(sets, percent), "node", "left_semi"), sets, percent)
-    named = written(nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    groups = named.groupBy("component").agg(F.min("first").alias("kept"), F.sum("copies").alias("members")).where("members > 1")
-    by_node = named.select("node", "component").join(groups, "component").select("node", "kept")
-    return found.join(by_node, "node").select("id", "line", "n_words", F.col("kept.id").alias("kept_id"), F.col("kept.line").alias("kept_line"), (place != F.col("kept")).alias("removed"))
+    with scratch(rows.sparkSession):
+        found = written(paragraph_rows(rows, min_words, size))
+        nodes = written(found.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")))
+        lists = shared_lists(found.select(F.explode("keys").alias("key"), "node"))
+        linked = _linked(rows, lists, nodes, min_words, size, percent)
+        named = written(nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        groups = named.groupBy("component").agg(F.min("first").alias("kept"), F.sum("copies").alias("members")).where("members > 1")
+        by_node = named.select("node", "component").join(groups, "component").select("node", "kept")
+        out = found.join(by_node, "node").select("id", "line", "n_words", F.col("kept.id").alias("kept_id"), F.col("kept.line").alias("kept_line"), (place != F.col("kept")).alias("removed"))
+        return written(out, keep=True)
+
+
+def _linked(rows: DataFrame, lists: DataFrame, nodes: DataFrame, min_words: int, size: int, percent: int) -> DataFrame:
+    """(node, component) of the paragraphs in ``lists`` that are similar to another."""
+    with scratch(rows.sparkSession):
+        wanted = lists.select("node").distinct().join(nodes, "node").groupBy(F.col("first.id").alias("id")).agg(F.collect_set("first.line").alias("lines"))
+        picked = join_ids(rows, written(wanted), "id", "inner", F.size("lines"))
+        sets = written(_sets(picked, min_words, size).dropDuplicates(["node"]))
+        return written(connect(join_ids(lists, linkable(sets, percent), "node", "left_semi"), sets, percent), keep=True)
 
 
 def _staying(data: np.ndarray, offsets: np.ndarray, gone: list[list[int] | None]) -> tuple[Words, np.ndarray]:
@@ -187,12 +193,12 @@ def _anchor_rows(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _window_rows(rows: DataFrame, window: int) -> DataFrame:
-    """Per window around the anchors of (id, version, text, gone, held): its key, place, line and bytes."""
+    """Per window around the anchors of (id, version, text, gone, held): id, version, at (its first word's place) and key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, data, offsets in row_chunks(batch.column(2)):
-                words, line = _staying(data, offsets, batch.column(3).slice(base, len(offsets) - 1).to_pylist())
+                words, _ = _staying(data, offsets, batch.column(3).slice(base, len(offsets) - 1).to_pylist())
                 keys, whole = _windows(words, window)
                 held = batch.column(4).slice(base, len(offsets) - 1)
                 at = words.bounds[:-1].repeat(pc.list_value_length(held).to_numpy(zero_copy_only=False)) + held.flatten().to_numpy()
@@ -201,14 +207,32 @@ def _window_rows(rows: DataFrame, window: int) -> DataFrame:
                 np.add.at(near, np.clip(at + 1, 0, len(keys)), -1)
                 first = np.flatnonzero((np.cumsum(near[:-1]) > 0) & whole)
                 row = np.searchsorted(words.bounds, first, side="right") - 1
-                own, origin = pa.array(base + row), offsets[row] - offsets[0]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(own), batch.column(1).take(own), pa.array(first - words.bounds[row], pa.int32()), pa.array(line[first], pa.int32()), pa.array(words.start[first] - origin, pa.int32()),
-                     pa.array(words.end[first + window - 1] - origin, pa.int32()), pa.array(keys[first].view(np.int64))],
-                    names=["id", "version", "at", "line", "start", "end", "key"],
-                )
+                own = pa.array(base + row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(first - words.bounds[row], pa.int32()), pa.array(keys[first].view(np.int64))], names=["id", "version", "at", "key"])
+
+    return rows.select("id", "version", "text", "gone", "held").mapInArrow(releasing(run), "id long, version long, at int, key long")
 
-    return rows.select("id", "version", "text", "gone", "held").mapInArrow(releasing(run), "id long, version long, at int, line int, start int, end int, key long")
+
+def _located(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """The line, start and end bytes of the spans (id, version, at, last) of words in (id, version, text, gone)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, data, offsets in row_chunks(batch.column(2)):
+                words, line = _staying(data, offsets, batch.column(3).slice(base, len(offsets) - 1).to_pylist())
+                held = batch.column(4).slice(base, len(offsets) - 1)
+                row = np.repeat(np.arange(len(offsets) - 1), pc.list_value_length(held).to_numpy(zero_copy_only=False))
+                at, last = (held.flatten().field(k).to_numpy() for k in (0, 1))
+                first, end, origin = words.bounds[row] + at, words.bounds[row] + last, offsets[row] - offsets[0]
+                own = pa.array(base + row)
+                columns = [batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x.astype(np.int32)) for x in (at, last, line[first], words.start[first] - origin, words.end[end] - origin))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "at", "last", "line", "start", "end"])
+
+    with scratch(rows.sparkSession):
+        held = spans.groupBy("id", F.col("version").alias("of")).agg(F.collect_set(F.struct("at", "last")).alias("held"))
+        picked = join_ids(rows, written(held), "id", "inner", F.size("held")).where("version = of")
+        found = picked.select("id", "version", "text", "gone", "held").mapInArrow(releasing(run), "id long, version long, at int, last int, line int, start int, end int")
+        return written(found.distinct(), keep=True)
 
 
 def repeated_passages(rows: DataFrame, gone: DataFrame, window: int) -> DataFrame:
@@ -217,30 +241,44 @@ def repeated_passages(rows: DataFrame, gone: DataFrame, window: int) -> DataFram
     The version is a hash of the text that the bytes belong to.
     """
     rows = join_ids(rows.withColumn("version", F.xxhash64("text")), gone, "id", "left", F.size("gone"))
-    seen = written(_anchor_rows(rows, window))
-    place = F.xxhash64("id", "version", "at")
-    several = written(seen.groupBy("key").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("key"))
-    held = written(join_ids(seen, several, "key", "left_semi").groupBy("id", "version").agg(F.collect_set("at").alias("held")).select("id", F.col("version").alias("of"), "held"))
-    picked = join_ids(rows, held, "id", "inner", F.size("held")).where("version = of")
-    found = written(_window_rows(picked, window))
-    firsts = found.groupBy("key").agg(F.min(F.struct("id", "version", "at", "line")).alias("first"), F.max(F.struct("id", "version", "at", "line")).alias("last"))
-    apart = "(first.id, first.version) <> (last.id, last.version) OR last.at >= first.at + {0}".format(window)
-    firsts = written(firsts.where(apart).select("key", F.col("first.id").alias("kept_id"), F.col("first.version").alias("kept_version"), F.col("first.at").alias("kept_at"), F.col("first.line").alias("kept_line")))
-    other = (F.col("id") != F.col("kept_id")) | (F.col("version") != F.col("kept_version"))
-    placed = join_ids(found, firsts, "key", "inner").withColumn("removed", other | (F.col("at") >= F.col("kept_at") + window))
-    placed = placed.where(F.col("removed") | (F.col("at") == F.col("kept_at")))
-    run = ["id", "version", "kept_id", "kept_version", "removed"]
-    placed = placed.withColumn("run", F.col("at") - F.dense_rank().over(Window.partitionBy(*run).orderBy("at")))
-    joined = placed.groupBy(*run, "run").agg(
-        (F.max("at") - F.min("at") + window).cast("long").alias("n_words"), F.min("line").alias("line"), F.min("kept_line").alias("kept_line"), F.min("start").alias("start"), F.max("end").alias("end")
-    )
-    return joined.select("id", "version", "line", "n_words", "kept_id", "kept_line", "removed", "start", "end")
+    with scratch(rows.sparkSession):
+        found = _shared_windows(rows, window)
+        place, text = F.struct("id", "version", "at"), F.xxhash64("id", "version")
+        firsts = found.groupBy("key").agg(F.min(place).alias("first"), F.min(text).alias("one"), F.max(text).alias("other"), F.max("at").alias("last"))
+        # In one text only, a window repeats where it does not overlap its first place.
+        firsts = firsts.where(F.expr(f"one <> other OR last >= first.at + {window}"))
+        firsts = written(firsts.select("key", F.col("first.id").alias("kept_id"), F.col("first.version").alias("kept_version"), F.col("first.at").alias("kept_at")))
+        other = (F.col("id") != F.col("kept_id")) | (F.col("version") != F.col("kept_version"))
+        placed = join_ids(found, firsts, "key", "inner").withColumn("removed", other | (F.col("at") >= F.col("kept_at") + window))
+        placed = placed.where(F.col("removed") | (F.col("at") == F.col("kept_at"))).drop("key")
+        run = ["id", "version", "kept_id", "kept_version", "removed"]
+        placed = placed.withColumn("run", F.col("at") - F.dense_rank().over(Window.partitionBy(*run).orderBy("at")))
+        joined = placed.groupBy(*run, "run").agg(F.min("at").alias("at"), (F.max("at") + window - 1).alias("last"), F.min("kept_at").alias("kept_at"))
+        runs = written(joined.select(*run, "at", "last", "kept_at"))
+        kept = runs.select(F.col("kept_id").alias("id"), F.col("kept_version").alias("version"), F.col("kept_at").alias("at"), F.col("kept_at").alias("last"))
+        places = _located(rows, runs.select("id", "version", "at", "last").unionByName(kept))
+        own = runs.join(places, ["id", "version", "at", "last"])
+        kept = places.where("at = last").select(F.col("id").alias("kept_id"), F.col("version").alias("kept_version"), F.col("at").alias("kept_at"), F.col("line").alias("kept_line"))
+        out = own.join(kept, ["kept_id", "kept_version", "kept_at"])
+        return written(out.select("id", "version", "line", (F.col("last") - F.col("at") + 1).cast("long").alias("n_words"), "kept_id", "kept_line", "removed", "start", "end"), keep=True)
+
+
+def _shared_windows(rows: DataFrame, window: int) -> DataFrame:
+    """The windows of (id, version, text, gone) around anchors that occur twice: id, version, at and key."""
+    with scratch(rows.sparkSession):
+        seen = written(_anchor_rows(rows, window))
+        place = F.xxhash64("id", "version", "at")
+        several = written(seen.groupBy("key").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("key"))
+        held = join_ids(seen, several, "key", "left_semi").groupBy("id", "version").agg(F.collect_set("at").alias("held"))
+        held = written(held.select("id", F.col("version").alias("of"), "held"))
+        picked = join_ids(rows, held, "id", "inner", F.size("held")).where("version = of")
+        return written(_window_rows(picked, window), keep=True)
 
 
 def _units(docs: DataFrame, min_words: int, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Repeated lines, removed lines by id, and repeated passages."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).where("id IS NOT NULL")
-    lines = written(repeated_lines(rows, min_words, size, percent))
+    lines = repeated_lines(rows, min_words, size, percent)
     gone = written(lines.where("removed").groupBy("id").agg(F.collect_set("line").alias("gone")))
     return lines, gone, repeated_passages(rows, gone, min_words)
 
@@ -271,12 +309,17 @@ def _without(text: bytes, lines: set[int], cuts: list[tuple[int, int]]) -> bytes
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines and passages that repeat an earlier one; no row is dropped."""
-    _, gone, passages = _units(docs, min_words, SIZE, PERCENT, id_col, text_col)
-    cuts = passages.where("removed").groupBy("id").agg(F.collect_list(F.struct("version", "start", "end")).alias("__cuts"))
-    edits = written(gone.withColumnRenamed("gone", "__lines").join(cuts, "id", "full_outer").withColumnRenamed("id", id_col))
-    size = F.greatest(F.size("__lines"), F.lit(0)) + F.greatest(F.size("__cuts"), F.lit(0))
-    marked = join_ids(docs, edits, id_col, "left", size).withColumn("__version", F.xxhash64(text_or_empty(text_col)))
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    gone_col, cuts_col, version_col, key = (unused([*names, "id"], c) for c in ("gone", "cuts", "version", "edited_id"))
+    with scratch(docs.sparkSession):
+        _, gone, passages = _units(docs, min_words, SIZE, PERCENT, id_col, text_col)
+        cuts = passages.where("removed").groupBy("id").agg(F.collect_list(F.struct("version", "start", "end")).alias(cuts_col))
+        edits = gone.withColumnRenamed("gone", gone_col).join(cuts, "id", "full_outer").withColumnRenamed("id", key)
+        edits = written(edits, keep=True)
+    size = F.greatest(F.size(gone_col), F.lit(0)) + F.greatest(F.size(cuts_col), F.lit(0))
+    marked = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(version_col, F.xxhash64(text_or_empty(text_col)))
+    marked = join_ids(marked, edits, key, "left", size)
+    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,5 +332,4 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
             columns = [pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = docs.columns
-    return marked.select(*names, "__lines", "__cuts", "__version").mapInArrow(releasing(run), docs.schema)
+    return marked.select(*(F.col(f"`{c}`") for c in names), gone_col, cuts_col, version_col).mapInArrow(releasing(run), docs.schema)
