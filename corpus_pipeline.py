@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlume.llm import bpe, decontamination, ngram_join, quality, substring_dedup
-from paperlume.llm._spark import shared_folder, table
+from paperlume.llm._spark import shared_folder, table, unused
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the attention classifier does not reject."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, model, out="__score").where(F.col("__score") >= 0.5).select(docs.columns)
+    score = unused(docs.columns, "score")
+    return quality.with_score(docs, model, out=score).where(F.col(score) >= 0.5).select(docs.columns)
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +40,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids (little-endian 32 bits), how many, and whether they decode to the text."""
-    encoded = bpe.decode(bpe.encode(docs, out="ids_le"), ids_col="ids_le", out="__decoded")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return encoded.select(*docs.columns, "ids_le", (F.octet_length("ids_le") / 4).cast("long").alias("n_tokens"), (F.col("__decoded") == text).alias("lossless"))
+    """The documents with their token ids (little-endian 32 bits), how many, and whether they decode to the text.
+
+    These columns replace ones of the same names.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ("ids_le", "n_tokens", "lossless")]
+    made = unused(docs.columns, "encoded")
+    encoded = bpe.encode_checked(docs.select(kept), out=made)
+    ids = F.col(made)["ids_le"]
+    return encoded.select(*kept, ids.alias("ids_le"), (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.col(made)["lossless"].alias("lossless"))
 
 
 STAGES = [
