@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch. Workers hold some batches and what is made from them; JVMs hold the same outside the heap.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session's Python functions to ``BATCH_BYTES``."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -96,6 +105,7 @@ def written(df: DataFrame, keep: bool = False) -> DataFrame:
 
 def _collect_lineage(spark: SparkSession) -> None:
     shared_folder(spark)
+    small_batches(spark)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import release_memory, text_or_empty
+from ._spark import release_memory, small_batches, text_or_empty
 from .pieces import PieceCache, byte_balanced, split_safely
 from .token_count import tokenizer_path
 
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_500_000
 #: Words of more bytes are merged in several parts at once.
 LONG = 512
 CACHE_CHARS = 2_000_000
@@ -200,6 +200,7 @@ def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text_col: str
             for texts in batches:
                 yield pa.array(bpe.encode_batch(texts.to_pylist()), pa.binary())
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, apply(text_or_empty(text_col)))
 
 
@@ -212,6 +213,7 @@ def decode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ids_col: str =
             for ids in batches:
                 yield pa.array([bpe.decode(x or b"") for x in ids.to_pylist()], pa.string())
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, apply(F.col(ids_col)))
 
 
@@ -230,6 +232,7 @@ def encode_checked(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text_c
                 same = [bpe.decode(x) == text for x, text in zip(ids, texts)]
                 yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(same, pa.bool_())], names=["ids_le", "lossless"])
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, apply(text_or_empty(text_col)))
 
 
@@ -255,6 +258,7 @@ def round_trip(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: st
                     names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"],
                 )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     out = rows.mapInArrow(digests, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
     return out.withColumnRenamed("id", id_col)

@@ -23,15 +23,15 @@ are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import join_ids, text_or_empty, unused, written
+from ._spark import join_ids, release_memory, small_batches, text_or_empty, unused, written
 from .words import Words, row_chunks, words_in, words_of
 
 SHINGLE = 5
@@ -185,10 +185,12 @@ def _index(items: DataFrame) -> ItemIndex:
 
 
 MATCH = "array<struct<item_id: long, similarity: double, first_word: long, n_words: long>>"
+MATCH_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "matches", item_col: str = "item_id", item_text_col: str = "text", item_bytes: int = ITEM_BYTES) -> DataFrame:
     """``docs`` with an array column ``out`` of the benchmark items that each text contains."""
+    small_batches(docs.sparkSession)
     items = _items(benchmark, item_col, item_text_col)
     count = -(-(items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // item_bytes) or 1
     if count == 1:
@@ -206,13 +208,12 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 
 def _matcher(index: ItemIndex):
-    @F.pandas_udf(MATCH)
-    def apply(texts: pd.Series) -> pd.Series:
-        rows = []
-        for _, data, offsets in row_chunks(pa.array(texts, pa.large_string())):
-            for own in index.rows(words_in(data, offsets, split_punctuation=True)):
-                rows.append([dict(zip(("item_id", "similarity", "first_word", "n_words"), m)) for m in own])
-        return pd.Series(rows, dtype=object)
+    @F.arrow_udf(MATCH)
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = [[dict(zip(("item_id", "similarity", "first_word", "n_words"), m)) for m in own] for _, data, offsets in row_chunks(texts) for own in index.rows(words_in(data, offsets, split_punctuation=True))]
+            yield pa.array(rows, MATCH_TYPE)
+        release_memory()
 
     return apply
 

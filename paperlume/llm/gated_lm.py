@@ -12,8 +12,9 @@ The base score is that of a smoothed unigram model. Counts cover all training ro
 pre-aggregated in each task and shuffled by word. Frequent words' counts, ``HEAD_WORDS`` at most,
 travel to the tasks; those of all other words are joined to their occurrences by a shuffle.
 
-Scale: two narrow passes over all texts and one over the training rows, which are read in each round. What is shuffled are a
-task's distinct words, and occurrences of rare words. A task holds about ``GROUP_TOKENS`` tokens.
+Scale: two narrow passes over all texts, and one that writes the training rows' symbols (two bytes a
+token), of which each round reads its part. What is shuffled are a task's distinct words, and
+occurrences of rare words. A task holds about ``GROUP_TOKENS`` tokens, or one longer document.
 
 Edge cases: null and empty texts have the end token alone; a null id is not held out; repeated
 ids are separate rows; with no training rows all words are unknown; an empty table gives no rows;
@@ -29,20 +30,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed, text_or_empty
+from ._spark import releasing, scratch, text_or_empty, written
 from .words import row_chunks, words_in
 
 HIDDEN, CLASSES, PER_CLASS = 16, 32, 32
 SYMBOLS = CLASSES * PER_CLASS
 END, OTHER = 0, 1
 HEAD_WORDS = 1 << 18
-GROUP_TOKENS = 4_000_000
-#: Training: every row belongs to one of the rounds; a trainer has about ``TRAINER_BYTES`` of a round at least.
-ROUNDS, TRAINERS, TRAINER_BYTES = 8, 64, 2_000_000
-LANES, WINDOW, RATE = 64, 20, 0.004
+#: Tokens that are scored together, and that a trainer holds at a time.
+GROUP_TOKENS, TRAIN_TOKENS = 3_000_000, 2_000_000
+#: Training: every row belongs to one of the rounds; a trainer has about ``TRAINER_TOKENS`` of a round at least.
+ROUNDS, TRAINERS, TRAINER_TOKENS = 8, 256, 800_000
+#: A run of symbols is cut into lanes that take about ``STEPS`` steps of the optimiser, at most ``LANES`` of them.
+LANES, STEPS, WINDOW, RATE = 256, 200, 20, 0.01
 #: The end token in counts of words; words hash to other values with all but certainty.
 END_WORD = np.uint64(0)
 _COUNT_LIMIT = 4_000_000
@@ -120,7 +124,7 @@ class GatedUnit:
 
     def backward(self, x: np.ndarray, kept: list, dh: np.ndarray, grads: dict[str, np.ndarray]) -> None:
         """Adds the gradients of a window; dh (steps, lanes, HIDDEN) comes from the outputs."""
-        later = np.zeros_like(dh[0])
+        later, into = np.zeros_like(dh[0]), np.empty((*x.shape, 3 * HIDDEN), np.float32)
         for t in reversed(range(len(x))):
             h, z, r, n, a = kept[t]
             d = dh[t] + later
@@ -128,13 +132,19 @@ class GatedUnit:
             dz = d * (h - n) * z * (1 - z)
             dr = dn * a * r * (1 - r)
             da = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(grads["G"], x[t], np.concatenate([dz, dr, dn], axis=1))
+            into[t] = np.concatenate([dz, dr, dn], axis=1)
             grads["U"] += h.T @ da
             later = (d * z + da @ self.p["U"].T) * (x[t] != END)[:, None]
+        # Rows of one symbol are added up together.
+        flat = x.ravel()
+        order = np.argsort(flat, kind="stable")
+        own = flat[order]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        grads["G"][own[first]] += np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], first)
 
     def train(self, symbols: np.ndarray, epochs: int) -> None:
         """Truncated backpropagation over one long run of symbols, cut into lanes."""
-        lanes = max(1, min(LANES, len(symbols) // (4 * WINDOW)))
+        lanes = int(np.clip(len(symbols) // (STEPS * WINDOW), 1, LANES))
         steps = -(-len(symbols) // lanes)
         if not steps:
             return
@@ -161,9 +171,13 @@ class GatedUnit:
                     self.p[k] += RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.995**step)) + 1e-7)
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
-        """Log10 probability of each document's symbols, the state carried through the whole of it."""
+        """Log10 probability of each document's symbols, the state carried through the whole of it.
+
+        Documents are dealt to as many lanes as the longest of them fits into their total, so
+        the padded matrix is never much larger than they are.
+        """
         total, longest = sum(map(len, documents)), max(map(len, documents))
-        lanes = int(np.clip(total // longest, 16, 384))
+        lanes = int(np.clip(total // longest, 1, 384))
         heap = [(0, k) for k in range(lanes)]
         members: list[list[int]] = [[] for _ in range(lanes)]
         for k in sorted(range(len(documents)), key=lambda k: -len(documents[k])):
@@ -173,10 +187,10 @@ class GatedUnit:
         runs = [np.concatenate([documents[k] for k in own]) for own in members if own]
         order = sorted(range(len(runs)), key=lambda k: -len(runs[k]))
         sizes = np.array([len(runs[k]) for k in order])
-        y = np.full((sizes[0], len(order)), END, np.int64)
+        y = np.full((sizes[0], len(order)), END, np.int32)
         for lane, k in enumerate(order):
             y[: len(runs[k]), lane] = runs[k]
-        x = np.vstack([np.full((1, len(order)), END), y[:-1]])
+        x = np.vstack([np.full((1, len(order)), END, np.int32), y[:-1]])
         gained = np.zeros(y.shape, np.float32)
         h = np.zeros((len(order), HIDDEN), np.float32)
         step = 64
@@ -259,7 +273,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         for at in range(0, len(words), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 200_000].view(np.int64)), pa.array(counts[at : at + 200_000])], names=["word", "c"])
 
-    return rows.mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(releasing(run), "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def describe(counts: DataFrame) -> Corpus:
@@ -273,9 +287,8 @@ def describe(counts: DataFrame) -> Corpus:
         if held > HEAD_WORDS:
             break
         least = r["level"]
-    head = counts.where(level >= least).collect() if least is not None else []  # HEAD_WORDS rows at most
-    words = np.array([r["word"] for r in head], np.int64).view(np.uint64)
-    c = np.array([r["c"] for r in head], np.int64)
+    head = counts.where(level >= least if least is not None else F.lit(False)).select("word", "c").toArrow()  # HEAD_WORDS rows at most
+    words, c = head["word"].to_numpy().astype(np.int64).view(np.uint64), head["c"].to_numpy().astype(np.int64)
     order = np.argsort(words)
     words, c = words[order], c[order]
     symbol = np.full(len(words), OTHER, np.int64)
@@ -288,48 +301,53 @@ def describe(counts: DataFrame) -> Corpus:
     return Corpus(words, c, symbol, total, distinct, int(sums[OTHER]), distinct - int(own.sum()), sums)
 
 
-def _training_run(corpus: Corpus, batches: Iterator[pa.RecordBatch], most: int) -> np.ndarray:
-    """The symbols of the rows, each with its end, as far as about ``most`` tokens."""
-    parts, held = [], 0
-    for batch in batches:
-        for _, hashed, bounds in _tokens(batch.column(1)):
-            symbols = corpus.symbols(corpus.lookup(hashed))
-            parts.append(np.insert(symbols, bounds[1:], END))
-            held += len(parts[-1])
-        if held > most:
-            break
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+def _training_symbols(rows: DataFrame, corpus: Broadcast) -> DataFrame:
+    """The symbols of (id, text) as 16-bit integers, each row's with its end: turn, n and symbols of some rows at a time.
+
+    The rows of an input partition share a round, so a round reads the files that hold it and no others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, hashed, bounds in _tokens(batch.column(1)):
+                own = np.insert(corpus.value.symbols(corpus.value.lookup(hashed)), bounds[1:], END).astype("<u2")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, 1), pa.array([len(own)], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["turn", "n", "symbols"])
+
+    turn = (F.spark_partition_id() % ROUNDS).alias("turn")
+    return rows.select(turn, "text").mapInArrow(releasing(run), "turn int, n long, symbols binary")
 
 
-def train(rows: DataFrame, corpus: Corpus) -> GatedUnit:
+def train(rows: DataFrame, corpus: Broadcast) -> GatedUnit:
     """A unit trained on (id, text): on every row once, a part of them in each round."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(corpus)
-    place = F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS))
 
     def one(model: GatedUnit):
         packed = pickle.dumps(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # A trainer goes on through all its rows, a bounded run of them at a time.
-            unit, seen = pickle.loads(packed), 0
-            batches = iter(batches)
-            while len(symbols := _training_run(shared.value, batches, GROUP_TOKENS)):
-                unit.train(symbols, 1)
-                seen += len(symbols)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([pickle.dumps(unit)], pa.binary())], names=["n", "unit"])
+            unit, seen, parts, held = pickle.loads(packed), 0, [], 0
+            for symbols in (x.as_py() for batch in batches for x in batch.column(0)):
+                parts.append(np.frombuffer(symbols, "<u2"))
+                held += len(parts[-1])
+                if held >= TRAIN_TOKENS:
+                    unit.train(np.concatenate(parts), 1)
+                    seen, parts, held = seen + held, [], 0
+            if held:
+                unit.train(np.concatenate(parts), 1)
+            if seen + held:
+                yield pa.RecordBatch.from_arrays([pa.array([seen + held], pa.int64()), pa.array([pickle.dumps(unit)], pa.binary())], names=["n", "unit"])
 
         return run
 
-    model = GatedUnit(corpus.symbol_counts)
-    sizes = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    trainers = max(1, min(TRAINERS, sizes // (ROUNDS * TRAINER_BYTES)))
-    for turn in range(ROUNDS if sizes else 0):
-        found = rows.where(place == turn).coalesce(trainers).mapInArrow(one(model), "n long, unit binary").collect()  # TRAINERS rows at most
-        weight = sum(r["n"] for r in found)
-        units = [(r["n"] / weight, pickle.loads(r["unit"]).p) for r in found]
-        if units:
+    model = GatedUnit(corpus.value.symbol_counts)
+    with scratch(rows.sparkSession):
+        table = written(_training_symbols(rows, corpus))
+        for turn, n in sorted(map(tuple, table.groupBy("turn").agg(F.sum("n")).collect())):  # ROUNDS rows at most
+            trainers = int(max(1, min(TRAINERS, n // TRAINER_TOKENS)))
+            own = table.where(F.col("turn") == turn).select("symbols")
+            found = own.coalesce(trainers).mapInArrow(releasing(one(model)), "n long, unit binary").collect()  # TRAINERS rows at most
+            weight = sum(r["n"] for r in found)
+            units = [(r["n"] / weight, pickle.loads(r["unit"]).p) for r in found]
             model.seen += weight
             model.p = {k: sum(w * p[k] for w, p in units).astype(np.float32) for k in model.p}
     return model
@@ -339,13 +357,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: its id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     learned = rows.where(fold("id", folds) != held_fold)
-    counts = checkpointed(word_counts(learned))
+    counts = written(word_counts(learned))
     corpus = describe(counts)
-    shared = rows.sparkSession.sparkContext.broadcast((corpus, train(learned, corpus)))
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast(corpus)
+    trained = context.broadcast(train(learned, shared))
     whole, others = corpus.total + 0.5 * (corpus.distinct + 1), corpus.other_total + 0.5 * (corpus.other_distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, unit = shared.value
+        known, unit = shared.value, trained.value
         group: list = []
         held = 0
         for batch in batches:
@@ -359,7 +379,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield _scored(known, unit, group, whole, others)
 
     columns = "id long, n_tokens long, n_known long, base double, score double, rare array<long>"
-    scored = checkpointed(rows.mapInArrow(run, columns).withColumn("row", F.monotonically_increasing_id()))
+    scored = written(rows.mapInArrow(releasing(run), columns).withColumn("row", F.monotonically_increasing_id()))
     c = F.coalesce("c", F.lit(0))
     rare = scored.select("row", F.explode("rare").alias("word")).join(counts, "word", "left").groupBy("row").agg(
         F.count_if(c > 0).alias("more_known"), F.sum(F.log10((c + 0.5) / whole)).alias("more_base"), F.sum(F.log10((c + 0.5) / others)).alias("more_score")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import release_memory, text_or_empty
+from ._spark import release_memory, small_batches, text_or_empty
 from ._training import fit_in_one_task, fold_of, labelled_sample
 from .words import row_chunks, words_in
 
@@ -192,6 +192,7 @@ def with_score(docs: DataFrame, model: AttentionModel, text_col: str = "text", o
         yield from (pa.array(model.score(texts), pa.float64()) for texts in batches)
         release_memory()
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, apply(text_or_empty(text_col)))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import releasing, text_or_empty
+from ._spark import releasing, small_batches, text_or_empty
 from ._training import fit_in_one_task, fold_of, labelled_sample
 from .words import Words, mix, row_chunks, words_in
 
@@ -99,10 +99,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
     return fit_in_one_task(sample, fit_ftrl)
 
 
-def score_texts(column: pa.Array, model: SparseWeights) -> np.ndarray:
-    """Probability of label 1 for every row."""
+def dense_weights(model: SparseWeights) -> np.ndarray:
     dense = np.zeros(1 << BITS)
     dense[model.index] = model.weight
+    return dense
+
+
+def score_texts(column: pa.Array, model: SparseWeights, dense: np.ndarray | None = None) -> np.ndarray:
+    """Probability of label 1 for every row; ``dense`` are the weights of all buckets."""
+    dense = dense_weights(model) if dense is None else dense
     out = np.zeros(len(column))
     for (first, count), row, bucket in _per_row(column):
         live = dense[bucket] != 0
@@ -115,9 +120,11 @@ def score(docs: DataFrame, model: SparseWeights, folds: int = 5, held_fold: int
     """Per row: its id, held_out, score and predicted (1 where the score is 0.5 or more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = dense_weights(model)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(batch.column(1), model))], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(batch.column(1), model, dense))], names=["id", "score"])
 
+    small_batches(docs.sparkSession)
     scored = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(releasing(run), "id long, score double")
     return scored.select(
         F.col("id").alias(id_col),
