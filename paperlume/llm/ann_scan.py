@@ -2,19 +2,24 @@
 
 Method: a k-means of a bounded sample gives the lists; every vector is put into the list of its
 nearest centroid. A query probes the lists whose centroids have the largest inner products with
-it. Inside a tile, vectors are rotated by a random orthogonal matrix and laid out in blocks of
-columns. After each block a hypothesis test compares the distance seen so far, scaled up, with the
-distance that a candidate may have to be among the query's best, and abandons it if it exceeds
-that by more than chance allows. What reaches the last block is scored exactly on the original
-vectors. A query's first bar is its k-th best among a sample of the vectors, and rises as it finds
-better ones.
+it. Vectors are rotated onto the principal axes of the sample, so that the first columns tell most,
+and laid out in blocks of columns. After each block a hypothesis test compares the distance seen so
+far with the distance of the query's bar, its k-th best score until now: no more than ``MISS`` of
+the sampled true neighbours had a larger part of their distance in those columns, so a (query,
+candidate) pair that has more is abandoned. Blocks are multiplied as matrices while many pairs live
+and pair by pair after that. What reaches the end is scored exactly on the original vectors.
+
+A query first searches its nearest lists, until they hold ``NEAR`` times k rows; the k-th best there
+is its bar for all other lists, and it rises with each list of a tile.
 
 The number of probed lists is the smallest that finds ``COVERAGE`` of the true neighbours of
 sampled queries in the sample. Data without clusters need many lists; that is measured, not assumed.
 
 Scale: lists are dealt into cells and cells into tiles of about ``TILE`` rows by a hash of the id,
 so one very common vector fills many tiles, not one. Queries are dealt into blocks too and go only
-to cells they probe. Each tile returns at most k rows a query; ranks come from a window over those.
+to cells they probe; a task compares one block with one tile. All pairs of a block and a tile that
+it probes have to meet, so vectors are copied once for each ``QUERY_BLOCK`` queries. Each tile returns at most
+k rows a query, few beyond the nearest lists; ranks come from a window over those.
 
 Edge cases: vectors that are null, all zero, of another length than most of the sample, or hold a
 null or non-finite component take no part, nor do null ids; rows with the query's own id are not
@@ -31,18 +36,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed
+from ._spark import scratch, written
 
 K, QUERY_EVERY = 20, 20
-#: Vectors that the index is fitted on, and those of them that set the queries' first bars.
-SAMPLE, BAR_SAMPLE = 8192, 2048
-MAX_LISTS, TILE, QUERY_BLOCK = 1024, 2048, 4096
-COVERAGE = 0.975
-#: Columns of a block, and how many deviations a scaled partial distance may exceed its bound.
-BLOCK, DEVIATIONS = 16, 2.1
+#: Vectors that the index is fitted on.
+SAMPLE = 8192
+MAX_LISTS, TILE, QUERY_BLOCK = 1024, 8192, 16_384
+COVERAGE, NEAR = 0.98, 10
+#: Columns of a block, the share of true neighbours that a test may miss, and the share of live pairs up to which they are taken one by one.
+BLOCK, MISS, FEW = 8, 0.005, 0.4
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -54,28 +59,28 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 @dataclass
 class Index:
-    """Centroids, rotation, number of probed lists and the sample that sets the first bars."""
+    """Centroids, rotation, number of probed lists and, for each block of columns, the largest part of a neighbour's distance in it and those before it."""
 
     centroids: np.ndarray
     rotation: np.ndarray
     probes: int
-    bar_ids: np.ndarray
-    bars: np.ndarray
+    parts: np.ndarray
 
     def lists_of(self, x: np.ndarray) -> np.ndarray:
         return np.argmax(x @ self.centroids.T - 0.5 * (self.centroids**2).sum(1), axis=1)
 
-    def probed(self, queries: np.ndarray, held: np.ndarray, least: int) -> np.ndarray:
-        """Which lists each query probes: the first ``probes``, and on until they hold ``least`` rows."""
+    def probed(self, queries: np.ndarray, held: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest lists of each query, those that hold ``least`` rows together, and the other lists it probes."""
         order = np.argsort(-(queries @ self.centroids.T), axis=1, kind="stable")
         before = np.cumsum(held[order], axis=1) - held[order]
-        wanted = (np.arange(order.shape[1]) < self.probes) | (before < least)
-        out = np.zeros(order.shape, bool)
-        np.put_along_axis(out, order, wanted, axis=1)
-        return out
+        out = []
+        for wanted in (before < least, (np.arange(order.shape[1]) < self.probes) & (before >= least)):
+            out.append(np.zeros(order.shape, bool))
+            np.put_along_axis(out[-1], order, wanted, axis=1)
+        return out[0], out[1]
 
 
-def _fit(ids: np.ndarray, x: np.ndarray, lists: int, k: int) -> Index:
+def _fit(x: np.ndarray, lists: int, k: int) -> Index:
     r = np.random.default_rng(17)
     centroids = x[r.choice(len(x), min(lists, len(x)), replace=False)].copy()
     for _ in range(12):
@@ -84,9 +89,9 @@ def _fit(ids: np.ndarray, x: np.ndarray, lists: int, k: int) -> Index:
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, x)
         centroids[count > 0] = sums[count > 0] / count[count > 0, None]
-    rotation = np.linalg.qr(r.standard_normal((x.shape[1], x.shape[1])))[0]
+    rotation = np.linalg.eigh(np.cov(x.T) if len(x) > 1 else np.eye(x.shape[1]))[1].reshape(x.shape[1], -1)[:, ::-1] if x.shape[1] > 1 else np.eye(1)
     own = np.argmax(x @ centroids.T - 0.5 * (centroids**2).sum(1), axis=1)
-    asked = r.choice(len(x), min(256, len(x)), replace=False)
+    asked = r.choice(len(x), min(512, len(x)), replace=False)
     scores = x[asked] @ x.T
     scores[np.arange(len(asked)), asked] = -np.inf
     best = np.argsort(-scores, axis=1)[:, :k]
@@ -95,7 +100,11 @@ def _fit(ids: np.ndarray, x: np.ndarray, lists: int, k: int) -> Index:
     np.put_along_axis(rank, order, np.arange(len(centroids))[None], axis=1)
     reached = np.sort(np.take_along_axis(rank, own[best], axis=1).ravel())
     probes = int(reached[min(len(reached) - 1, int(COVERAGE * len(reached)))]) + 1
-    return Index(centroids, rotation, probes, ids[:BAR_SAMPLE], x[:BAR_SAMPLE])
+    apart = ((x[asked][:, None] - x[best]) @ rotation).reshape(-1, x.shape[1]) ** 2
+    until = np.cumsum(apart, axis=1)[:, BLOCK - 1 :: BLOCK]
+    whole = apart.sum(1)
+    parts = np.quantile((until / np.maximum(whole, 1e-300)[:, None])[whole > 0], 1 - MISS, axis=0) if (whole > 0).any() else np.ones(until.shape[1])
+    return Index(centroids, rotation, probes, np.minimum(parts * (1 + 1e-6), 1 + 1e-9))
 
 
 def fit_index(vectors: DataFrame, rows: int, k: int = K) -> Index | None:
@@ -109,7 +118,7 @@ def fit_index(vectors: DataFrame, rows: int, k: int = K) -> Index | None:
             found = pd.concat(parts, ignore_index=True)
             width = found["v"].map(len).mode()[0]
             found = found[found["v"].map(len) == width]
-            yield pd.DataFrame({"index": [pickle.dumps(_fit(found["id"].to_numpy(), np.stack(found["v"]), lists, k))]})
+            yield pd.DataFrame({"index": [pickle.dumps(_fit(np.stack(found["v"]), lists, k))]})
 
     fitted = sample.coalesce(1).mapInPandas(run, "index binary").collect()
     return pickle.loads(fitted[0]["index"]) if fitted else None
@@ -121,66 +130,67 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def scan(index: Index, q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, v_list: np.ndarray, probed: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Query ids, vector ids and scores of the best k of the tile for each query, as far as they pass its bar."""
-    width = q.shape[1]
-    bar = np.full(len(q), -np.inf)
-    if len(index.bars) > k:
-        seen = q @ index.bars.T
-        seen[q_ids[:, None] == index.bar_ids[None]] = -np.inf
-        bar = np.partition(seen, -k, axis=1)[:, -k] - 1e-9
+def _pairs(index: Index, rq: np.ndarray, rv: np.ndarray, most: np.ndarray, done: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of ``rq`` and of ``rv`` are left as pairs once all blocks are seen; ``most`` is the distance each pair may have.
+
+    ``done`` collects how many columns of pairs were computed, and how many there are.
+    """
+    width = rq.shape[1]
+    done[1] += most.size * width
+    seen = np.zeros(most.shape)
+    row = column = None
+    for b, d in enumerate(range(0, width, BLOCK)):
+        stop = min(width, d + BLOCK)
+        part = index.parts[b] if b < len(index.parts) else 1 + 1e-9
+        x, y = rq[:, d:stop], rv[:, d:stop]
+        if row is None:
+            seen += (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * (x @ y.T)
+            done[0] += most.size * (stop - d)
+            live = seen <= most * part + 1e-9
+            if stop == width or np.count_nonzero(live) <= FEW * live.size:
+                row, column = np.nonzero(live)
+                seen, most = seen[row, column], most[row, column]
+        else:
+            seen = seen + ((x[row] - y[column]) ** 2).sum(1)
+            done[0] += len(row) * (stop - d)
+            live = seen <= most * part + 1e-9
+            row, column, seen, most = row[live], column[live], seen[live], most[live]
+    return row, column
+
+
+def scan(index: Index, q_ids: np.ndarray, q: np.ndarray, bar: np.ndarray, v_ids: np.ndarray, v: np.ndarray, v_list: np.ndarray, probed: np.ndarray, k: int, done: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, vector ids and scores of the best k of the tile for each query, as far as they reach its bar."""
+    bar = bar.copy()
     rq, rv = q @ index.rotation, v @ index.rotation
     q2, v2 = (q**2).sum(1), (v**2).sum(1)
-    found: list[list[np.ndarray]] = [[], [], []]
+    row, column, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     for own in np.unique(v_list):
         cand = np.flatnonzero(v_list == own)
-        for at in range(0, len(q), 512):
-            ask = at + np.flatnonzero(probed[at : at + 512, own])
-            if not len(ask):
-                continue
-            most = q2[ask][:, None] + v2[cand][None] - 2 * bar[ask][:, None]
-            seen = np.zeros((len(ask), len(cand)))
-            for d in range(0, width, BLOCK):
-                stop = min(width, d + BLOCK)
-                a, b = rq[ask, d:stop], rv[cand, d:stop]
-                seen += (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * (a @ b.T)
-                slack = (1 + DEVIATIONS / np.sqrt(stop)) ** 2 if stop < width else 1 + 1e-9
-                alive = seen * (width / stop) <= most * slack + 1e-9
-                # A candidate that every query of the block has abandoned is not looked at again.
-                left = alive.any(0)
-                if stop < width and not left.all():
-                    cand_left = np.flatnonzero(left)
-                    cand, seen, most, alive = cand[cand_left], seen[:, cand_left], most[:, cand_left], alive[:, cand_left]
-                seen[~alive] = np.inf
-                if not len(cand):
-                    break
-            row, column = np.nonzero(np.isfinite(seen))
-            row, column = ask[row], cand[column]
-            other = q_ids[row] != v_ids[column]
-            row, column = row[other], column[other]
-            score = np.einsum("ij,ij->i", q[row], v[column])
-            for part, values in zip(found, (row, column, score)):
-                part.append(values)
-            cand = np.flatnonzero(v_list == own)
-    if not found[0]:
-        return
-    row, column, score = map(np.concatenate, found)
-    order = np.lexsort((v_ids[column], -score, row))
-    row, column, score = row[order], column[order], score[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = place < k
-    yield q_ids[row[keep]], v_ids[column[keep]], score[keep]
-
-
-def _best_of_sample(index: Index, q_ids: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch:
-    scores = q @ index.bars.T
-    scores[q_ids[:, None] == index.bar_ids[None]] = -np.inf
-    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    row, column = np.repeat(np.arange(len(q)), order.shape[1]), order.ravel()
-    other = q_ids[row] != index.bar_ids[column]
-    row, column = row[other], column[other]
-    score = np.einsum("ij,ij->i", q[row], index.bars[column])
-    return pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(index.bar_ids[column]), pa.array(score)], names=["query_id", "vec_id", "score"])
+        asking = np.flatnonzero(probed[:, own])
+        for at in range(0, len(asking), step := max(1, 1_000_000 // len(cand))):
+            ask = asking[at : at + step]
+            with np.errstate(invalid="ignore"):
+                most = q2[ask][:, None] + v2[cand][None] - 2 * (bar[ask][:, None] - 1e-9)
+            i, j = _pairs(index, rq[ask], rv[cand], most, done)
+            i, j = ask[i], cand[j]
+            other = q_ids[i] != v_ids[j]
+            i, j = i[other], j[other]
+            row, column, score = np.r_[row, i], np.r_[column, j], np.r_[score, np.einsum("ij,ij->i", q[i], v[j])]
+        # The best k of each query, and bars that rise with them.
+        order = np.lexsort((v_ids[column], -score, row))
+        row, column, score = row[order], column[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == k - 1
+        bar[row[last]] = np.maximum(bar[row[last]], score[last])
+        row, column, score = row[place < k], column[place < k], score[place < k]
+    return q_ids[row], v_ids[column], score
+
+
+def _distinct(ids: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Rows of different ids or vectors; equal ones count once."""
+    order = np.lexsort((v.sum(1), ids))
+    again = np.r_[False, (ids[order][1:] == ids[order][:-1]) & (v[order][1:] == v[order][:-1]).all(1)]
+    return np.sort(order[~again])
 
 
 def search(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -191,58 +201,73 @@ def search(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_co
     index = fit_index(rows, total, k)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, lists = index.centroids.shape[1], len(index.centroids)
-    cells = max(1, min(lists, -(-total // TILE)))
-    query_blocks = max(1, -(-total // query_every // QUERY_BLOCK))
-    shared = spark.sparkContext.broadcast(index)
+    found = _Search(spark, index, total, k, query_every)
+    with scratch(spark):
+        listed = written(rows.where(F.size("v") == index.centroids.shape[1]).mapInArrow(found.assign, "id long, v array<double>, list int"))
+        asking = listed.where(F.col("id") % query_every == 0).select("id", "v")
+        first = written(_best(found.compared(listed, asking.withColumn("bar", F.lit(float("-inf"))), near=True), k))
+        bars = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bar"))
+        barred = asking.join(bars.withColumnRenamed("query_id", "id"), "id", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+        rest = found.compared(listed, barred, near=False)
+        ranked = _best(first.select("query_id", "vec_id", "score").unionByName(rest), k)
+        return written(ranked.select("query_id", "rank", "vec_id", "score"), keep=True)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                own = pa.array(shared.value.lists_of(_matrix(batch.column(1), width)), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own], names=["id", "v", "list"])
 
-    listed = checkpointed(rows.where(F.size("v") == width).mapInArrow(assign, "id long, v array<double>, list int"))
-    held = np.zeros(lists, np.int64)
-    for row in listed.groupBy("list").count().collect():  # one row for each list, ``MAX_LISTS`` at most
-        held[row["list"]] = row["count"]
-    tiles = [max(1, -(-int(held[c::cells].sum()) // (2 * TILE))) for c in range(cells)]
-    in_cell = F.array(*map(F.lit, tiles))
-    least = 10 * k
+class _Search:
+    """Routes queries and vectors to tiles and compares them."""
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                probed = shared.value.probed(_matrix(batch.column(1), width), held, least)
-                padded = np.zeros((len(batch), -(-lists // cells) * cells), bool)
-                padded[:, :lists] = probed
-                asked = padded.reshape(len(batch), -1, cells).any(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.flatnonzero(a).astype(np.int32) for a in asked], pa.list_(pa.int32()))], names=["id", "v", "cells"])
-
-    asking = listed.where(F.col("id") % query_every == 0).select("id", "v").mapInArrow(route, "id long, v array<double>, cells array<int>")
-    asking = asking.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(query_blocks))).select("id", "v", "block", F.explode("cells").alias("cell"))
-    asking = asking.select("id", "v", "block", "cell", F.explode(F.sequence(F.lit(0), F.get(in_cell, F.col("cell")) - 1)).alias("tile"))
-    placed = listed.withColumn("cell", F.col("list") % cells)
-    placed = placed.withColumn("tile", F.pmod(F.xxhash64("id"), F.get(in_cell, F.col("cell")).cast("long")).cast("int"))
-    placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")).alias("block"))
-
-    def compare(queries: pa.Table, found: pa.Table) -> pa.Table:
-        parts: list[tuple] = []
-        if queries.num_rows and found.num_rows:
-            own = shared.value
-            q, v = _matrix(queries["v"], width), _matrix(found["v"], width)
-            parts = list(scan(own, queries["id"].to_numpy(), q, found["id"].to_numpy(), v, found["list"].to_numpy(), own.probed(q, held, least), k))
-        columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(3)]
-        return pa.table({"query_id": pa.array(columns[0].astype(np.int64)), "vec_id": pa.array(columns[1].astype(np.int64)), "score": pa.array(columns[2].astype(np.float64))})
-
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, spark: SparkSession, index: Index, total: int, k: int, query_every: int):
+        self.shared, self.k, self.least = spark.sparkContext.broadcast(index), k, NEAR * k
+        self.width, self.lists = index.centroids.shape[1], len(index.centroids)
+        self.cells = max(1, min(self.lists, -(-total // TILE)))
+        self.blocks = max(1, -(-total // query_every // QUERY_BLOCK))
+        self.held: np.ndarray | None = None
+
+    def assign(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                yield _best_of_sample(shared.value, batch.column(0).to_numpy(), _matrix(batch.column(1), width), k)
+                own = pa.array(self.shared.value.lists_of(_matrix(batch.column(1), self.width)), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own], names=["id", "v", "list"])
 
-    # The neighbours that set the first bars, so that k are found whatever the probed lists hold.
-    first = listed.where(F.col("id") % query_every == 0).select("id", "v").mapInArrow(seen, "query_id long, vec_id long, score double")
-    keys = ["cell", "tile", "block"]
-    near = asking.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.unionByName(first).distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("vec_id"), "score")
+    def compared(self, listed: DataFrame, asking: DataFrame, near: bool) -> DataFrame:
+        """(query_id, vec_id, score) of the queries (id, v, bar) in their nearest lists, or in the others that they probe."""
+        shared, width, lists, cells, blocks, k, least = self.shared, self.width, self.lists, self.cells, self.blocks, self.k, self.least
+        if self.held is None:
+            self.held = np.zeros(lists, np.int64)
+            for row in listed.groupBy("list").count().collect():  # one row for each list, ``MAX_LISTS`` at most
+                self.held[row["list"]] = row["count"]
+        held = self.held
+        tiles = [max(1, -(-int(held[c::cells].sum()) // (2 * TILE))) for c in range(cells)]
+        in_cell = F.array(*map(F.lit, tiles))
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    probed = shared.value.probed(_matrix(batch.column(1), width), held, least)[0 if near else 1]
+                    padded = np.zeros((len(batch), -(-lists // cells) * cells), bool)
+                    padded[:, :lists] = probed
+                    asked = padded.reshape(len(batch), -1, cells).any(1)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([np.flatnonzero(a).astype(np.int32) for a in asked], pa.list_(pa.int32()))], names=["id", "v", "bar", "cells"])
+
+        def compare(queries: pa.Table, found: pa.Table) -> pa.Table:
+            out: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            if queries.num_rows and found.num_rows:
+                q, v, ids, own = _matrix(queries["v"], width), _matrix(found["v"], width), found["id"].to_numpy(), found["list"].to_numpy()
+                rows = _distinct(ids, v)
+                probed = shared.value.probed(q, held, least)[0 if near else 1]
+                out = scan(shared.value, queries["id"].to_numpy(), q, queries["bar"].to_numpy(), ids[rows], v[rows], own[rows], probed, k, [0, 0])
+            return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, out))))
+
+        routed = asking.mapInArrow(route, "id long, v array<double>, bar double, cells array<int>")
+        routed = routed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).select("id", "v", "bar", "block", F.explode("cells").alias("cell"))
+        routed = routed.select("*", F.explode(F.sequence(F.lit(0), F.get(in_cell, F.col("cell")) - 1)).alias("tile"))
+        placed = listed.withColumn("cell", F.col("list") % cells)
+        placed = placed.withColumn("tile", F.pmod(F.xxhash64("id"), F.get(in_cell, F.col("cell")).cast("long")).cast("int"))
+        placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
+        keys = ["cell", "tile", "block"]
+        return routed.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
