@@ -27,34 +27,53 @@ EXTRACTION_RULES = [
     ("page_range_dump", 0.85, r"\b(give|show|output|print|write|transcribe|reproduce|list|paste|dump)\b[^.?!]{0,30}\b(each|every|all)\s+(pages?|slides?|sheets?|paragraphs?|lines?|sentences?|clauses?)\b"),
     ("sequential_continuation", 0.5, r"^\s*(continue|keep going|go on|next|more|and then\??|carry on)\b[^.?!]{0,40}$|\b(continue|resume|carry on)\b[^.?!]{0,30}\b(from|with|where)\b[^.?!]{0,30}\b(page|slide|paragraph|section|you\s+(?:left|stopped))\b|\b(next|following)\s+(page|slide|section|chapter|paragraph|part)\b"),
 ]
+#: Signs of a question about the content. Fixed value.
 COMPREHENSION = r"\b(explain|summar(?:ise|ize)|what\s+(?:is|are|does)|why|how\s+(?:does|do|is)|compare|difference|which\s+section|where\s+is|does\s+the|is\s+there|when\s+(?:is|does)|who\s+(?:is|are)|risk|deadline|obligation|means?)\b"
-#: Block score, quoted units and attempts that limit a session, by mode. Fixed values.
-MODES = {"STANDARD": (0.75, 60, 8), "STRICT": (0.5, 25, 4)}
+#: Block score, quoted units and attempts that limit a session, by mode; OFF limits nothing. Fixed values.
+MODES = {"STANDARD": (0.75, 60, 8), "STRICT": (0.5, 25, 4), "OFF": (float("inf"), 1 << 30, 1 << 30)}
 
 #: How answers say that they have none. Fixed values.
 REFUSALS = [
     r"couldn'?t find", r"could not find", r"not (?:contained|included|present|mentioned|covered) in", r"(?:does|do) not (?:contain|include|mention|cover|specify)",
     r"no information (?:about|on|regarding)", r"isn'?t (?:in|covered)", r"can'?t reproduce",
 ]
+#: Shape of a word or a number. Fixed value.
 WELL_FORMED = r"^\p{L}[\p{L}'’-]*[\p{L}.,;:!?)]?$|^\d+([.,]\d+)*%?$"
 
 
+#: Words that name no theme. Fixed values.
+GENERIC = """about after again also any anything are because been before being between both can could did does doing done
+each explain find from give has have here how into its just know like make many more most much need not now only other
+our out over please said same say see should show some such tell than that the their them then there these they this
+those through time under use used using very want was way were what when where which while who why will with would you
+your document documents file files page pages""".split()
+#: An edge between what counts as a word and what does not where only ASCII letters, digits and _ are words.
+_EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
 def _any_case(pattern: str) -> str:
-    return "(?i)" + pattern
+    """The pattern for Java, whose own word edge counts letters beyond ASCII too."""
+    return "(?i)" + pattern.replace(r"\b", _EDGE)
 
 
 def topic(question: Column) -> Column:
-    """(slug, confidence) of the theme with most matches; earlier themes win ties; 'general' without any."""
+    """(slug, confidence) of the theme most of whose patterns match; earlier themes win ties.
+
+    Without any it is named by the first two words of four letters or more that are not generic, else 'general'.
+    """
+    flat = F.trim(question)
     hits = F.array(
         *(
-            F.struct(sum((F.regexp_count(question, F.lit(_any_case(p))) for p in patterns), F.lit(0)).alias("hits"), F.lit(-place).alias("place"), F.lit(slug).alias("slug"))
+            F.struct(sum((flat.rlike(_any_case(p)).cast("int") for p in patterns), F.lit(0)).alias("hits"), F.lit(-place).alias("place"), F.lit(slug).alias("slug"))
             for place, (slug, patterns) in enumerate(TOPICS.items())
         )
     )
     best = F.array_max(hits)
     found = best["hits"] > 0
     share = F.least(F.lit(0.55) + 0.2 * best["hits"], F.lit(0.95))
-    return F.struct(F.when(found, best["slug"]).otherwise("general").alias("slug"), F.round(F.when(found, share).otherwise(0.3), 6).alias("confidence"))
+    words = F.slice(F.filter(F.split(F.lower(flat), r"[^\p{L}\p{N}-]+"), lambda w: (F.length(w) > 3) & ~w.isin(*GENERIC)), 1, 2)
+    derived = F.when(F.size(words) > 0, F.substring(F.array_join(words, "-"), 1, 60)).otherwise("general")
+    return F.struct(F.when(found, best["slug"]).otherwise(derived).alias("slug"), F.round(F.when(found, share).otherwise(0.3), 6).alias("confidence"))
 
 
 def classify_request(question: Column, mode: str = "STANDARD", attempts: Column | None = None, quoted_units: Column | None = None) -> Column:

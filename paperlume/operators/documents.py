@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,15 +19,23 @@ from ..sources.tables import table
 #: Tokens of a chunk: target, most, least, overlap. Fixed values.
 TARGET, MOST, LEAST, OVERLAP = 320, 600, 40, 48
 CHARS_PER_TOKEN = 3.6
-_HEADING = re.compile(r"#{1,6}\s+\S|(\d+(\.\d+)*[.)]?)\s+\S.{0,100}$")
+_MARKED = re.compile(r"#{1,6}\s+\S")
+_NUMBERED = re.compile(r"[0-9]+(?:\.[0-9]+)*\.?\s+(\S)[^.!?]{2,100}$")
+
+
+def _capital(char: str) -> bool:
+    return unicodedata.category(char) == "Lu"
 
 
 def is_heading(line: str) -> bool:
-    """A marked or numbered line, or one in capitals, of at most 120 characters."""
+    """A marked line, a number with a capitalised title, or capitals alone; at most 120 characters and no end mark."""
     line = line.strip()
     if not line or len(line) > 120:
         return False
-    return bool(_HEADING.match(line)) or (line.upper() == line and line.lower() != line and len(line) > 3)
+    numbered = _NUMBERED.match(line)
+    if _MARKED.match(line) or numbered and _capital(numbered[1]):
+        return True
+    return 4 <= len(line) <= 81 and _capital(line[0]) and all(_capital(c) or c.isspace() or c in "0123456789&'/-" for c in line)
 
 
 def _tokens(text: str) -> int:
@@ -34,19 +43,23 @@ def _tokens(text: str) -> int:
 
 
 def sections_of(text: str, most: int = 1400) -> Iterator[tuple[str | None, str]]:
-    """(title, text) of the runs between headings; a long run goes on under the same title."""
-    title, lines, held = None, [], 0
-    for line in text.split("\n"):
-        heading = is_heading(line)
-        if lines and (heading or held > most):
-            yield title, "\n".join(lines).strip()
-            lines, held = [], 0
+    """(title, text) of the runs between headings, which are titles alone; a long run goes on under the same title."""
+    title, lines, held, found = None, [], -1, False
+    for line in [*text.split("\n"), None]:
+        heading = line is not None and is_heading(line)
+        if line is not None and not heading:
+            lines.append(line)
+            held += len(line) + 1
+        if line is None or heading or math.ceil(held / CHARS_PER_TOKEN) > most:
+            body = "\n".join(lines).strip()
+            if body:
+                found = True
+                yield title, body
+            lines, held = [], -1
         if heading:
-            title = line.strip().lstrip("#").strip()
-        lines.append(line)
-        held += _tokens(line)
-    if lines:
-        yield title, "\n".join(lines).strip()
+            title = re.sub(r"[:.\s]+$", "", re.sub(r"^#+\s*", "", line)).strip()[:300] or None
+    if not found and text:
+        yield None, text
 
 
 def chunks_of(text: str) -> Iterator[str]:

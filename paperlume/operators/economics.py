@@ -74,8 +74,8 @@ def unprofitable(spark, sf_dir):
     return _economics(spark, sf_dir).orderBy(F.desc("cost"), "tenant").limit(200).where("cost > 0 AND margin < 0")
 
 
-@query("companion_costs", oracle("SELECT room, count(*) FILTER (WHERE billable) AS questions, round(sum(cost_usd), 4) AS cost FROM led WHERE occurred_at >= TIMESTAMP '2001-10-01' GROUP BY room ORDER BY cost DESC, room LIMIT 20"))
-def companion_costs(spark, sf_dir):
+@query("room_costs", oracle("SELECT room, count(*) FILTER (WHERE billable) AS questions, round(sum(cost_usd), 4) AS cost FROM led WHERE occurred_at >= TIMESTAMP '2001-10-01' GROUP BY room ORDER BY cost DESC, room LIMIT 20"))
+def room_costs(spark, sf_dir):
     sums = ledger(spark, sf_dir).where("occurred_at >= TIMESTAMP_NTZ '2001-10-01'").groupBy("room").agg(F.count_if("billable").alias("questions"), money(F.sum("cost_usd")).alias("cost"))
     return sums.orderBy(F.desc("cost"), "room").limit(20)
 

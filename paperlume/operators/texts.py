@@ -55,7 +55,17 @@ def is_complex(spark, sf_dir):
     return _turns(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", text.is_complex(F.col("text"), 2).alias("is_complex"))
 
 
-@query("topic")
+def _topic_oracle() -> str:
+    """The themes' patterns as SQL; the first theme with most patterns wins."""
+    quoted = {slug: [p.replace("'", "''") for p in patterns] for slug, patterns in classify.TOPICS.items()}
+    hits = ", ".join(f"{' + '.join(f'CAST(regexp_matches(q, $$(?i){p}$$) AS INTEGER)' for p in patterns)} AS h_{slug}" for slug, patterns in classify.TOPICS.items())
+    names = " ".join(f"WHEN h_{slug} = m THEN '{slug}'" for slug in quoted)
+    words = ", ".join(f"'{w}'" for w in classify.GENERIC)
+    return f"""SELECT conv_id, turn, CASE WHEN m = 0 THEN CASE WHEN len(w) = 0 THEN 'general' ELSE substr(array_to_string(w, '-'), 1, 60) END {names} END AS slug, CAST(round(CASE WHEN m = 0 THEN 0.3 ELSE least(0.55 + 0.2 * m, 0.95) END, 6) AS DOUBLE) AS confidence
+FROM (SELECT *, greatest({', '.join(f'h_{slug}' for slug in quoted)}) AS m, list_filter(regexp_split_to_array(lower(q), '[^\\p{{L}}\\p{{N}}-]+'), lambda x: length(x) > 3 AND x NOT IN ({words}))[1:2] AS w FROM (SELECT conv_id, turn, q, {hits} FROM (SELECT conv_id, turn, trim(text) AS q FROM conversations WHERE role = 'user')))"""
+
+
+@query("topic", _topic_oracle())
 def topic(spark, sf_dir):
     return _turns(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", classify.topic(F.col("text")).alias("t")).select("conv_id", "turn", "t.slug", "t.confidence")
 
