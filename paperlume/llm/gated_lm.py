@@ -317,7 +317,7 @@ def _training_symbols(rows: DataFrame, corpus: Broadcast) -> DataFrame:
     return rows.select(turn, "text").mapInArrow(releasing(run), "turn int, n long, symbols binary")
 
 
-def train(rows: DataFrame, corpus: Broadcast) -> GatedUnit:
+def train(rows: DataFrame, corpus: Corpus) -> GatedUnit:
     """A unit trained on (id, text): on every row once, a part of them in each round."""
 
     def one(model: GatedUnit):
@@ -339,9 +339,9 @@ def train(rows: DataFrame, corpus: Broadcast) -> GatedUnit:
 
         return run
 
-    model = GatedUnit(corpus.value.symbol_counts)
+    model, shared = GatedUnit(corpus.symbol_counts), rows.sparkSession.sparkContext.broadcast(corpus)
     with scratch(rows.sparkSession):
-        table = written(_training_symbols(rows, corpus))
+        table = written(_training_symbols(rows, shared))
         for turn, n in sorted(map(tuple, table.groupBy("turn").agg(F.sum("n")).collect())):  # ROUNDS rows at most
             trainers = int(max(1, min(TRAINERS, n // TRAINER_TOKENS)))
             own = table.where(F.col("turn") == turn).select("symbols")
@@ -361,7 +361,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     corpus = describe(counts)
     context = rows.sparkSession.sparkContext
     shared = context.broadcast(corpus)
-    trained = context.broadcast(train(learned, shared))
+    trained = context.broadcast(train(learned, corpus))
     whole, others = corpus.total + 0.5 * (corpus.distinct + 1), corpus.other_total + 0.5 * (corpus.other_distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
