@@ -18,9 +18,10 @@ window that overlaps its own first place is no repeat.
 Scale: equal sets are one node, so copies never form pairs; see ``linking`` for lists of many
 similar paragraphs. One narrow pass writes a row of 16 keys for each paragraph and one writes an
 anchor for about every eleventh word; texts are picked by id for the paragraphs and for the windows
-that have candidates, once more to find the bytes of the runs, and to rewrite them. A window is a
-row of its place and its hash alone. Firsts are minima, so a passage of very many texts is combined
-before it is shuffled. Tables of steps are deleted once they have been read.
+that have candidates, and to rewrite them. A window is a narrow row of its place, its bytes and its
+hash. Firsts are minima, so a passage of very many texts is combined before it is shuffled. What the
+running text is joined with grows with the texts, so those joins are merged at every size and none
+is broadcast. Tables of steps are deleted once they have been read.
 
 Edge cases: null, empty and blank texts have no paragraphs; rows with a null id are not compared
 and stay as they are; rows that repeat an id share the decisions made for its lines, and those for
@@ -193,12 +194,12 @@ def _anchor_rows(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _window_rows(rows: DataFrame, window: int) -> DataFrame:
-    """Per window around the anchors of (id, version, text, gone, held): id, version, at (its first word's place) and key."""
+    """Per window around the anchors of (id, version, text, gone, held): id, version, at (its first word's place), line, its bytes and key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, data, offsets in row_chunks(batch.column(2)):
-                words, _ = _staying(data, offsets, batch.column(3).slice(base, len(offsets) - 1).to_pylist())
+                words, line = _staying(data, offsets, batch.column(3).slice(base, len(offsets) - 1).to_pylist())
                 keys, whole = _windows(words, window)
                 held = batch.column(4).slice(base, len(offsets) - 1)
                 at = words.bounds[:-1].repeat(pc.list_value_length(held).to_numpy(zero_copy_only=False)) + held.flatten().to_numpy()
@@ -207,32 +208,12 @@ def _window_rows(rows: DataFrame, window: int) -> DataFrame:
                 np.add.at(near, np.clip(at + 1, 0, len(keys)), -1)
                 first = np.flatnonzero((np.cumsum(near[:-1]) > 0) & whole)
                 row = np.searchsorted(words.bounds, first, side="right") - 1
-                own = pa.array(base + row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(first - words.bounds[row], pa.int32()), pa.array(keys[first].view(np.int64))], names=["id", "version", "at", "key"])
-
-    return rows.select("id", "version", "text", "gone", "held").mapInArrow(releasing(run), "id long, version long, at int, key long")
-
-
-def _located(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """The line, start and end bytes of the spans (id, version, at, last) of words in (id, version, text, gone)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for base, data, offsets in row_chunks(batch.column(2)):
-                words, line = _staying(data, offsets, batch.column(3).slice(base, len(offsets) - 1).to_pylist())
-                held = batch.column(4).slice(base, len(offsets) - 1)
-                row = np.repeat(np.arange(len(offsets) - 1), pc.list_value_length(held).to_numpy(zero_copy_only=False))
-                at, last = (held.flatten().field(k).to_numpy() for k in (0, 1))
-                first, end, origin = words.bounds[row] + at, words.bounds[row] + last, offsets[row] - offsets[0]
-                own = pa.array(base + row)
-                columns = [batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x.astype(np.int32)) for x in (at, last, line[first], words.start[first] - origin, words.end[end] - origin))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "at", "last", "line", "start", "end"])
+                own, origin = pa.array(base + row), offsets[row] - offsets[0]
+                places = (first - words.bounds[row], line[first], words.start[first] - origin, words.end[first + window - 1] - origin)
+                columns = [batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x.astype(np.int32)) for x in places), pa.array(keys[first].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "at", "line", "start", "end", "key"])
 
-    with scratch(rows.sparkSession):
-        held = spans.groupBy("id", F.col("version").alias("of")).agg(F.collect_set(F.struct("at", "last")).alias("held"))
-        picked = join_ids(rows, written(held), "id", "inner", F.size("held")).where("version = of")
-        found = picked.select("id", "version", "text", "gone", "held").mapInArrow(releasing(run), "id long, version long, at int, last int, line int, start int, end int")
-        return written(found.distinct(), keep=True)
+    return rows.select("id", "version", "text", "gone", "held").mapInArrow(releasing(run), "id long, version long, at int, line int, start int, end int, key long")
 
 
 def repeated_passages(rows: DataFrame, gone: DataFrame, window: int) -> DataFrame:
@@ -240,38 +221,34 @@ def repeated_passages(rows: DataFrame, gone: DataFrame, window: int) -> DataFram
 
     The version is a hash of the text that the bytes belong to.
     """
-    rows = join_ids(rows.withColumn("version", F.xxhash64("text")), gone, "id", "left", F.size("gone"))
+    rows = rows.withColumn("version", F.xxhash64("text")).join(gone.hint("merge"), "id", "left")
     with scratch(rows.sparkSession):
         found = _shared_windows(rows, window)
-        place, text = F.struct("id", "version", "at"), F.xxhash64("id", "version")
+        place, text = F.struct("id", "version", "at", "line"), F.xxhash64("id", "version")
         firsts = found.groupBy("key").agg(F.min(place).alias("first"), F.min(text).alias("one"), F.max(text).alias("other"), F.max("at").alias("last"))
         # In one text only, a window repeats where it does not overlap its first place.
         firsts = firsts.where(F.expr(f"one <> other OR last >= first.at + {window}"))
-        firsts = written(firsts.select("key", F.col("first.id").alias("kept_id"), F.col("first.version").alias("kept_version"), F.col("first.at").alias("kept_at")))
+        firsts = written(firsts.select("key", *(F.col(f"first.{c}").alias(f"kept_{c}") for c in ("id", "version", "at", "line"))))
         other = (F.col("id") != F.col("kept_id")) | (F.col("version") != F.col("kept_version"))
-        placed = join_ids(found, firsts, "key", "inner").withColumn("removed", other | (F.col("at") >= F.col("kept_at") + window))
-        placed = placed.where(F.col("removed") | (F.col("at") == F.col("kept_at"))).drop("key")
+        placed = found.join(firsts.hint("merge"), "key").withColumn("removed", other | (F.col("at") >= F.col("kept_at") + window))
+        placed = placed.where(F.col("removed") | (F.col("at") == F.col("kept_at"))).drop("key", "kept_at")
         run = ["id", "version", "kept_id", "kept_version", "removed"]
         placed = placed.withColumn("run", F.col("at") - F.dense_rank().over(Window.partitionBy(*run).orderBy("at")))
-        joined = placed.groupBy(*run, "run").agg(F.min("at").alias("at"), (F.max("at") + window - 1).alias("last"), F.min("kept_at").alias("kept_at"))
-        runs = written(joined.select(*run, "at", "last", "kept_at"))
-        kept = runs.select(F.col("kept_id").alias("id"), F.col("kept_version").alias("version"), F.col("kept_at").alias("at"), F.col("kept_at").alias("last"))
-        places = _located(rows, runs.select("id", "version", "at", "last").unionByName(kept))
-        own = runs.join(places, ["id", "version", "at", "last"])
-        kept = places.where("at = last").select(F.col("id").alias("kept_id"), F.col("version").alias("kept_version"), F.col("at").alias("kept_at"), F.col("line").alias("kept_line"))
-        out = own.join(kept, ["kept_id", "kept_version", "kept_at"])
-        return written(out.select("id", "version", "line", (F.col("last") - F.col("at") + 1).cast("long").alias("n_words"), "kept_id", "kept_line", "removed", "start", "end"), keep=True)
+        # Lines and bytes grow with the place, so those of a run are the least and the greatest of its windows.
+        n_words = (F.max("at") - F.min("at") + window).cast("long").alias("n_words")
+        joined = placed.groupBy(*run, "run").agg(n_words, *(F.min(c).alias(c) for c in ("line", "kept_line", "start")), F.max("end").alias("end"))
+        return written(joined.select("id", "version", "line", "n_words", "kept_id", "kept_line", "removed", "start", "end"), keep=True)
 
 
 def _shared_windows(rows: DataFrame, window: int) -> DataFrame:
-    """The windows of (id, version, text, gone) around anchors that occur twice: id, version, at and key."""
+    """The windows of (id, version, text, gone) around anchors that occur twice, as ``_window_rows`` gives them."""
     with scratch(rows.sparkSession):
         seen = written(_anchor_rows(rows, window))
         place = F.xxhash64("id", "version", "at")
         several = written(seen.groupBy("key").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("key"))
-        held = join_ids(seen, several, "key", "left_semi").groupBy("id", "version").agg(F.collect_set("at").alias("held"))
+        held = seen.join(several.hint("merge"), "key", "left_semi").groupBy("id", "version").agg(F.collect_set("at").alias("held"))
         held = written(held.select("id", F.col("version").alias("of"), "held"))
-        picked = join_ids(rows, held, "id", "inner", F.size("held")).where("version = of")
+        picked = rows.join(held.hint("merge"), "id").where("version = of")
         return written(_window_rows(picked, window), keep=True)
 
 
