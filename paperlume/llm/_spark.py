@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch. Workers hold some batches and what is made from them; JVMs hold the same outside the heap.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "1m"
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -32,10 +32,10 @@ from ._spark import release_memory, small_batches, text_or_empty
 from .pieces import PieceCache, byte_balanced, split_safely
 from .token_count import tokenizer_path
 
-BATCH_BYTES = 1_500_000
+BATCH_BYTES = 500_000
 #: Words of more bytes are merged in several parts at once.
 LONG = 512
-CACHE_CHARS = 2_000_000
+CACHE_CHARS = 1_000_000
 
 
 def byte_symbols() -> list[str]:
