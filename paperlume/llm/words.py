@@ -91,7 +91,7 @@ class Words:
         return mix(total), bounds
 
 
-def row_chunks(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def row_chunks(column: pa.Array, max_bytes: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, bytes and offsets of successive rows that hold about ``max_bytes`` together.
 
     Working by chunks keeps the arrays in cache and bounds memory; a longer text is its own chunk.
