@@ -35,6 +35,7 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 
 _LOWER, _SPACE = _classes()
 _VALUE = _LOWER.astype(_U64) + _U64(1)
+_CASED_VALUE = np.arange(1, 257, dtype=_U64)
 #: Bytes that end a word where punctuation counts as a separator too: ASCII other than 0-9, A-Z, a-z.
 _PUNCTUATION = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _IN_WORD, _IN_PLAIN_WORD = ~_SPACE, ~_PUNCTUATION
@@ -124,7 +125,7 @@ def _powers_to(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def words_in(data: np.ndarray, offsets: np.ndarray, split_punctuation: bool = False) -> Words:
+def words_in(data: np.ndarray, offsets: np.ndarray, split_punctuation: bool = False, fold_case: bool = True) -> Words:
     """The words of the rows ``data[offsets[i]:offsets[i + 1]]``, which follow each other without gaps."""
     n = len(data)
     if not n:
@@ -140,6 +141,6 @@ def words_in(data: np.ndarray, offsets: np.ndarray, split_punctuation: bool = Fa
     end = np.flatnonzero(inside & ~after) + 1
     power, inverse = _powers_to(n)
     sums = np.zeros(n + 1, _U64)
-    np.cumsum(_VALUE[data] * power[:n], out=sums[1:])
+    np.cumsum((_VALUE if fold_case else _CASED_VALUE)[data] * power[:n], out=sums[1:])
     hashed = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(_U64) * _U64(0xD6E8FEB86659FD93))
     return Words(hashed, start, end, np.searchsorted(start, offsets), data)
