@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_scan, bpe, chat_format, decontamination, gated_lm, ngram_join, quality, substring_dedup, token_count, toxicity
+from . import ann_scan, bpe, chat_format, decontamination, filter_audit, gated_lm, merkle, minhash_dedup, ngram_join, quality, substring_dedup, token_count, toxicity
 from ._spark import table
 
 
@@ -53,6 +53,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_text())
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
@@ -64,8 +76,13 @@ QUERIES = {
     "op8_ann_scan": op8_ann_scan,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
