@@ -6,7 +6,8 @@ import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +42,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, keep: Co
     return found.join(F.broadcast(wanted), "id", "left_semi").select("id", "text", "label")
 
 
-def fit_in_one_task(sample: DataFrame, fit: Callable[[pd.DataFrame], Any]) -> Any:
-    """``fit`` of the whole bounded sample, run on an executor; its result returns pickled."""
+def fit_in_one_task(sample: DataFrame, fit: Callable[[pa.Array, np.ndarray], Any]) -> Any:
+    """``fit`` of the texts and labels of the whole bounded sample in order of its ids, run on an executor; its result returns pickled."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)
-        rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"id": [], "text": [], "label": []})
-        yield pd.DataFrame({"model": [pickle.dumps(fit(rows.sort_values("id", ignore_index=True)))]})
+        if parts:
+            rows = pa.Table.from_batches(parts).sort_by("id").combine_chunks()
+            model = fit(rows["text"].cast(pa.large_string()).combine_chunks(), rows["label"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    fitted = sample.coalesce(1).mapInPandas(releasing(run), "model binary").collect()
-    return pickle.loads(fitted[0]["model"]) if fitted else fit(pd.DataFrame({"id": [], "text": [], "label": []}))
+    fitted = sample.coalesce(1).mapInArrow(releasing(run), "model binary").collect()
+    return pickle.loads(fitted[0]["model"]) if fitted else fit(pa.array([], pa.large_string()), np.zeros(0))

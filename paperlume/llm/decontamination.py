@@ -13,8 +13,11 @@ Items of fewer than five words are one shingle, their whole sequence, and match
 A text shorter than an item is one window.
 
 Scale: one narrow pass over the documents for each block of about ``ITEM_BYTES`` of items (one block,
-for a usual benchmark); the driver and each task hold one block's index at a time. With several blocks,
-what each pass finds is written by a hash of the text and joined to the rows in the end.
+for a usual benchmark); the driver and each task hold one block's index at a time. Weights are those of
+all items at any number of blocks, so matches and similarities do not depend on it: of the items'
+shingles only those that several items have weigh less than an unknown one, and these, 16 bytes each, go with
+every block's index. With several blocks, what each pass finds is written by a hash of the text and
+joined to the rows in the end.
 
 Edge cases: null or empty texts and items without words match nothing; ids of documents and items
 may be null or repeat (items with the same text all count), each row is judged by itself; an empty benchmark leaves every row clean; other columns
@@ -24,6 +27,7 @@ are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import join_ids, release_memory, small_batches, text_or_empty, unused, written
+from ._spark import join_ids, release_memory, scratch, small_batches, text_or_empty, unused, written
 from .words import Words, row_chunks, words_in, words_of
 
 SHINGLE = 5
@@ -41,10 +45,22 @@ ITEM_BYTES = 8_000_000
 _FILTER_BITS = 20
 
 
+@dataclass
+class Shared:
+    """The number of all items that have words, and the shingles that several of them have, sorted, with how many."""
+
+    items: int
+    runs: np.ndarray
+    df: np.ndarray
+
+
 class ItemIndex:
-    """Fingerprints, shingles and weights of benchmark items."""
+    """Fingerprints, shingles and weights of benchmark items.
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    ``shared`` has what the weights come from, over all items where these are only some of them.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], shared: Shared | None = None):
         words = words_of(pa.array(texts, pa.large_string()), split_punctuation=True)
         runs, bounds = words.shingles(SHINGLE)
         counts = words.counts
@@ -53,8 +69,10 @@ class ItemIndex:
         self.runs = [runs[bounds[k] : bounds[k + 1]] for k in np.flatnonzero(counts)]
         self.sets = [np.unique(r) for r in self.runs]
         self.known, df = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]), return_counts=True)
-        self.rare = float(np.log1p(len(self.ids)))
-        self.idf = np.log1p(len(self.ids) / df) if len(df) else np.zeros(0)
+        several = df > 1
+        self.common = shared or Shared(len(self.ids), self.known[several], df[several])
+        self.rare = float(np.log1p(self.common.items))
+        self.idf = np.log1p(self.common.items / self.common.df)
         self.total = [self.weights(x).sum() for x in self.sets]
         # The items that hold each known shingle.
         holder = np.repeat(np.arange(len(self.sets)), list(map(len, self.sets)))
@@ -83,10 +101,12 @@ class ItemIndex:
         self.all_prints[long] = prints
 
     def weights(self, runs: np.ndarray) -> np.ndarray:
-        if not len(self.known):
+        """A shingle that one item has weighs as much as one that none has, so only those of several are looked up."""
+        held = self.common.runs
+        if not len(held):
             return np.full(len(runs), self.rare)
-        at = np.minimum(np.searchsorted(self.known, runs), len(self.known) - 1)
-        return np.where(self.known[at] == runs, self.idf[at], self.rare)
+        at = np.minimum(np.searchsorted(held, runs), len(held) - 1)
+        return np.where(held[at] == runs, self.idf[at], self.rare)
 
     def fingerprints(self, runs: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """SimHash of runs[first:first + size] for each pair."""
@@ -178,10 +198,27 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return benchmark.select(F.col(item_col).cast("long").alias("item"), text_or_empty(text_col).alias("text"))
 
 
-def _index(items: DataFrame) -> ItemIndex:
+def _index(items: DataFrame, shared: Shared | None = None) -> ItemIndex:
     """The index of some items, ``ITEM_BYTES`` or about that at most."""
     rows = sorted(items.collect(), key=lambda r: (r["item"] is None, r["item"] or 0, r["text"]))
-    return ItemIndex([r["item"] for r in rows], [r["text"] for r in rows])
+    return ItemIndex([r["item"] for r in rows], [r["text"] for r in rows], shared)
+
+
+def _shared(items: DataFrame) -> Shared:
+    """Counts over all items: those with words, and each shingle's that several have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = words_of(batch.column(0), split_punctuation=True)
+            runs, bounds = words.shingles(SHINGLE)
+            held = [np.unique(runs[a:b]).view(np.int64) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int64()))], names=["runs"])
+
+    sets = written(items.select("text").mapInArrow(run, "runs array<long>"))
+    counted = sets.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("df")).where("df > 1").toArrow()
+    runs = counted["run"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(runs)
+    return Shared(sets.where(F.size("runs") > 0).count(), runs[order], counted["df"].to_numpy()[order])
 
 
 MATCH = "array<struct<item_id: long, similarity: double, first_word: long, n_words: long>>"
@@ -194,24 +231,29 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     items = _items(benchmark, item_col, item_text_col)
     count = -(-(items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // item_bytes) or 1
     if count == 1:
-        return docs.withColumn(out, _matcher(_index(items))(text_or_empty(text_col)))
+        return docs.withColumn(out, _matcher(docs, _index(items))(text_or_empty(text_col)))
     # One block of items after another; what its pass finds is written before the next index is made.
     text, parts = F.sha2(text_or_empty(text_col), 256), []
-    for k in range(count):
-        index = _index(items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k))
-        found = docs.select(text.alias("__text"), _matcher(index)(text_or_empty(text_col)).alias("found"))
-        parts.append(written(found.where(F.size("found") > 0).dropDuplicates(["__text"])))
-    found = reduce(DataFrame.unionByName, parts).groupBy("__text").agg(F.flatten(F.collect_list("found")).alias(out))
     key = unused(docs.columns, "text_key")
-    joined = join_ids(docs.withColumn(key, text), written(found.withColumnRenamed("__text", key)), key, "left", F.size(out))
-    return joined.withColumn(out, F.coalesce(out, F.array().cast(MATCH))).select(*docs.columns, out)
+    with scratch(docs.sparkSession):
+        shared = _shared(items)
+        for k in range(count):
+            index = _index(items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k), shared)
+            found = docs.select(text.alias(key), _matcher(docs, index)(text_or_empty(text_col)).alias("found"))
+            parts.append(written(found.where(F.size("found") > 0).dropDuplicates([key])))
+        found = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.flatten(F.collect_list("found")).alias(out))
+        found = written(found, keep=True)
+    joined = join_ids(docs.withColumn(key, text), found, key, "left", F.size(out))
+    return joined.withColumn(out, F.coalesce(out, F.array().cast(MATCH))).select(*(F.col(f"`{c}`") for c in docs.columns), out)
+
 
+def _matcher(docs: DataFrame, index: ItemIndex):
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
-def _matcher(index: ItemIndex):
     @F.arrow_udf(MATCH)
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = [[dict(zip(("item_id", "similarity", "first_word", "n_words"), m)) for m in own] for _, data, offsets in row_chunks(texts) for own in index.rows(words_in(data, offsets, split_punctuation=True))]
+            rows = [[dict(zip(("item_id", "similarity", "first_word", "n_words"), m)) for m in own] for _, data, offsets in row_chunks(texts) for own in shared.value.rows(words_in(data, offsets, split_punctuation=True))]
             yield pa.array(rows, MATCH_TYPE)
         release_memory()
 

@@ -6,14 +6,15 @@ the next symbol's probability is that of its class times its probability within
 softmaxes. Words that share the symbol get that probability times their smoothed share among such
 words in the training rows. The unit is trained in numpy by truncated backpropagation on every training
 row once: in each of ``ROUNDS`` rounds up to ``TRAINERS`` tasks go on with their part of the round's
-rows, and their weights are averaged. Scoring carries the state from window to window through the whole document.
+rows, and their weights are averaged. A hash of id and text deals a row to its round and trainer and
+sets its place there, so scores do not depend on how files are cut. Scoring carries the state from window to window through the whole document.
 
 The base score is that of a smoothed unigram model. Counts cover all training rows: they are
 pre-aggregated in each task and shuffled by word. Frequent words' counts, ``HEAD_WORDS`` at most,
 travel to the tasks; those of all other words are joined to their occurrences by a shuffle.
 
 Scale: two narrow passes over all texts, and one that writes the training rows' symbols (two bytes a
-token), of which each round reads its part. What is shuffled are a task's distinct words, and
+token), of which each round shuffles its part to the trainers. What is shuffled are a task's distinct words, and
 occurrences of rare words. A task holds about ``GROUP_TOKENS`` tokens, or one longer document.
 
 Edge cases: null and empty texts have the end token alone; a null id is not held out; repeated
@@ -60,7 +61,7 @@ class GatedUnit:
     """A gated recurrent unit with a class-factored softmax; ``seen`` is the number of tokens it was trained on."""
 
     def __init__(self, counts: np.ndarray, seed: int = 3):
-        self.seen = 0
+        self.seen, self.moments = 0, None
         r = np.random.default_rng(seed)
         draw = lambda *shape: (r.standard_normal(shape) * 0.1).astype(np.float32)
         share = (counts + 0.5) / (counts + 0.5).sum()
@@ -151,9 +152,8 @@ class GatedUnit:
         # End symbols fill the last lane.
         y = np.r_[symbols, np.full(lanes * steps - len(symbols), END)].reshape(lanes, steps).T
         x = np.vstack([np.full((1, lanes), END), y[:-1]])
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step = 0
+        # The optimiser goes on where the run before has left it.
+        first, second, step = self.moments or (*({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2)), 0)
         for _ in range(epochs):
             h = np.zeros((lanes, HIDDEN), np.float32)
             for t in range(0, steps, WINDOW):
@@ -169,6 +169,7 @@ class GatedUnit:
                     first[k] += 0.1 * (g - first[k])
                     second[k] += 0.005 * (g * g - second[k])
                     self.p[k] += RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.995**step)) + 1e-7)
+        self.moments = first, second, step
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
         """Log10 probability of each document's symbols, the state carried through the whole of it.
@@ -302,23 +303,31 @@ def describe(counts: DataFrame) -> Corpus:
 
 
 def _training_symbols(rows: DataFrame, corpus: Broadcast) -> DataFrame:
-    """The symbols of (id, text) as 16-bit integers, each row's with its end: turn, n and symbols of some rows at a time.
+    """Of each row of (id, text): its round and place, the number of its symbols with the end, and these as 16-bit integers.
 
-    The rows of an input partition share a round, so a round reads the files that hold it and no others.
+    Round and place come from a hash of the row itself, so the cut of the files has no part in what is learned.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, hashed, bounds in _tokens(batch.column(1)):
+            for base, hashed, bounds in _tokens(batch.column(2)):
                 own = np.insert(corpus.value.symbols(corpus.value.lookup(hashed)), bounds[1:], END).astype("<u2")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, 1), pa.array([len(own)], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["turn", "n", "symbols"])
+                ends = bounds + np.arange(len(bounds))
+                packed = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(own)])
+                held = [batch.column(k).slice(base, len(bounds) - 1) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(np.diff(ends), pa.int64()), packed], names=["turn", "place", "n", "symbols"])
+
+    place = F.xxhash64("id", "text")
+    named = rows.select(F.pmod(place, F.lit(ROUNDS)).cast("int").alias("turn"), place.alias("place"), "text")
+    # The rows of a round lie side by side in each file, so a round reads little of the others.
+    return named.mapInArrow(releasing(run), "turn int, place long, n long, symbols binary").sortWithinPartitions("turn")
 
-    turn = (F.spark_partition_id() % ROUNDS).alias("turn")
-    return rows.select(turn, "text").mapInArrow(releasing(run), "turn int, n long, symbols binary")
 
+def train(rows: DataFrame, corpus: Corpus, shared: Broadcast | None = None) -> GatedUnit:
+    """A unit trained on (id, text): on every row once, a part of them in each round.
 
-def train(rows: DataFrame, corpus: Corpus) -> GatedUnit:
-    """A unit trained on (id, text): on every row once, a part of them in each round."""
+    A round's rows are dealt to trainers by their places and come to them in that order.
+    """
 
     def one(model: GatedUnit):
         packed = pickle.dumps(model)
@@ -335,17 +344,19 @@ def train(rows: DataFrame, corpus: Corpus) -> GatedUnit:
             if held:
                 unit.train(np.concatenate(parts), 1)
             if seen + held:
+                unit.moments = None
                 yield pa.RecordBatch.from_arrays([pa.array([seen + held], pa.int64()), pa.array([pickle.dumps(unit)], pa.binary())], names=["n", "unit"])
 
         return run
 
-    model, shared = GatedUnit(corpus.symbol_counts), rows.sparkSession.sparkContext.broadcast(corpus)
+    model = GatedUnit(corpus.symbol_counts)
+    shared = shared or rows.sparkSession.sparkContext.broadcast(corpus)
     with scratch(rows.sparkSession):
         table = written(_training_symbols(rows, shared))
         for turn, n in sorted(map(tuple, table.groupBy("turn").agg(F.sum("n")).collect())):  # ROUNDS rows at most
             trainers = int(max(1, min(TRAINERS, n // TRAINER_TOKENS)))
-            own = table.where(F.col("turn") == turn).select("symbols")
-            found = own.coalesce(trainers).mapInArrow(releasing(one(model)), "n long, unit binary").collect()  # TRAINERS rows at most
+            own = table.where(F.col("turn") == turn).select("place", "symbols").repartition(trainers, "place").sortWithinPartitions("place")
+            found = own.select("symbols").mapInArrow(releasing(one(model)), "n long, unit binary").collect()  # TRAINERS rows at most
             weight = sum(r["n"] for r in found)
             units = [(r["n"] / weight, pickle.loads(r["unit"]).p) for r in found]
             model.seen += weight
@@ -361,7 +372,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     corpus = describe(counts)
     context = rows.sparkSession.sparkContext
     shared = context.broadcast(corpus)
-    trained = context.broadcast(train(learned, corpus))
+    trained = context.broadcast(train(learned, corpus, shared))
     whole, others = corpus.total + 0.5 * (corpus.distinct + 1), corpus.other_total + 0.5 * (corpus.other_distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

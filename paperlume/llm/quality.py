@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,11 +169,11 @@ class AttentionModel:
         return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
 
 
-def fit_attention(rows: pd.DataFrame) -> AttentionModel:
+def fit_attention(texts: pa.Array, labels: np.ndarray) -> AttentionModel:
     model = AttentionModel()
-    if len(rows):
-        x, bounds = passages(pa.array(rows["text"], pa.large_string()))
-        model.fit(x, bounds, rows["label"].to_numpy(np.float32))
+    if len(texts):
+        x, bounds = passages(texts)
+        model.fit(x, bounds, labels.astype(np.float32))
     return model
 
 
@@ -186,10 +185,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds:
 
 def with_score(docs: DataFrame, model: AttentionModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 in column ``out``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from (pa.array(model.score(texts), pa.float64()) for texts in batches)
+        yield from (pa.array(shared.value.score(texts), pa.float64()) for texts in batches)
         release_memory()
 
     small_batches(docs.sparkSession)

@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,18 +64,17 @@ def _per_row(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield np.array([first, len(offsets) - 1]), row, bucket
 
 
-def fit_ftrl(rows: pd.DataFrame) -> SparseWeights:
-    """Weights after ``EPOCHS`` passes over the rows' text and label."""
+def fit_ftrl(texts: pa.Array, labels: np.ndarray) -> SparseWeights:
+    """Weights after ``EPOCHS`` passes over the texts and their labels."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias, bias_n = 0.0, 0.0
     examples: list[np.ndarray] = []
-    if len(rows):
-        for (_, count), row, bucket in _per_row(pa.array(rows["text"], pa.large_string())):
-            order = np.argsort(row, kind="stable")
-            cut = np.searchsorted(row[order], np.arange(count + 1))
-            bucket = bucket[order].astype(np.int32)
-            examples += [np.unique(bucket[a:b]) for a, b in zip(cut[:-1], cut[1:])]
-    labels = rows["label"].to_numpy(np.float64) if len(rows) else np.zeros(0)
+    for (_, count), row, bucket in _per_row(texts):
+        order = np.argsort(row, kind="stable")
+        cut = np.searchsorted(row[order], np.arange(count + 1))
+        bucket = bucket[order].astype(np.int32)
+        examples += [np.unique(bucket[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+    labels = labels.astype(np.float64)
     shuffled = np.random.default_rng(7)
     for _ in range(EPOCHS):
         for k in shuffled.permutation(len(examples)):
@@ -118,11 +116,12 @@ def score_texts(column: pa.Array, model: SparseWeights, dense: np.ndarray | None
 
 def score(docs: DataFrame, model: SparseWeights, folds: int = 5, held_fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its id, held_out, score and predicted (1 where the score is 0.5 or more)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = dense_weights(model)
+        dense = dense_weights(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(batch.column(1), model, dense))], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(batch.column(1), shared.value, dense))], names=["id", "score"])
 
     small_batches(docs.sparkSession)
     scored = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(releasing(run), "id long, score double")
