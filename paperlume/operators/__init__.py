@@ -1,3 +1,3 @@
 """Operators on whole tables; importing this registers their queries."""
 
-from . import access, answers, console, documents, economics, engagement, quality, retrieval, texts, upkeep  # noqa: F401
+from . import access, answers, claims, console, documents, economics, engagement, quality, retrieval, texts, upkeep  # noqa: F401

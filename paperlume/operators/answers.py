@@ -1,16 +1,11 @@
-"""Answers and what they rest on: citations, quotes, numbers, supported claims and coverage of the sources."""
+"""Answers and what they rest on: citations, quotes, numbers and histories; see claims.py for what they state."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import number_rows
 from ..plans.registry import query
 from ..sources.tables import table
 
@@ -69,91 +64,11 @@ def quote_limit_query(spark, sf_dir):
     return rows.select("doc_id", "q.quote", "q.truncated")
 
 
-#: Words for magnitudes, signs and codes of currencies. Fixed values.
-SCALES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mn": 1e6, "million": 1e6, "millions": 1e6, "bn": 1e9, "billion": 1e9, "billions": 1e9}
-SIGNS = {"€": "EUR", "$": "USD", "£": "GBP", "¥": "JPY"}
-CODES = "EUR|USD|GBP|CHF|JPY|CAD|AUD|SEK|NOK|DKK"
-#: A number with its currency, grouping, decimals and magnitude. Fixed value.
-NUMBER = re.compile(rf"(?:(€|\$|£|¥)\s?)?(?:\b({CODES})\s?)?(\d{{1,3}}(?:[ ,.]\d{{3}})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?)\s*(%|k\b|thousand\b|mn\b|m\b|million[s]?\b|bn\b|billion[s]?\b)?(?:\s?({CODES})\b)?", re.I | re.A)
-PARSED = "array<struct<raw: string, value: double, currency: string, percentage: boolean>>"
-
-
-def plain_digits(shown: str) -> float:
-    """The value of digits with separators: the last kind of separator is the decimal one, but one group of three is thousands."""
-    digits = "".join(shown.split())
-    alone = re.fullmatch(r"([0-9]{1,3})[.,]([0-9]{3})", digits)
-    if alone:
-        return float(alone[1] + alone[2])
-    decimal = max(",.", key=digits.rfind) if re.search("[,.]", digits) else "."
-    whole, _, rest = digits.replace(",." [decimal == ","], "").partition(decimal)
-    lead = re.match(r"[0-9]*", rest if decimal == "," else rest.split(".")[0])
-    return float(f"{whole}.{lead[0] or '0'}")
-
-
-def numbers_in(text: str) -> list[tuple[str, float, str | None, bool]]:
-    """Each number with its value, currency and whether it is a percentage."""
-    out = []
-    for found in NUMBER.finditer(text):
-        sign, before, digits, suffix, after = found.groups()
-        unit = (suffix or "").lower()
-        code = SIGNS.get(sign or "") or (before or after or "").upper() or None
-        out.append((found[0].strip(), plain_digits(digits) * SCALES.get(unit, 1.0), code, unit == "%"))
-    return out
-
-
-def parse_numbers(text: Column) -> Column:
-    """The numbers of a text in order, as ``PARSED``."""
-    names = ("raw", "value", "currency", "percentage")
-
-    @F.pandas_udf(PARSED)
-    def parse(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(names, n)) for n in numbers_in(t or "")] for t in texts], dtype=object)
-
-    return parse(text)
-
-
 @query("parse_numbers")
-def parse_numbers_query(spark, sf_dir):
+def parse_numbers(spark, sf_dir):
     """The numbers of each document, one row each."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parse_numbers(F.coalesce("text", F.lit("")))).alias("place", "n"))
-    return rows.select("doc_id", "place", "n.raw", "n.value", "n.currency", "n.percentage")
-
-
-#: Words that carry no claim. Fixed values.
-COMMON = frozenset("the and for are was were with that this from have has had not but its their they them which who will would can could should may also been being into than then there these those such more most other some any all each our your his her".split())
-_SPLIT = re.compile(r"[^\w%€$£]+|_")
-SUPPORTED, INFERRED = 0.6, 0.3
-
-
-def content_words(text: str) -> list[str]:
-    """Words of three letters or more, without marks and common words."""
-    bare = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
-    return [w for w in _SPLIT.split(bare) if len(w) > 2 and w not in COMMON]
-
-
-def groundedness(claims: DataFrame, claim: str, evidence: str) -> DataFrame:
-    """``claims`` with overlap, the share of a claim's content words that its evidence has, and its verdict."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shares = []
-            for said, shown in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                own, held = content_words(said or ""), set(content_words(shown or ""))
-                shares.append(sum(w in held for w in own) / len(own) if own else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(shares, pa.float64())], names=[*batch.schema.names[:-2], "overlap"])
-
-    named = claims.select("*", F.col(claim).alias("__claim"), F.col(evidence).alias("__evidence"))
-    scored = named.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in claims.schema) + ", overlap double")
-    return scored.withColumn("verdict", F.when(F.col("overlap") >= SUPPORTED, "SUPPORTED").when(F.col("overlap") >= INFERRED, "INFERRED").otherwise("UNSUPPORTED"))
-
-
-@query("groundedness")
-def groundedness_query(spark, sf_dir):
-    """How far each answer's words are those of the turn before it."""
-    turns = table(spark, sf_dir, "conversations")
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "text"))
-    pairs = turns.withColumn("evidence", before).where("role = 'assistant'").select("conv_id", "turn", "text", "evidence")
-    return groundedness(pairs, "text", "evidence").select("conv_id", "turn", F.round("overlap", 6).alias("overlap"), "verdict")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return number_rows(rows).select("doc_id", F.col("place").cast("int").alias("place"), "raw", "value", "currency", "percentage")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -179,14 +94,6 @@ def ir_summary(spark, sf_dir):
     )
 
 
-@query("verify_quote", "SELECT conv_id, turn, position(lower(regexp_replace(trim(substr(text, 5, 40)), '\\s+', ' ', 'g')) IN lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) > 0 AS verified FROM conversations WHERE text IS NOT NULL AND role = 'assistant'")
-def verify_quote(spark, sf_dir):
-    """Whether a quote stands in its source, white space and case aside."""
-    flat = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
-    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL AND role = 'assistant'")
-    return rows.select("conv_id", "turn", F.contains(flat(F.col("text")), flat(F.substring("text", 5, 40))).alias("verified"))
-
-
 @query("recent_history", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS r FROM conversations) WHERE r <= 6")
 def recent_history(spark, sf_dir, turns: int = 6):
     """The last turns of each conversation."""

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from paperlume.functions import classify, text
+from paperlume.functions import classify, numbers, text
 from paperlume.operators import access, answers, console, documents
 
 
@@ -19,19 +19,13 @@ def one(spark, column):
 def test_digits(shown, value):
     if shown == "1,234,567":
         shown = "1,234,567.0"
-    assert answers.plain_digits(shown) == value
+    assert numbers.plain_digits(shown) == value
 
 
 def test_numbers(spark):
-    found = answers.numbers_in("It cost €1.5 million, 12% less than USD 48,000 or 3 bn and 9 GBP")
+    found = numbers.numbers_in("It cost €1.5 million, 12% less than USD 48,000 or 3 bn and 9 GBP")
     assert [(n[1], n[2], n[3]) for n in found] == [(1.5e6, "EUR", False), (12, None, True), (48000, "USD", False), (3e9, None, False), (9, "GBP", False)]
-    assert answers.numbers_in("") == []
-
-
-def test_claims(spark):
-    rows = spark.createDataFrame([(1, "Rates of the École rise", "ecole rates rise"), (2, "unknown zebra words", "other text"), (3, None, None)], "id long, text string, evidence string")
-    found = {r["id"]: r["verdict"] for r in answers.groundedness(rows, "text", "evidence").collect()}
-    assert found == {1: "SUPPORTED", 2: "UNSUPPORTED", 3: "UNSUPPORTED"}
+    assert numbers.numbers_in("") == []
 
 
 def test_quotes_are_cut_at_a_blank(spark):
