@@ -6,55 +6,21 @@ it and hold at most the candidate pool.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, estimate_tokens, is_complex, lexical_terms
+from ..functions.text import estimate_tokens, is_complex
 from ..plans.registry import query
 from ..sources.tables import table
+from .search import lexical_search, semantic_search, top_per_question
 
-#: Candidates of each kind, fusion constants and boosts, and (chunks, tokens) of plain and complex questions. Fixed values.
-POOL, RANK_OFFSET, LEXICAL_WEIGHT, SEMANTIC_WEIGHT = 40, 60, 1.0, 1.15
+#: Fusion constants and boosts, (chunks, tokens) of plain and complex questions, and the most chunks of any. Fixed values.
+RANK_OFFSET, LEXICAL_WEIGHT, SEMANTIC_WEIGHT = 60, 1.0, 1.15
 SAME_FILE, NEAR_PAGE = 1.15, 1.25
-#: Questions of one block, about; more are asked in several. One in ``ASKED`` ids asks.
-BLOCK, ASKED = 10_000, 100
 BUDGETS = {False: (8, 10_000), True: (14, 16_000)}
-
-
-def top_per_question(scored: DataFrame, k: int = POOL) -> DataFrame:
-    """The ``k`` best chunks of each question with their rank; ties go to the smaller id."""
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def semantic_search(chunks: DataFrame, questions: DataFrame, k: int = POOL, block: int = BLOCK) -> DataFrame:
-    """Exact cosine search of all questions against all chunks, in blocks of about ``block`` questions; rows without a vector neither ask nor answer."""
-    asked = questions.where("embedding IS NOT NULL").select("question_id", F.col("embedding").alias("q"))
-    held = chunks.where("embedding IS NOT NULL")
-    blocks = max(1, -(-asked.count() // block))
-
-    def search(own: DataFrame) -> DataFrame:
-        pairs = held.join(F.broadcast(own), F.col("chunk_id") != F.col("question_id"))
-        return top_per_question(pairs.select("question_id", "chunk_id", F.round(cosine(F.col("q"), F.col("embedding")), 9).alias("score")), k)
-
-    place = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, (search(asked.where(place == at)) for at in range(blocks)))
-
-
-def lexical_search(chunks: DataFrame, questions: DataFrame, k: int = POOL) -> DataFrame:
-    """Chunks that hold a term, scored by 0.1 per occurrence, doubled where all terms occur.
-
-    An inverted index: terms of chunks are counted before the join, and joined with terms by equality.
-    """
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_-]+"), lambda w: F.length(w) > 1)
-    index = chunks.select("chunk_id", F.explode(words).alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    terms = questions.select("question_id", F.explode(F.array_distinct(lexical_terms(F.col("question")))).alias("term"))
-    wanted = terms.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    hits = index.join(terms, "term").groupBy("question_id", "chunk_id").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("found"))
-    scored = hits.join(wanted, "question_id").select("question_id", "chunk_id", F.round(0.1 * F.col("tf") * F.when(F.col("found") == F.col("n_terms"), 2).otherwise(1), 6).alias("score"))
-    return top_per_question(scored, k)
+MOST_CHUNKS = 24
+#: One in ``ASKED`` ids asks.
+ASKED = 100
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
@@ -87,16 +53,24 @@ def fit_budget(ranked: DataFrame, budget: Column | int) -> DataFrame:
 
 
 def retrieve(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """Kept chunks of each question in order: chunks have chunk_id, file_id, page, text, embedding."""
+    """Kept chunks of each question in order, with the question's best score and number of candidates.
+
+    Chunks have chunk_id, file_id, page, text, embedding; questions question_id, question, embedding,
+    active_file, active_page and file_count, the files that they may be answered from.
+    """
     fused = fuse(lexical_search(chunks, questions), semantic_search(chunks, questions))
     facts = chunks.select("chunk_id", "file_id", "page", estimate_tokens(F.col("text")).alias("tokens"))
-    asked = questions.select("question_id", "active_file", "active_page", is_complex(F.col("question"), 2).alias("complex"))
+    asked = questions.select("question_id", "active_file", "active_page", "file_count", is_complex(F.col("question"), F.col("file_count")).alias("complex"))
     pool = fused.join(facts, "chunk_id").join(asked, "question_id")
     boosted = pool.withColumn("score", F.round(context_boost(F.col("score"), F.col("file_id"), F.col("page"), F.col("active_file"), F.col("active_page")), 9))
-    ranked = boosted.withColumn("pos", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")))
+    of_question = Window.partitionBy("question_id")
+    ranked = boosted.withColumn("pos", F.row_number().over(of_question.orderBy(F.desc("score"), "chunk_id"))).withColumn("candidates", F.count(F.lit(1)).over(of_question))
     limit, budget = (F.when(F.col("complex"), BUDGETS[True][k]).otherwise(BUDGETS[False][k]) for k in (0, 1))
-    kept = fit_budget(diversify(ranked, limit, F.greatest(F.lit(2), F.ceil(limit / 2))), budget)
-    return kept.select("question_id", F.col("pos").alias("rank"), "chunk_id", "file_id", "score", "agreement", "tokens", "running_tokens")
+    limit = F.least(limit, F.lit(MOST_CHUNKS))
+    per_file = F.when(F.col("file_count") > 1, F.greatest(F.lit(2), F.ceil(limit / 2))).otherwise(limit)
+    kept = fit_budget(diversify(ranked, limit, per_file), budget)
+    top = F.first("score").over(of_question.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return kept.withColumn("top_score", top).select("question_id", F.col("pos").alias("rank"), "chunk_id", "file_id", "score", "agreement", "tokens", "running_tokens", "complex", "top_score", "candidates")
 
 
 def demo_chunks(spark, sf_dir) -> DataFrame:
@@ -111,7 +85,7 @@ def demo_questions(spark, sf_dir) -> DataFrame:
     """Vectors and opening words of every chunk whose id is divisible by ``ASKED``, asked as questions about the others."""
     words = F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ")
     asked = demo_chunks(spark, sf_dir).where(F.col("chunk_id") % ASKED == 0)
-    return asked.select(F.col("chunk_id").alias("question_id"), words.alias("question"), "embedding", F.when(F.col("chunk_id") % 2 == 0, F.col("file_id")).alias("active_file"), F.col("page").alias("active_page"))
+    return asked.select(F.col("chunk_id").alias("question_id"), words.alias("question"), "embedding", F.when(F.col("chunk_id") % 2 == 0, F.col("file_id")).alias("active_file"), F.col("page").alias("active_page"), F.lit(2).alias("file_count"))
 
 
 @query("hybrid_retrieval")
@@ -140,3 +114,11 @@ def _rrf(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     ranked = lambda k: top_per_question(rows.select(F.lit(0).cast("long").alias("question_id"), F.col("vec_id").alias("chunk_id"), F.col("embedding")[k].alias("score")))
     return fuse(ranked(0), ranked(1))
+
+
+@query("lexical_search")
+def _lexical(spark, sf_dir):
+    """The opening words of every document whose id is divisible by ``ASKED``, searched in all documents."""
+    rows = table(spark, sf_dir, "documents")
+    words = F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ")
+    return lexical_search(rows.select(F.col("doc_id").alias("chunk_id"), "text"), rows.where(F.col("doc_id") % ASKED == 0).select(F.col("doc_id").alias("question_id"), words.alias("question")))
