@@ -104,7 +104,7 @@ def semantic_search(chunks: DataFrame, questions: DataFrame, k: int = POOL, bloc
     def task(shared, k: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted: dict[int, tuple[np.ndarray, np.ndarray, list[Best]]] = {}
-            for length, ids, unit in _units(shared.value.to_batches()):
+            for length, ids, unit in _units(shared.value.combine_chunks().to_batches()):
                 wanted[length] = (ids, unit, [Best(len(ids[at : at + WIDE]), k) for at in range(0, len(ids), WIDE)])
             for batch in batches:
                 for length, ids, unit in _units([batch]):
