@@ -75,7 +75,7 @@ def test_chunks(spark):
     docs = spark.createDataFrame([(1, "# Head\nBody text here."), (2, None), (3, long), (4, "x" * 5000)], "doc_id long, text string")
     rows = documents.chunk_documents(docs).collect()
     assert {r["doc_id"] for r in rows} == {1, 3, 4}
-    assert all(r["tokens"] <= documents.MOST + 20 for r in rows)
+    assert all(r["tokens"] <= documents.SIZES[""].most + 20 for r in rows)
     assert [s["title"] for s in documents.split_sections(docs.where("doc_id = 1")).collect()] == ["Head"]
 
 
