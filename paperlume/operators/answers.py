@@ -13,14 +13,18 @@ from ..sources.tables import table
 ANSWER_CHARS, SESSION_CHARS = 280, 1200
 
 
-def sanitise_citations(citations: DataFrame, sources: DataFrame) -> DataFrame:
-    """Of citations (answer, place, source, relevance) those of known sources, the most relevant of each source; first ones win ties."""
-    known = citations.join(sources.select("source").distinct(), "source", "left_semi")
+def sanitise_citations(citations: DataFrame, sources: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Of citations (answer, place, source, relevance and others) those of known sources, the most relevant of each source; first ones win ties.
+
+    Sources are known to all answers, or by ``keys`` to theirs.
+    """
+    keys = keys or ["source"]
+    known = citations.join(sources.select(*keys).distinct(), keys, "left_semi")
     weight = F.coalesce("relevance", F.lit(0.0))
     best = F.row_number().over(Window.partitionBy("answer", "source").orderBy(F.desc(weight), "place"))
     kept = known.withColumn("r", best).where("r = 1")
     rank = F.row_number().over(Window.partitionBy("answer").orderBy(F.desc(weight), "place", "source")).cast("long")
-    return kept.select("answer", "source", "relevance", rank.alias("rank"))
+    return kept.withColumn("rank", rank).drop("place", "r")
 
 
 _CITED = "SELECT l_orderkey AS answer, l_linenumber AS place, l_partkey % 40 AS source, CASE WHEN l_linenumber % 5 > 0 THEN l_discount END AS relevance FROM lineitem"

@@ -1,14 +1,9 @@
-"""Streaming forms of the event log: deduplication, counters, session state and rate limits."""
+"""Streaming forms of the event log: deduplication, counters and rollups; see state.py for sessions and rate limits."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def deduplicated(log: DataFrame, key: str = "idempotency_key", at: str = "occurred_at", delay: str = "1 hour") -> DataFrame:
@@ -24,38 +19,3 @@ def counters(log: DataFrame, keys: list[str]) -> DataFrame:
 def windowed_rollup(log: DataFrame, at: str = "occurred_at", width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
     """Counts and dwell by window and tenant, for append mode once a window is closed."""
     return log.withWatermark(at, delay).groupBy(F.window(at, width), "tenant").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("dwell_ms"))
-
-
-def rate_limited(hits: DataFrame, most: int, seconds: int, key: str = "key", at: str = "at") -> DataFrame:
-    """(key, at, allowed): fixed windows that begin with a key's first hit; ``most`` hits of a window pass."""
-
-    def step(group: tuple[Any], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        began, count = state.get if state.exists else (None, 0)
-        times = pd.concat(batches, ignore_index=True)["at"].sort_values(ignore_index=True)
-        allowed = []
-        for t in times:
-            now = t.timestamp()
-            if began is None or now >= began + seconds:
-                began, count = now, 0
-            count += 1
-            allowed.append(count <= most)
-        state.update((began, count))
-        yield pd.DataFrame({"key": group[0], "at": times, "allowed": allowed})
-
-    rows = hits.select(F.col(key).cast("string").alias("key"), F.col(at).cast("timestamp").alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, at timestamp, allowed boolean", "began double, count long", "append", GroupStateTimeout.NoTimeout)
-
-
-def session_attempts(requests: DataFrame, keep: int = 500) -> DataFrame:
-    """(session, attempts, quoted_chars, units) after each batch, folded over (session, at, attempt, quoted, unit)."""
-
-    def step(group: tuple[Any], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempts, quoted, units = state.get if state.exists else (0, 0, [])
-        rows = pd.concat(batches, ignore_index=True).sort_values("at")
-        seen = list(dict.fromkeys([*units, *rows["unit"].dropna()]))[-keep:]
-        attempts, quoted = attempts + int(rows["attempt"].sum()), quoted + int(rows["quoted"].sum())
-        state.update((attempts, quoted, seen))
-        yield pd.DataFrame({"session": [group[0]], "attempts": [attempts], "quoted_chars": [quoted], "units": [len(seen)]})
-
-    rows = requests.select(F.col("session").cast("string").alias("session"), "at", F.col("attempt").cast("boolean").alias("attempt"), F.col("quoted").cast("long").alias("quoted"), F.col("unit").cast("string").alias("unit"))
-    return rows.groupBy("session").applyInPandasWithState(step, "session string, attempts long, quoted_chars long, units long", "attempts long, quoted long, units array<string>", "update", GroupStateTimeout.NoTimeout)

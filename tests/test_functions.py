@@ -79,7 +79,7 @@ def test_chunks(spark):
     assert [s["title"] for s in documents.split_sections(docs.where("doc_id = 1")).collect()] == ["Head"]
 
 
-def test_stream_deduplication_and_rate_limit(spark, tmp_path):
+def test_stream_deduplication_rollup_and_counters(spark, tmp_path):
     at = datetime.datetime(2024, 1, 1)
     rows = [("a", at, 1), ("a", at, 2), ("b", at + datetime.timedelta(seconds=5), 3)]
     spark.createDataFrame(rows, "idempotency_key string, occurred_at timestamp, n int").coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -91,5 +91,8 @@ def test_stream_deduplication_and_rate_limit(spark, tmp_path):
 
     source = spark.readStream.schema("idempotency_key string, occurred_at timestamp, n int").parquet(str(tmp_path / "in"))
     assert len(run(streams.deduplicated(source), "once")) == 2
-    limited = run(streams.rate_limited(source, 1, 60, "idempotency_key", "occurred_at"), "limited")
-    assert sorted((r["key"], r["allowed"]) for r in limited) == [("a", False), ("a", True), ("b", True)]
+    rollup = streams.windowed_rollup(source.selectExpr("occurred_at", "idempotency_key AS tenant", "CAST(n AS BIGINT) AS duration_ms"), width="5 seconds", delay="0 seconds")
+    # The window of b is open still.
+    assert [(r["tenant"], r["n"], r["dwell_ms"], r["window"]["start"]) for r in run(rollup, "rollup")] == [("a", 2, 3, at)]
+    counted = run(streams.counters(source.withColumn("kind", F.lit("k")), ["idempotency_key"]), "counted", "complete")
+    assert {tuple(r) for r in counted} == {("a", "k", 2), ("b", "k", 1)}
