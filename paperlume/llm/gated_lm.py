@@ -334,8 +334,9 @@ def train(rows: DataFrame, corpus: Corpus, shared: Broadcast | None = None) -> G
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # A trainer goes on through all its rows, a bounded run of them at a time.
-            unit, seen, parts, held = pickle.loads(packed), 0, [], 0
-            for symbols in (x.as_py() for batch in batches for x in batch.column(0)):
+            unit, seen, parts, held, first = pickle.loads(packed), 0, [], 0, None
+            for place, symbols in ((p.as_py(), x.as_py()) for batch in batches for p, x in zip(batch.column(0), batch.column(1))):
+                first = place if first is None else first
                 parts.append(np.frombuffer(symbols, "<u2"))
                 held += len(parts[-1])
                 if held >= TRAIN_TOKENS:
@@ -344,11 +345,20 @@ def train(rows: DataFrame, corpus: Corpus, shared: Broadcast | None = None) -> G
             if held:
                 unit.train(np.concatenate(parts), 1)
             if seen + held:
-                unit.moments = None
-                yield pa.RecordBatch.from_arrays([pa.array([seen + held], pa.int64()), pa.array([pickle.dumps(unit)], pa.binary())], names=["n", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([seen + held], pa.int64()), pa.array([pickle.dumps(unit.p)], pa.binary())], names=["first", "n", "weights"])
 
         return run
 
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One trainer after another, in order of their first rows, so sums are the same at every run.
+        total, sums = 0, None
+        for n, packed in ((n.as_py(), x.as_py()) for batch in batches for n, x in zip(batch.column(1), batch.column(2))):
+            own = {k: n * v.astype(np.float64) for k, v in pickle.loads(packed).items()}
+            total, sums = total + n, own if sums is None else {k: sums[k] + v for k, v in own.items()}
+        if total:
+            mean = {k: (v / total).astype(np.float32) for k, v in sums.items()}
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([pickle.dumps(mean)], pa.binary())], names=["n", "weights"])
+
     model = GatedUnit(corpus.symbol_counts)
     shared = shared or rows.sparkSession.sparkContext.broadcast(corpus)
     with scratch(rows.sparkSession):
@@ -356,17 +366,23 @@ def train(rows: DataFrame, corpus: Corpus, shared: Broadcast | None = None) -> G
         for turn, n in sorted(map(tuple, table.groupBy("turn").agg(F.sum("n")).collect())):  # ROUNDS rows at most
             trainers = int(max(1, min(TRAINERS, n // TRAINER_TOKENS)))
             own = table.where(F.col("turn") == turn).select("place", "symbols").repartition(trainers, "place").sortWithinPartitions("place")
-            found = own.select("symbols").mapInArrow(releasing(one(model)), "n long, unit binary").collect()  # TRAINERS rows at most
-            weight = sum(r["n"] for r in found)
-            units = [(r["n"] / weight, pickle.loads(r["unit"]).p) for r in found]
-            model.seen += weight
-            model.p = {k: sum(w * p[k] for w, p in units).astype(np.float32) for k in model.p}
+            trained = own.mapInArrow(releasing(one(model)), "first long, n long, weights binary")
+            # The weights of TRAINERS trainers at most are summed up in one task; one row reaches the driver.
+            merged = trained.repartition(1).sortWithinPartitions("first").mapInArrow(releasing(average), "n long, weights binary").first()
+            model.seen += merged["n"]
+            model.p = pickle.loads(merged["weights"])
     return model
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1) -> DataFrame:
     """Per row: its id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    with scratch(docs.sparkSession):
+        return written(_score(rows, id_col, folds, held_fold), keep=True)
+
+
+def _score(rows: DataFrame, id_col: str, folds: int, held_fold: int) -> DataFrame:
+    """The scores of (id, text), from step tables."""
     learned = rows.where(fold("id", folds) != held_fold)
     counts = written(word_counts(learned))
     corpus = describe(counts)
@@ -391,6 +407,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     columns = "id long, n_tokens long, n_known long, base double, score double, rare array<long>"
     scored = written(rows.mapInArrow(releasing(run), columns).withColumn("row", F.monotonically_increasing_id()))
+    shared.unpersist()
+    trained.unpersist()
     c = F.coalesce("c", F.lit(0))
     rare = scored.select("row", F.explode("rare").alias("word")).join(counts, "word", "left").groupBy("row").agg(
         F.count_if(c > 0).alias("more_known"), F.sum(F.log10((c + 0.5) / whole)).alias("more_base"), F.sum(F.log10((c + 0.5) / others)).alias("more_score")

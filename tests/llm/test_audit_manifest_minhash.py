@@ -42,7 +42,7 @@ def test_sql(spark, duck, name):
 
 def plain_audit(docs, labels):
     """Documents (id, lang, text) and labels (id, quality, toxic), one order and one document at a time."""
-    good, toxic = ({i for i, *flags in labels if flags[k] == 1} for k in (0, 1))
+    good, toxic = ({i for i, *flags in labels if flags[k] == 1 and i is not None} for k in (0, 1))
     fails, out = [], {}
     for i, lang, text in docs:
         own, text = words(text), text or ""
