@@ -38,7 +38,7 @@ REFUSALS = [
     r"no information (?:about|on|regarding)", r"isn'?t (?:in|covered)", r"can'?t reproduce",
 ]
 #: Shape of a word or a number. Fixed value.
-WELL_FORMED = r"^\p{L}[\p{L}'’-]*[\p{L}.,;:!?)]?$|^\d+([.,]\d+)*%?$"
+WELL_FORMED = r"^[\p{L}][\p{L}'’-]*[\p{L}.,;:!?)]?$|^\d+([.,]\d+)*[%]?$"
 
 
 #: Words that name no theme. Fixed values.

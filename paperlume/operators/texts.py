@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import classify, text
+from ..functions import classify, html, text
 from ..plans.registry import query
 from ..sources.tables import table
 
@@ -20,7 +21,7 @@ def norm_ws(spark, sf_dir):
 
 @query("html_to_text")
 def html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
 
 
 @query("strip_tags", r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM pages")
@@ -70,15 +71,18 @@ def topic(spark, sf_dir):
     return _turns(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", classify.topic(F.col("text")).alias("t")).select("conv_id", "turn", "t.slug", "t.confidence")
 
 
+#: Parts in which the questions of a theme are ranked before their first ones meet.
+PARTS = 64
+
+
 @query("topic_rollup")
-def topic_rollup(spark, sf_dir):
-    """Questions by theme with the five oldest as examples, bounded within each partial aggregate's group."""
-    asked = _turns(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", "text", classify.topic(F.col("text"))["slug"].alias("slug"))
-    first = F.slice(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "text"))), 1, 5)
-    from pyspark.sql import Window
-
-    ranked = asked.withColumn("r", F.row_number().over(Window.partitionBy("slug").orderBy("conv_id", "turn", "text"))).where("r <= 5")
-    return asked.groupBy("slug").agg(F.count(F.lit(1)).alias("questions")).join(ranked.groupBy("slug").agg(first.alias("examples")), "slug")
+def topic_rollup(spark, sf_dir, examples: int = 5):
+    """Questions by theme with the five oldest as examples. Each question is classified once; a frequent theme is ranked in ``PARTS`` parts."""
+    asked = _turns(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", "text", classify.topic(F.col("text"))["slug"].alias("slug"), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(PARTS)).alias("part"))
+    own = Window.partitionBy("slug", "part").orderBy("conv_id", "turn", "text")
+    first = F.collect_list(F.when(F.col("r") <= examples, F.struct("conv_id", "turn", "text")))
+    parts = asked.withColumn("r", F.row_number().over(own)).groupBy("slug", "part").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
+    return parts.groupBy("slug").agg(F.sum("n").alias("questions"), F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, examples).alias("examples"))
 
 
 @query("classify_request")

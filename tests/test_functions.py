@@ -4,8 +4,9 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from paperlume.functions import classify, text
+from paperlume.functions import classify, html, text
 from paperlume.operators import access, documents, retrieval
+from paperlume.plans import registry
 from paperlume.sources.tables import cost_usd
 from paperlume.streaming import events as streams
 
@@ -38,7 +39,6 @@ def test_topics_and_refusals(spark):
 
 def test_text(spark):
     assert one(spark, text.normalise_whitespace(F.lit("a\r\n\r\n\r\n\r\nb   c\x01 "))) == "a\n\nb c"
-    assert one(spark, text.html_to_text(F.lit("<h2>T</h2><ul><li>x</li></ul>a &amp;lt; b"))) == "## T\n\n- x\n\na &lt; b"
     assert one(spark, text.estimate_tokens(F.lit("x" * 37))) == 11
     assert one(spark, text.lexical_terms(F.lit("What is the annual Fee?"))) == ["annual", "fee"]
     assert one(spark, text.is_complex(F.lit("compare both offers")))
@@ -96,3 +96,37 @@ def test_stream_deduplication_rollup_and_counters(spark, tmp_path):
     assert [(r["tenant"], r["n"], r["dwell_ms"], r["window"]["start"]) for r in run(rollup, "rollup")] == [("a", 2, 3, at)]
     counted = run(streams.counters(source.withColumn("kind", F.lit("k")), ["idempotency_key"]), "counted", "complete")
     assert {tuple(r) for r in counted} == {("a", "k", 2), ("b", "k", 1)}
+
+
+HTML = [
+    ("<h2>T</h2><ul><li>x</li></ul>a &amp;lt; b", "## T\n\n- x\n\na &lt; b"),
+    ("<H3 class='a'>One <b>two</b>\n  three<br></h3>rest", "### One two three\n\nrest"),
+    ("<ul><li> a <i>b</i>\n<br/>c</li><LI>d</LI></ul>", "- a b c\n- d"),
+    ("<li>open <p>x</p><h1>H</h1>", "open x\n\n# H"),
+    ("<li>in <h4>Head</h4> out</li>z", "- in #### Head outz"),
+    ("<li>a<li>b</li>c", "- abc"),
+    ("<h1>never <h2>closed</h2>", "never\n\n## closed"),
+    ("<table><tr><th>a</th> <td x='1'>b</td></tr><tr><td>c</td></tr></table>", "a | b\nc"),
+    ("a<br>b<BR />c<div>d</div>e<p>f</P>\n\n\ng", "a\nb\ncd\n\nef\n\ng"),
+    ("x  \t y   \n z&nbsp;&nbsp;w &quot;&#39;&gt;", "x y\n z w \"'>"),
+    ("1 < 2 and 3", "1 < 2 and 3"),
+    ("a <> b", "a <> b"),
+    (chr(0x130) + "<li>" + chr(0x130) + "</li>", chr(0x130) + "\n- " + chr(0x130)),
+    ("", ""),
+    (None, None),
+]
+
+
+def test_html(spark):
+    rows = spark.createDataFrame(list(enumerate(h for h, _ in HTML)), "id long, h string").select("id", html.html_to_text(F.col("h")).alias("t")).collect()
+    assert {r["id"]: r["t"] for r in rows} == dict(enumerate(t for _, t in HTML))
+    assert html.structured_text("a<script>if (1 < 2) {}</script><style>p</style>b", drop_scripts=True) == "ab"
+    # Items that are never closed are not sought again and again.
+    assert html.structured_text("<li>x" * 20_000).count("x") == 20_000
+
+
+def test_themes_and_their_first_questions(spark, tmp_path):
+    turns = [(k // 2, k % 2, "user", f"What does the license cost for {k}?") for k in range(30)] + [(9, 9, "user", "uptime?"), (1, 1, "assistant", "fee")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {r["slug"]: (r["questions"], [(e["conv_id"], e["turn"]) for e in r["examples"]]) for r in registry.QUERIES["topic_rollup"](spark, str(tmp_path)).collect()}
+    assert found == {"pricing": (30, [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]), "support": (1, [(9, 9)])}
