@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import percentile
 from ..plans.registry import query
 from ..sources.tables import cost_usd, events, jobs, ledger, oracle, subscriptions, table
 
@@ -155,17 +156,17 @@ def unkeyed_events(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("page").isNull() | (F.col("page") % 10 == 0)).alias("unkeyed"))
 
 
-@query("idempotent_events", oracle("SELECT tenant, count(*) AS n_events FROM (SELECT tenant, event_id FROM (SELECT tenant, event_id FROM ev UNION ALL SELECT tenant, event_id FROM ev WHERE event_id % 7 = 0) GROUP BY ALL) GROUP BY tenant"))
-def idempotent_events(spark, sf_dir):
+@query("dedup_events", oracle("SELECT tenant, count(*) AS n_events FROM (SELECT tenant, event_id FROM (SELECT tenant, event_id FROM ev UNION ALL SELECT tenant, event_id FROM ev WHERE event_id % 7 = 0) GROUP BY ALL) GROUP BY tenant"))
+def dedup_events(spark, sf_dir):
     """Events that arrive again, some here, count once by their idempotency key; real repeats have keys of their own."""
     log = events(spark, sf_dir).select("tenant", "event_id")
     return log.unionByName(log.where("event_id % 7 = 0")).dropDuplicates(["tenant", "event_id"]).groupBy("tenant").agg(F.count(F.lit(1)).alias("n_events"))
 
 
-@query("usage_rollup", oracle("""SELECT strftime(occurred_at, '%Y-%m-%d') AS day, tenant, count(*) FILTER (WHERE billable) AS questions, count(*) FILTER (WHERE kind = 'answer' AND succeeded) AS answers, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(cached_tokens) AS BIGINT) AS cached_tokens,
+@query("daily_rollup", oracle("""SELECT strftime(occurred_at, '%Y-%m-%d') AS day, tenant, count(*) FILTER (WHERE billable) AS questions, count(*) FILTER (WHERE kind = 'answer' AND succeeded) AS answers, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(cached_tokens) AS BIGINT) AS cached_tokens,
 CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(coalesce(sum(cost_usd) FILTER (WHERE kind = 'answer'), 0), 6) AS answer_cost, round(coalesce(sum(cost_usd) FILTER (WHERE kind = 'embedding'), 0), 6) AS embedding_cost, round(sum(cost_usd), 6) AS total_cost
 FROM led WHERE occurred_at >= TIMESTAMP '2001-08-29' AND tenant IS NOT NULL GROUP BY ALL"""))
-def usage_rollup(spark, sf_dir):
+def daily_rollup(spark, sf_dir):
     """The usage ledger by day and tenant for the last three days and on, ready for a partition overwrite by day."""
     rows = ledger(spark, sf_dir).where((F.col("occurred_at") >= at(NOW) - F.expr("INTERVAL 3 DAYS")) & F.col("tenant").isNotNull())
     of = lambda kind: usd(F.sum(F.when(F.col("kind") == kind, F.col("cost_usd"))))
@@ -175,12 +176,12 @@ def usage_rollup(spark, sf_dir):
     )
 
 
-@query("job_window", oracle("""SELECT count(*) AS total, count(*) FILTER (WHERE s IN ('COMPLETED', 'SKIPPED')) AS succeeded, count(*) FILTER (WHERE s = 'FAILED') AS failed, round(count(*) FILTER (WHERE s IN ('COMPLETED', 'SKIPPED')) / count(*) FILTER (WHERE s IN ('COMPLETED', 'SKIPPED', 'FAILED')), 6) AS rate,
+@query("job_reliability", oracle("""SELECT count(*) AS total, count(*) FILTER (WHERE s IN ('COMPLETED', 'SKIPPED')) AS succeeded, count(*) FILTER (WHERE s = 'FAILED') AS failed, round(count(*) FILTER (WHERE s IN ('COMPLETED', 'SKIPPED')) / count(*) FILTER (WHERE s IN ('COMPLETED', 'SKIPPED', 'FAILED')), 6) AS rate,
 coalesce(quantile_disc(duration_ms, 0.95), 0) AS p95 FROM (SELECT *, CASE WHEN status = 'RUNNING' AND job_id % 2 = 0 THEN 'SKIPPED' ELSE status END AS s FROM job WHERE started_at >= TIMESTAMP '2001-07-01')"""))
-def job_window(spark, sf_dir):
+def job_reliability(spark, sf_dir):
     """Success over finished jobs of a window, skipped ones included, and the nearest-rank 95th percentile over all its jobs.
 
-    The percentile comes from counts by value, so no task holds all durations.
+    No task holds all durations (see ``functions.ranks``).
     """
     rows = jobs(spark, sf_dir).where(F.col("started_at") >= at("2001-07-01")).withColumn("s", F.when((F.col("status") == "RUNNING") & (F.col("job_id") % 2 == 0), "SKIPPED").otherwise(F.col("status")))
     good, bad = F.count_if(F.col("s").isin("COMPLETED", "SKIPPED")), F.count_if(F.col("s") == "FAILED")
@@ -188,31 +189,24 @@ def job_window(spark, sf_dir):
     return sums.crossJoin(F.broadcast(nearest_rank(rows, "duration_ms", 0.95).select(F.coalesce("value", F.lit(0.0)).alias("p95"))))
 
 
-def nearest_rank(rows: DataFrame, column: str, share: float, buckets: int = 64) -> DataFrame:
-    """One row with the value of rank ceil(share * n), null without rows.
+def nearest_rank(rows: DataFrame, column: str, share: float) -> DataFrame:
+    """One row with the value of rank ceil(share * n), null without rows."""
+    found = percentile(rows, [], column, share).select("value")
+    return found.agg(F.max("value").alias("value"))
 
-    Values are counted, counts are summed in ``buckets`` ranges of values, and only the range that
-    holds the rank is ordered.
-    """
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    span = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    dealt = counts.crossJoin(F.broadcast(span)).withColumn("bucket", F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))).otherwise(0))
-    by_bucket = dealt.groupBy("bucket").agg(F.sum("n").alias("m"))
-    before = by_bucket.select("bucket", "m", F.sum("m").over(Window.orderBy("bucket")).alias("until"), F.sum("m").over(Window.partitionBy()).alias("all"))
-    target = before.withColumn("rank", F.ceil(F.col("all") * share)).where((F.col("until") >= F.col("rank")) & (F.col("until") - F.col("m") < F.col("rank"))).select("bucket", (F.col("rank") - F.col("until") + F.col("m")).alias("rest"))
-    within = dealt.join(F.broadcast(target), "bucket").withColumn("seen", F.sum("n").over(Window.orderBy("v")))
-    return within.where(F.col("seen") >= F.col("rest")).agg(F.min("v").alias("value"))
-
-
-@query("stored_cost_recon", oracle("""SELECT count(*) AS rows_checked, count(*) FILTER (WHERE off >= 1e-6) AS rows_off, round(sum(CASE WHEN off < 1e-6 THEN 0 ELSE off END), 6) AS error_usd, round(max(off), 6) AS largest
-FROM (SELECT abs((CASE WHEN l_orderkey % 97 = 0 THEN cost_usd + 0.001 ELSE cost_usd END) - cost_usd) AS off FROM (SELECT l_orderkey, cost_usd FROM (SELECT l_orderkey, round(CASE WHEN l_linestatus = 'O' THEN ((i - least(c, i)) * 0.2::DOUBLE + least(c, i) * 0.02::DOUBLE + o * 1.2::DOUBLE) / 1000000 ELSE i * 0.02::DOUBLE / 1000000 END, 6) AS cost_usd
-FROM (SELECT l_orderkey, l_linestatus, CAST(l_quantity * 200 AS BIGINT) AS i, CAST(floor(l_quantity * 200 * l_discount) AS BIGINT) AS c, CAST(l_linenumber * 50 AS BIGINT) AS o FROM lineitem))))"""))
-def stored_cost_recon(spark, sf_dir):
-    """Stored costs, here off by a tenth of a cent in some orders, against costs computed again; differences under 1e-6 count as none."""
-    rows = ledger(spark, sf_dir)
-    stored = F.when(F.col("l_orderkey") % 97 == 0, F.col("cost_usd") + 0.001).otherwise(F.col("cost_usd"))
-    off = F.abs(stored - cost_usd(F.col("kind"), F.col("input_tokens"), F.col("cached_tokens"), F.col("output_tokens")))
-    return rows.agg(F.count(F.lit(1)).alias("rows_checked"), F.count_if(off >= 1e-6).alias("rows_off"), F.round(F.sum(F.when(off < 1e-6, 0.0).otherwise(off)), 6).alias("error_usd"), F.round(F.max(off), 6).alias("largest"))
+
+#: Decimals of the column that costs are stored in.
+STORED = 4
+
+
+@query("cost_recon", oracle(f"""SELECT count(*) AS rows_checked, count(*) FILTER (WHERE off >= 1e-6) AS rows_off, round(sum(CASE WHEN off < 1e-6 THEN 0 ELSE off END), 6) AS error_usd, round(max(off), 6) AS largest
+FROM (SELECT abs(round(cost_usd, {STORED}) - cost_usd) AS off FROM led WHERE kind = 'answer' AND occurred_at >= TIMESTAMP '2001-01-01')"""))
+def cost_recon(spark, sf_dir):
+    """Costs as they were stored, in ``STORED`` decimals, against those computed again for the rows of the current prices; differences under 1e-6 count as none."""
+    rows = ledger(spark, sf_dir).where("kind = 'answer' AND occurred_at >= TIMESTAMP_NTZ '2001-01-01'")
+    stored = rows.withColumn("stored", F.round("cost_usd", STORED))
+    off = F.abs(F.col("stored") - cost_usd(F.col("kind"), F.col("input_tokens"), F.col("cached_tokens"), F.col("output_tokens")))
+    return stored.agg(F.count(F.lit(1)).alias("rows_checked"), F.count_if(off >= 1e-6).alias("rows_off"), F.round(F.sum(F.when(off < 1e-6, 0.0).otherwise(off)), 6).alias("error_usd"), F.round(F.max(off), 6).alias("largest"))
 
 
 @query("subscription_recon", oracle(f"""SELECT count(*) FILTER (WHERE c_custkey IS NULL) AS unlinked, count(*) FILTER (WHERE status = 'active' AND created_at + INTERVAL 365 DAY < TIMESTAMP '{NOW}' - INTERVAL 2 DAY) AS stale,

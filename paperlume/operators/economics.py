@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import percentile
 from ..plans.registry import query
 from ..sources.tables import events, ledger, oracle, subscriptions
 from .engagement import ratio
@@ -68,10 +69,15 @@ def _economics(spark, sf_dir):
     return workspace_economics(ledger(spark, sf_dir), subscriptions(spark, sf_dir))
 
 
-@query("unprofitable", _with_economics("SELECT * FROM (SELECT * FROM eco ORDER BY cost DESC, tenant LIMIT 200) WHERE cost > 0 AND margin < 0"))
+def costliest_losses(economics: DataFrame, most: int = 200) -> DataFrame:
+    """Of the ``most`` costliest tenants, those that cost more than they bring, the greatest losses first."""
+    return economics.orderBy(F.desc("cost"), "tenant").limit(most).where("cost > 0 AND margin < 0").orderBy("margin", "tenant")
+
+
+@query("unprofitable", _with_economics("SELECT * FROM (SELECT * FROM eco ORDER BY cost DESC, tenant LIMIT 200) WHERE cost > 0 AND margin < 0 ORDER BY margin, tenant"))
 def unprofitable(spark, sf_dir):
-    """Of the 200 costliest tenants, those that cost more than they bring."""
-    return _economics(spark, sf_dir).orderBy(F.desc("cost"), "tenant").limit(200).where("cost > 0 AND margin < 0")
+    """The costliest tenants that cost more than they bring."""
+    return costliest_losses(_economics(spark, sf_dir))
 
 
 @query("room_costs", oracle("SELECT room, count(*) FILTER (WHERE billable) AS questions, round(sum(cost_usd), 4) AS cost FROM led WHERE occurred_at >= TIMESTAMP '2001-10-01' GROUP BY room ORDER BY cost DESC, room LIMIT 20"))
@@ -93,8 +99,10 @@ def usage_summary(spark, sf_dir):
 
 @query("latency_pctl", oracle("SELECT kind, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95 FROM led WHERE succeeded GROUP BY kind"))
 def latency_pctl(spark, sf_dir):
-    disc = lambda p: F.expr(f"CAST(percentile_disc({p}) WITHIN GROUP (ORDER BY latency_ms) AS BIGINT)")
-    return ledger(spark, sf_dir).where("succeeded").groupBy("kind").agg(disc(0.5).alias("p50"), disc(0.95).alias("p95"))
+    """Nearest-rank latencies by kind of request, answers and the embeddings that retrieval waits for."""
+    rows = ledger(spark, sf_dir).where("succeeded")
+    of = lambda share, name: percentile(rows, ["kind"], "latency_ms", share).select("kind", F.col("value").cast("long").alias(name))
+    return of(0.5, "p50").join(of(0.95, "p95"), "kind")
 
 
 @query("mrr", oracle("SELECT CAST(round(sum(CASE WHEN annual THEN amount_cents / 12.0::DOUBLE ELSE amount_cents END)) AS BIGINT) AS mrr_cents FROM sub WHERE status IN ('active', 'trialing') AND NOT cancels"))
@@ -126,26 +134,6 @@ def quota_state(spark, sf_dir):
     return both.select("tenant", "allowance", "consumed", F.greatest(F.col("allowance") - F.col("consumed"), F.lit(0)).alias("remaining"), share.alias("utilisation"))
 
 
-@query("daily_rollup", oracle("""SELECT strftime(occurred_at, '%Y-%m-%d') AS day, tenant, count(*) FILTER (WHERE kind = 'opened') AS views, count(*) FILTER (WHERE kind = 'asked') AS questions, count(DISTINCT session_id) AS visitors, CAST(sum(duration_ms) AS BIGINT) AS dwell_ms
-FROM ev WHERE occurred_at >= TIMESTAMP '2024-01-27' GROUP BY ALL"""))
-def daily_rollup(spark, sf_dir):
-    """Measures by day and tenant for whole days back from the cutoff, ready for a partition overwrite by day."""
-    log = events(spark, sf_dir).where("occurred_at >= TIMESTAMP_NTZ '2024-01-27'")
-    return log.groupBy(F.date_format("occurred_at", "yyyy-MM-dd").alias("day"), "tenant").agg(
-        F.count_if(F.col("kind") == "opened").alias("views"), F.count_if(F.col("kind") == "asked").alias("questions"), F.count_distinct("session_id").alias("visitors"), F.sum("duration_ms").alias("dwell_ms")
-    )
-
-
-@query("cost_recon", oracle("SELECT count(*) AS rows_checked, CAST(0 AS DOUBLE) AS error_usd FROM led"))
-def cost_recon(spark, sf_dir):
-    """Stored costs against costs computed again, over all rows; differences under 1e-6 count as none."""
-    from ..sources.tables import cost_usd
-
-    rows = ledger(spark, sf_dir)
-    off = F.abs(F.col("cost_usd") - cost_usd(F.col("kind"), F.col("input_tokens"), F.col("cached_tokens"), F.col("output_tokens")))
-    return rows.agg(F.count(F.lit(1)).alias("rows_checked"), F.sum(F.when(off < 1e-6, 0.0).otherwise(off)).alias("error_usd"))
-
-
 @query("quota_recon", oracle("SELECT count(*) FILTER (WHERE o.o_orderkey IS NULL) AS orphaned, count(*) FILTER (WHERE l_returnflag = 'A') AS not_succeeded FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') o ON l_orderkey = o.o_orderkey WHERE l_linestatus = 'O'"))
 def quota_recon(spark, sf_dir):
     """Billable rows whose question is missing, or that did not succeed."""

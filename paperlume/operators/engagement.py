@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import percentile
 from ..plans.registry import query
 from ..sources.tables import events, jobs, oracle, table
 
@@ -100,13 +101,6 @@ def workspace_summary(spark, sf_dir):
     return log.groupBy("tenant").agg(F.count_if(F.col("kind") == "opened").alias("month_views"), F.count_if(F.col("kind") == "asked").alias("month_questions"), F.count_distinct("file_id").alias("active_files"))
 
 
-@query("dedup_events", oracle("SELECT tenant, count(*) AS n_events FROM (SELECT DISTINCT tenant, session_id, kind, page, CAST(occurred_at AS DATE) FROM ev) GROUP BY tenant"))
-def dedup_events(spark, sf_dir):
-    """Events of a session that repeat kind and page on a day count once."""
-    log = events(spark, sf_dir).withColumn("day", F.to_date("occurred_at")).dropDuplicates(["tenant", "session_id", "kind", "page", "day"])
-    return log.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_events"))
-
-
 @query("counter_drift", oracle("""SELECT s.tenant, CAST(s.n AS BIGINT) AS stored, count(e.event_id) AS counted FROM (SELECT CAST(c_custkey AS BIGINT) % 20 AS tenant, count(*) AS n FROM customer GROUP BY 1) s
 LEFT JOIN ev e ON e.tenant = s.tenant AND e.kind IN ('asked', 'unanswered') GROUP BY s.tenant, s.n HAVING count(e.event_id) <> s.n"""))
 def counter_drift(spark, sf_dir):
@@ -125,20 +119,13 @@ def tenant_contamination(spark, sf_dir):
     return found.agg(F.count(F.lit(1)).alias("contaminated"))
 
 
-@query("vitals_p75", oracle("SELECT kind, count(*) AS samples, round(quantile_cont(duration_ms, 0.75), 6) AS p75 FROM ev GROUP BY kind HAVING count(*) >= 20"))
+@query("vitals_p75", oracle("SELECT kind, count(*) AS samples, round(quantile_cont(duration_ms, 0.75), 6) AS p75 FROM ev WHERE occurred_at >= (SELECT max(occurred_at) FROM ev) - INTERVAL 28 DAY GROUP BY kind HAVING count(duration_ms) >= 20"))
 def vitals_p75(spark, sf_dir):
-    """Interpolated 75th percentile per metric that has at least 20 samples."""
-    sums = events(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("samples"), F.expr("round(percentile_cont(0.75) WITHIN GROUP (ORDER BY duration_ms), 6)").alias("p75"))
-    return sums.where("samples >= 20")
-
-
-@query("job_reliability", oracle("""SELECT count(*) FILTER (WHERE status = 'COMPLETED') AS succeeded, count(*) FILTER (WHERE status = 'FAILED') AS failed, round(count(*) FILTER (WHERE status = 'COMPLETED') / count(*) FILTER (WHERE status <> 'RUNNING'), 6) AS rate,
-quantile_disc(duration_ms, 0.95) FILTER (WHERE status = 'COMPLETED') AS p95 FROM job"""))
-def job_reliability(spark, sf_dir):
-    """Success rate over finished jobs and the nearest-rank 95th percentile of their duration."""
-    done, over = F.count_if(F.col("status") == "COMPLETED"), F.count_if(F.col("status") != "RUNNING")
-    p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY CASE WHEN status = 'COMPLETED' THEN duration_ms END)")
-    return jobs(spark, sf_dir).agg(done.alias("succeeded"), F.count_if(F.col("status") == "FAILED").alias("failed"), F.round(ratio(done, over), 6).alias("rate"), p95.alias("p95"))
+    """Interpolated 75th percentile per metric of the last 28 days that has at least 20 samples."""
+    log = events(spark, sf_dir)
+    last = log.agg(F.max("occurred_at").alias("last"))
+    recent = log.crossJoin(F.broadcast(last)).where(F.col("occurred_at") >= F.col("last") - F.expr("INTERVAL 28 DAYS"))
+    return percentile(recent, ["kind"], "duration_ms", 0.75, interpolated=True).where("n >= 20").select("kind", F.col("n").alias("samples"), F.round("value", 6).alias("p75"))
 
 
 @query("stuck_jobs", oracle("SELECT count(*) AS stuck, list_sort(list(DISTINCT kind)) AS kinds FROM job WHERE status = 'RUNNING' AND started_at < TIMESTAMP '1998-01-01'"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import percentile
+from ..plans.declared import metrics
 from ..plans.registry import query
 from ..sources.tables import events, oracle, table
 
@@ -63,12 +65,83 @@ def _gates(spark, sf_dir):
     return gates(_evaluate(spark, sf_dir))
 
 
-@query("quality_overview", _sql("SELECT s.metric_id, s.severity, coalesce(e.state, 'unmeasured') AS state, coalesce(e.samples, 0) AS samples FROM spec s LEFT JOIN eva e USING (metric_id)"))
+DECLARED = "metric_id string, comparison string, target double, warning double, failure double, severity string, least int, repair string"
+#: Hours that an overview looks back.
+WINDOW_HOURS = 168
+
+
+def declared(spark) -> DataFrame:
+    """The declared metrics, one row each."""
+    return spark.createDataFrame(metrics(), DECLARED)
+
+
+def overview(log: DataFrame, spec: DataFrame, now: Column, hours: int = WINDOW_HOURS) -> DataFrame:
+    """Every declared metric with its latest evaluation in the window, its failures and their last evidence, and its repairs.
+
+    ``log`` has metric_id, value, state, samples, evidence, measured_at, repair_at and repaired. One grouping of
+    the window, with maxima by time in place of sorted rows, so a metric that is measured very often
+    is combined before it is shuffled; a metric without a row is unmeasured.
+    """
+    recent = log.where(F.col("measured_at") >= now - F.expr(f"INTERVAL {hours} HOURS"))
+    failed = F.col("state") == "fail"
+    latest = F.max(F.struct("measured_at", "value", "state", "samples", "evidence")).alias("latest")
+    last = F.max(F.when(failed, F.struct("measured_at", "evidence"))).alias("last")
+    sums = recent.groupBy("metric_id").agg(latest, last, F.count(F.lit(1)).alias("measurements"), F.count_if(failed).alias("failures"), F.count("repair_at").alias("repairs"), F.count_if("repaired").alias("repaired"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return spec.join(F.broadcast(sums), "metric_id", "left").select(
+        "metric_id", F.split_part("metric_id", F.lit("."), F.lit(1)).alias("domain"), "severity", F.coalesce("latest.state", F.lit("unmeasured")).alias("state"), F.col("latest.value").alias("value"), F.col("latest.samples").alias("samples"),
+        F.col("latest.measured_at").alias("measured_at"), zero("measurements"), zero("failures"), F.col("last.evidence").alias("last_failure"), zero("repairs"), zero("repaired"),
+    )
+
+
+def evaluations(events: DataFrame) -> DataFrame:
+    """Events as evaluations: an event measures the metric of its number among the declared, and others that none has.
+
+    Its value lies between the metric's target and beyond its failure threshold, by the event's own.
+    """
+    spark = events.sparkSession
+    spec = declared(spark)
+    names = spark.createDataFrame(list(enumerate(m[0] for m in metrics())), "n long, metric_id string")
+    rows = events.where("ts IS NOT NULL AND value IS NOT NULL").withColumn("n", F.col("event_id") * 7 % 75)
+    measured = rows.join(F.broadcast(names), "n").join(F.broadcast(spec.select("metric_id", "target", F.col("failure").alias("bound"))), "metric_id")
+    off = F.round(F.col("target") + (F.col("bound") - F.col("target")) * F.col("value") / 25 + F.when((F.col("event_type") == "error") & (F.col("target") == F.col("bound")), 1).otherwise(0), 6)
+    made = measured.select("metric_id", off.alias("value"), (F.col("user_id") % 60).cast("int").alias("samples"), F.col("ts").alias("measured_at"), F.concat_ws(":", "user_id", "event_id").alias("evidence"),
+                           F.when(F.col("event_type").isin("click", "purchase"), F.col("ts")).alias("repair_at"), (F.col("event_type") == "purchase").alias("repaired"))
+    return evaluate(made, spec)
+
+
+def _number(value: float | None) -> str:
+    return "NULL" if value is None else f"{value!r}::DOUBLE"
+
+
+DECLARED_SQL = f"""declared(n, metric_id, comparison, target, warning, failure, severity, least, repair) AS (VALUES {", ".join(f"({k}, '{m[0]}', '{m[1]}', {_number(m[2])}, {_number(m[3])}, {_number(m[4])}, '{m[5]}', {m[6]}, '{m[7]}')" for k, m in enumerate(metrics()))}),
+made AS (SELECT metric_id, round(target + (failure - target) * value / 25 + CASE WHEN event_type = 'error' AND target = failure THEN 1 ELSE 0 END, 6) AS value, CAST(user_id % 60 AS INTEGER) AS samples, ts AS measured_at, user_id || ':' || event_id AS evidence,
+  CASE WHEN event_type IN ('click', 'purchase') THEN ts END AS repair_at, event_type = 'purchase' AS repaired, comparison, warning, failure, severity, least FROM events JOIN declared ON event_id * 7 % 75 = n WHERE ts IS NOT NULL AND value IS NOT NULL),
+log AS (SELECT *, CASE WHEN samples < least THEN 'pass' WHEN NOT CASE comparison WHEN 'gte' THEN value >= failure WHEN 'lte' THEN value <= failure ELSE value = failure END THEN 'fail'
+  WHEN warning IS NOT NULL AND NOT CASE comparison WHEN 'gte' THEN value >= warning WHEN 'lte' THEN value <= warning ELSE value = warning END THEN 'warn' ELSE 'pass' END AS state FROM made),
+looked AS (SELECT metric_id, max({{'measured_at': measured_at, 'value': value, 'state': state, 'samples': samples, 'evidence': evidence}}) AS latest, arg_max(evidence, measured_at) FILTER (state = 'fail') AS last_failure, count(*) AS measurements, count(*) FILTER (state = 'fail') AS failures, count(repair_at) AS repairs, count(*) FILTER (repaired) AS repaired FROM log WHERE measured_at >= (SELECT max(ts) FROM events) - INTERVAL {WINDOW_HOURS} HOUR GROUP BY metric_id),
+over AS (SELECT d.metric_id, split_part(d.metric_id, '.', 1) AS domain, d.severity, coalesce(latest.state, 'unmeasured') AS state, latest.value AS value, latest.samples AS samples, latest.measured_at AS measured_at, coalesce(measurements, 0) AS measurements, coalesce(failures, 0) AS failures, last_failure, coalesce(repairs, 0) AS repairs, coalesce(repaired, 0) AS repaired FROM declared d LEFT JOIN looked USING (metric_id))"""
+
+
+def _overview(spark, sf_dir) -> DataFrame:
+    now = table(spark, sf_dir, "events").agg(F.max("ts").alias("now"))
+    log = evaluations(table(spark, sf_dir, "events")).crossJoin(F.broadcast(now))
+    return overview(log, declared(spark), F.col("now"))
+
+
+@query("quality_overview", f"WITH {DECLARED_SQL} SELECT * FROM over")
 def quality_overview(spark, sf_dir):
-    """Every declared metric with its state, those never measured too."""
-    found = _evaluate(spark, sf_dir).select("metric_id", "state", "samples")
-    spec = spark.createDataFrame(DEMO_SPEC, SPEC).select("metric_id", "severity")
-    return spec.join(found, "metric_id", "left").select("metric_id", "severity", F.coalesce("state", F.lit("unmeasured")).alias("state"), F.coalesce("samples", F.lit(0)).alias("samples"))
+    """Every declared metric as it stands after the last week."""
+    return _overview(spark, sf_dir)
+
+
+@query("quality_counts", f"WITH {DECLARED_SQL} SELECT domain, count(*) FILTER (state = 'pass') AS pass, count(*) FILTER (state = 'warn') AS warn, count(*) FILTER (state = 'fail') AS fail, count(*) FILTER (state = 'unmeasured') AS unmeasured, count(*) FILTER (state = 'fail' AND severity IN ('CRITICAL', 'HARD_FAIL')) AS blocking, count(*) FILTER (state = 'warn' OR state = 'fail' AND severity = 'WARNING') AS warnings FROM over GROUP BY domain")
+def quality_counts(spark, sf_dir):
+    """States of the declared metrics by domain, with what blocks a release; nothing is averaged."""
+    n = lambda condition: F.count_if(condition)
+    state, hard = F.col("state"), F.col("severity").isin("CRITICAL", "HARD_FAIL")
+    states = [n(state == s).alias(s) for s in ("pass", "warn", "fail", "unmeasured")]
+    return _overview(spark, sf_dir).groupBy("domain").agg(*states, n((state == "fail") & hard).alias("blocking"), n((state == "warn") | ((state == "fail") & (F.col("severity") == "WARNING"))).alias("warnings"))
 
 
 def retrieval_metrics(ranked: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
@@ -97,18 +170,26 @@ def _ir(spark, sf_dir):
     return retrieval_metrics(ranked, rows.where("value > 250").select("question_id", "item").distinct())
 
 
-@query("calibration", """SELECT round(count(*) FILTER (WHERE quality = 0 AND toxic = 0) / count(*) FILTER (WHERE quality = 0), 6) AS false_answer_rate, round(count(*) FILTER (WHERE quality = 1 AND toxic = 1) / count(*) FILTER (WHERE quality = 1), 6) AS false_refusal_rate FROM labels""")
+@query("calibration", """SELECT round(count(*) FILTER (WHERE NOT able AND NOT refused) / count(*) FILTER (WHERE NOT able), 6) AS false_answer_rate, round(count(*) FILTER (WHERE able AND (refused OR NOT expected)) / count(*) FILTER (WHERE able), 6) AS false_refusal_rate
+FROM (SELECT quality = 1 AS able, toxic = 1 AS refused, coalesce(contains(text, '. '), false) AS expected FROM labels LEFT JOIN documents USING (doc_id))""")
 def calibration(spark, sf_dir):
-    """Answers given where none was possible, and refusals where one was (answerable: quality, refused: toxic)."""
-    able, refused = F.col("quality") == 1, F.col("toxic") == 1
+    """Answers given where none was possible, and refusals, or answers without what was expected, where one was.
+
+    A labelled document is an answer: answerable by its quality, refused by its toxicity, expected to have a whole sentence.
+    """
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.contains("text", F.lit(". ")).alias("expected"))
+    able, refused, expected = F.col("quality") == 1, F.col("toxic") == 1, F.coalesce("expected", F.lit(False))
     share = lambda top, of: F.round(F.try_divide(F.count_if(top & of), F.count_if(of)), 6)
-    return table(spark, sf_dir, "labels").agg(share(~refused, ~able).alias("false_answer_rate"), share(refused, able).alias("false_refusal_rate"))
+    return table(spark, sf_dir, "labels").join(texts, "doc_id", "left").agg(share(~refused, ~able).alias("false_answer_rate"), share(refused | ~expected, able).alias("false_refusal_rate"))
 
 
 @query("chunk_stats", "SELECT count(*) AS chunks, CAST(sum(n_chars) AS BIGINT) AS total, round(avg(n_chars), 6) AS mean, quantile_disc(n_chars, 0.5) AS median, quantile_disc(n_chars, 0.95) AS p95, min(n_chars) AS least, max(n_chars) AS most FROM documents")
 def chunk_stats(spark, sf_dir):
-    disc = lambda p: F.expr(f"CAST(percentile_disc({p}) WITHIN GROUP (ORDER BY n_chars) AS BIGINT)")
-    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("chunks"), F.sum("n_chars").alias("total"), F.round(F.avg("n_chars"), 6).alias("mean"), disc(0.5).alias("median"), disc(0.95).alias("p95"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+    """Sizes of all texts; the percentiles are exact and no task holds all sizes."""
+    rows = table(spark, sf_dir, "documents")
+    sums = rows.agg(F.count(F.lit(1)).alias("chunks"), F.sum("n_chars").alias("total"), F.round(F.avg("n_chars"), 6).alias("mean"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+    of = lambda share, name: percentile(rows, [], "n_chars", share).agg(F.max("value").cast("long").alias(name))
+    return sums.crossJoin(F.broadcast(of(0.5, "median"))).crossJoin(F.broadcast(of(0.95, "p95"))).select("chunks", "total", "mean", "median", "p95", "least", "most")
 
 
 @query("release_summary", oracle("SELECT date_trunc('week', occurred_at) AS release, count(*) AS n, count(*) FILTER (WHERE duration_ms > 200000) AS failures, min(occurred_at) AS first_at, max(occurred_at) AS last_at FROM ev GROUP BY release ORDER BY release DESC LIMIT 8"))

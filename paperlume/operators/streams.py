@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import query
 from ..sources.tables import table
 from ..streaming import sinks
+from .quality import DECLARED_SQL, evaluations
 
 #: Of the files of a stream, how many make a batch.
 FILES = 4
@@ -68,3 +69,13 @@ def daily_rollup_sink(spark, sf_dir):
     sink = sinks.daily_rollup(lambda: days(table(spark, sf_dir, "events")), f"{folder}/days", ["tenant"])
     sinks.run_available(days(_stream(spark, sf_dir, "events")), _twice(sink), f"{folder}/state")
     return spark.read.parquet(f"{folder}/days")
+
+
+@query("sink_quality", f"WITH {DECLARED_SQL} SELECT metric_id, value, samples, measured_at, evidence, severity, samples < least AS skipped, state FROM log")
+def sink_quality(spark, sf_dir):
+    """Measurements judged by the declared metrics as they come, and appended once each."""
+    folder = sinks.shared_folder(spark)
+    append = sinks.append(f"{folder}/evaluations")
+    judged = lambda df, batch: append(evaluations(df), batch)
+    sinks.run_available(_stream(spark, sf_dir, "events"), _twice(judged), f"{folder}/state")
+    return sinks.rows(spark, f"{folder}/evaluations").select("metric_id", "value", "samples", "measured_at", "evidence", "severity", "skipped", "state")

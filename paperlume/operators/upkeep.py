@@ -128,8 +128,8 @@ def leaks(answer: Column, forbidden: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, forbidden)), lambda s: F.contains(text, F.lower(s)))
 
 
-@query("answerability", "SELECT conv_id, turn, contains(lower(coalesce(text, '')), '<|im_') OR contains(lower(coalesce(text, '')), 'answer') AS leaked FROM conversations WHERE role = 'assistant'")
-def answerability(spark, sf_dir):
+@query("injection_leaks", "SELECT conv_id, turn, contains(lower(coalesce(text, '')), '<|im_') OR contains(lower(coalesce(text, '')), 'answer') AS leaked FROM conversations WHERE role = 'assistant'")
+def injection_leaks(spark, sf_dir):
     """Answers that give away what an injected instruction asked for."""
     rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     return rows.select("conv_id", "turn", leaks(F.col("text"), ["<|IM_", "answer"]).alias("leaked"))

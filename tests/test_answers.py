@@ -5,8 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from paperlume.functions import classify, numbers, text
-from paperlume.operators import access, answers, console, documents
+from paperlume.functions import classify, numbers, ranks, text
+from paperlume.operators import access, answers, console, documents, economics, quality
+from paperlume.plans import declared
 
 
 def one(spark, column):
@@ -67,3 +68,48 @@ def test_nearest_rank(spark, values):
     rows = spark.createDataFrame([(v,) for v in values], "v double")
     expected = sorted(values)[-(-95 * len(values) // 100) - 1] if values else None
     assert console.nearest_rank(rows, "v", 0.95).first()["value"] == expected
+
+
+def plain_percentile(values, share, interpolated):
+    own = sorted(v for v in values if v is not None)
+    if not interpolated:
+        return own[max(-(-round(share * len(own) * 1e9) // 10**9), 1) - 1]
+    at = share * (len(own) - 1)
+    low = int(at)
+    return own[low] + (own[min(low + 1, len(own) - 1)] - own[low]) * (at - low)
+
+
+@pytest.mark.parametrize("small", [0, 50_000])
+@pytest.mark.parametrize("interpolated", [False, True])
+def test_percentiles_of_groups(spark, monkeypatch, small, interpolated):
+    monkeypatch.setattr(ranks, "SMALL", small)
+    groups = {"a": [float(k * 7919 % 40_009) for k in range(40_000)], "b": [1.0] * 900 + [5.0] * 99 + [None], None: [float(k % 13) ** 3 for k in range(700)]}
+    if not small:
+        groups["b"] = groups["b"] * 20
+        groups[None] = groups[None] * 20
+    rows = spark.createDataFrame([(k, v) for k, own in groups.items() for v in own], "k string, v double")
+    for share in (0.5, 0.75, 0.95):
+        found = {r["k"]: (r["n"], r["value"]) for r in ranks.percentile(rows, ["k"], "v", share, interpolated).collect()}
+        for k, own in groups.items():
+            assert found[k] == (sum(v is not None for v in own), pytest.approx(plain_percentile(own, share, interpolated)))
+
+
+def test_losses_by_margin(spark):
+    rows = spark.createDataFrame([(1, 5.0, -1.0), (2, 9.0, -3.0), (3, 7.0, 2.0), (4, 0.0, -1.0), (5, 1.0, -9.0)], "tenant long, cost double, margin double")
+    assert [r["tenant"] for r in economics.costliest_losses(rows, 4).collect()] == [5, 2, 1]
+    assert [r["tenant"] for r in economics.costliest_losses(rows, 2).collect()] == [2]
+
+
+def test_declared_metrics(spark):
+    names = [m[0] for m in declared.metrics()]
+    assert len(names) == len(set(names)) == 60 and {m[1] for m in declared.metrics()} == {"eq", "gte", "lte"}
+    at = lambda h: dt.datetime(2024, 1, 8) - dt.timedelta(hours=h)
+    log = [("viewer.cls", 0.05, "pass", 30, "e1", at(1), None, False), ("viewer.cls", 0.9, "fail", 30, "e2", at(2), at(2), True), ("viewer.cls", 0.9, "fail", 30, "e3", at(3), at(3), False), ("storage.hash_mismatches", 1.0, "fail", 0, "old", at(169), None, False), ("no.such", 1.0, "fail", 1, "x", at(1), None, False)]
+    frame = spark.createDataFrame(log, "metric_id string, value double, state string, samples int, evidence string, measured_at timestamp, repair_at timestamp, repaired boolean")
+    found = {r["metric_id"]: r for r in quality.overview(frame, quality.declared(spark), F.lit(at(0))).collect()}
+    assert found.keys() == set(names)
+    row = found["viewer.cls"]
+    assert (row["state"], row["value"], row["measurements"], row["failures"], row["last_failure"], row["repairs"], row["repaired"]) == ("pass", 0.05, 3, 2, "e2", 2, 1)
+    assert found["storage.hash_mismatches"]["state"] == "unmeasured" and found["storage.hash_mismatches"]["failures"] == 0
+    judged = spark.createDataFrame([("viewer.cls", 0.2, 30), ("viewer.cls", 0.2, 3), ("answer.quote_fidelity", 0.5, 1), ("billing.cost_reconciliation_error_usd", 0.005, 0)], "metric_id string, value double, samples int")
+    assert [r["state"] for r in quality.evaluate(judged, quality.declared(spark)).orderBy("value", "samples").collect()] == ["warn", "pass", "warn", "fail"]

@@ -28,7 +28,7 @@ def test_every_hundredth_vector_asks(spark):
     vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
     asked = [q for q in vectors if q % 100 == 0]
     assert len(asked) > 1
-    assert ranked(registry.QUERIES["semantic_search_all"](spark, SF)) == nearest(vectors, asked)
+    assert ranked(registry.QUERIES["semantic_search"](spark, SF)) == nearest(vectors, asked)
 
 
 @pytest.mark.parametrize("block", [3, 10_000])
