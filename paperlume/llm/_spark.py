@@ -43,7 +43,7 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def named(columns: list[str]) -> list[Column]:
+def columns_named(columns: list[str]) -> list[Column]:
     """The columns of these names, which may hold dots."""
     return [F.col("`" + name.replace("`", "``") + "`") for name in columns]
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import join_ids, named, releasing, scratch, text_or_empty, written
+from ._spark import columns_named, join_ids, releasing, scratch, text_or_empty, written
 from .linking import SET, connect, linkable, list_column, set_rows, shared_lists
 from .words import mix, row_chunks, words_in
 
@@ -191,4 +191,4 @@ def keep_one_per_group(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     with scratch(docs.sparkSession):
         groups = join_groups(docs, size, percent, id_col, text_col)
         removed = written(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), keep=True)
-    return join_ids(docs, removed, id_col, "left_anti").select(*named(docs.columns))
+    return join_ids(docs, removed, id_col, "left_anti").select(*columns_named(docs.columns))

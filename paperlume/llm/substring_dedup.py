@@ -24,8 +24,8 @@ running text is joined with grows with the texts, so those joins are merged at e
 is broadcast. Tables of steps are deleted once they have been read.
 
 Edge cases: null, empty and blank texts have no paragraphs; rows with a null id are not compared
-and stay as they are; rows that repeat an id share the decisions made for its lines, and those for
-running text if their texts are equal; what is shorter than ``MIN_WORDS`` is never removed; an empty
+and stay as they are; rows that repeat an id and its text share all decisions, and of one id's
+different texts each is a text of its own; what is shorter than ``MIN_WORDS`` is never removed; an empty
 table gives no rows; other columns are not read.
 """
 
@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import join_ids, releasing, scratch, text_or_empty, unused, written
+from ._spark import columns_named, join_ids, releasing, scratch, text_or_empty, unused, written
 from .linking import SET, connect, linkable, list_column, set_rows, shared_lists
 from .ngram_join import node_of
 from .words import Words, _powers_to, mix, row_chunks, words_in
@@ -76,21 +76,21 @@ def minhash_keys(runs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def paragraph_rows(rows: DataFrame, min_words: int, size: int) -> DataFrame:
-    """Per paragraph of (id, text): id, line, n_words, node and keys."""
+    """Per paragraph of (id, version, text): id, version, line, n_words, node and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for base, data, offsets in row_chunks(batch.column(1)):
+            for base, data, offsets in row_chunks(batch.column(2)):
                 row, line, words = paragraphs(data, offsets, min_words)
                 if not len(row):
                     continue
+                own = [batch.column(k).take(pa.array(base + row)) for k in (0, 1)]
                 runs, bounds = words.shingles(size)
                 nodes = [node_of(np.unique(runs[a:b])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 keys = list_column(list(minhash_keys(runs, bounds).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(base + row)), pa.array(line, pa.int32()), pa.array(words.counts, pa.int64()), pa.array(nodes, pa.int64()), keys], names=["id", "line", "n_words", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(line, pa.int32()), pa.array(words.counts, pa.int64()), pa.array(nodes, pa.int64()), keys], names=["id", "version", "line", "n_words", "node", "keys"])
 
-    return rows.mapInArrow(releasing(run), "id long, line int, n_words long, node long, keys array<long>")
+    return rows.select("id", "version", "text").mapInArrow(releasing(run), "id long, version long, line int, n_words long, node long, keys array<long>")
 
 
 def _sets(picked: DataFrame, min_words: int, size: int) -> DataFrame:
@@ -109,8 +109,8 @@ def _sets(picked: DataFrame, min_words: int, size: int) -> DataFrame:
 
 
 def repeated_lines(rows: DataFrame, min_words: int, size: int, percent: int) -> DataFrame:
-    """Per paragraph of (id, text) that repeats: id, line, n_words, kept_id, kept_line and removed."""
-    place = F.struct("id", "line")
+    """Per paragraph of (id, version, text) that repeats: id, version, line, n_words, kept_id, kept_line and removed."""
+    place = F.struct("id", "line", "version")
     with scratch(rows.sparkSession):
         found = written(paragraph_rows(rows, min_words, size))
         nodes = written(found.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")))
@@ -119,7 +119,7 @@ def repeated_lines(rows: DataFrame, min_words: int, size: int, percent: int) ->
         named = written(nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
         groups = named.groupBy("component").agg(F.min("first").alias("kept"), F.sum("copies").alias("members")).where("members > 1")
         by_node = named.select("node", "component").join(groups, "component").select("node", "kept")
-        out = found.join(by_node, "node").select("id", "line", "n_words", F.col("kept.id").alias("kept_id"), F.col("kept.line").alias("kept_line"), (place != F.col("kept")).alias("removed"))
+        out = found.join(by_node, "node").select("id", "version", "line", "n_words", F.col("kept.id").alias("kept_id"), F.col("kept.line").alias("kept_line"), (place != F.col("kept")).alias("removed"))
         return written(out, keep=True)
 
 
@@ -217,11 +217,11 @@ def _window_rows(rows: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_passages(rows: DataFrame, gone: DataFrame, window: int) -> DataFrame:
-    """Per run of words that repeats, outside the lines of (id, gone): id, version, line, n_words, kept_id, kept_line, removed, and its bytes.
+    """Per run of words that repeats, outside the lines of (id, version, gone): id, version, line, n_words, kept_id, kept_line, removed, and its bytes.
 
     The version is a hash of the text that the bytes belong to.
     """
-    rows = rows.withColumn("version", F.xxhash64("text")).join(gone.hint("merge"), "id", "left")
+    rows = rows.join(gone.hint("merge"), ["id", "version"], "left")
     with scratch(rows.sparkSession):
         found = _shared_windows(rows, window)
         place, text = F.struct("id", "version", "at", "line"), F.xxhash64("id", "version")
@@ -253,10 +253,10 @@ def _shared_windows(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _units(docs: DataFrame, min_words: int, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Repeated lines, removed lines by id, and repeated passages."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).where("id IS NOT NULL")
+    """Repeated lines, removed lines by id and version, and repeated passages; a version is a hash of the text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).where("id IS NOT NULL").withColumn("version", F.xxhash64("text"))
     lines = repeated_lines(rows, min_words, size, percent)
-    gone = written(lines.where("removed").groupBy("id").agg(F.collect_set("line").alias("gone")))
+    gone = written(lines.where("removed").groupBy("id", "version").agg(F.collect_set("line").alias("gone")))
     return lines, gone, repeated_passages(rows, gone, min_words)
 
 
@@ -266,7 +266,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, size: int = SIZE, perce
     A unit is a paragraph, or a run of words with its bytes, from start to before end, in the text.
     """
     lines, _, passages = _units(docs, min_words, size, percent, id_col, text_col)
-    return lines.unionByName(passages.drop("version"), allowMissingColumns=True).withColumnRenamed("id", id_col)
+    return lines.drop("version").unionByName(passages.drop("version"), allowMissingColumns=True).withColumnRenamed("id", id_col)
 
 
 def _without(text: bytes, lines: set[int], cuts: list[tuple[int, int]]) -> bytes:
@@ -291,7 +291,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     with scratch(docs.sparkSession):
         _, gone, passages = _units(docs, min_words, SIZE, PERCENT, id_col, text_col)
         cuts = passages.where("removed").groupBy("id").agg(F.collect_list(F.struct("version", "start", "end")).alias(cuts_col))
-        edits = gone.withColumnRenamed("gone", gone_col).join(cuts, "id", "full_outer").withColumnRenamed("id", key)
+        edits = gone.groupBy("id").agg(F.collect_list(F.struct("version", "gone")).alias(gone_col)).join(cuts, "id", "full_outer").withColumnRenamed("id", key)
         edits = written(edits, keep=True)
     size = F.greatest(F.size(gone_col), F.lit(0)) + F.greatest(F.size(cuts_col), F.lit(0))
     marked = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(version_col, F.xxhash64(text_or_empty(text_col)))
@@ -304,9 +304,12 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
             texts = batch.column(at).to_pylist()
             for k in np.flatnonzero(pc.or_(lines.is_valid(), cuts.is_valid()).to_numpy(zero_copy_only=False)).tolist():
                 own = [(c["start"], c["end"]) for c in cuts[k].as_py() or () if c["version"] == version[k].as_py()]
+                gone = {line for g in lines[k].as_py() or () if g["version"] == version[k].as_py() for line in g["gone"]}
                 if texts[k] is not None:
-                    texts[k] = _without(texts[k].encode(), set(lines[k].as_py() or ()), own).decode()
+                    texts[k] = _without(texts[k].encode(), gone, own).decode()
             columns = [pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return marked.select(*(F.col(f"`{c}`") for c in names), gone_col, cuts_col, version_col).mapInArrow(releasing(run), docs.schema)
+    # Arrow functions take columns by name, and not those with dots, so they get names by place.
+    given = marked.select(*columns_named(names), gone_col, cuts_col, version_col).toDF(*(f"c{k}" for k in range(len(names) + 3)))
+    return given.mapInArrow(releasing(run), docs.schema)
