@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlume.llm import bpe, decontamination, ngram_join, quality, substring_dedup
-from paperlume.llm._spark import named, shared_folder, table, unused
+from paperlume.llm._spark import columns_named, shared_folder, table, unused
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the attention classifier does not reject."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     score = unused(docs.columns, "score")
-    return quality.with_score(docs, model, out=score).where(F.col(score) >= 0.5).select(*named(docs.columns))
+    return quality.with_score(docs, model, out=score).where(F.col(score) >= 0.5).select(*columns_named(docs.columns))
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the paragraphs that another document has already."""
     rewritten = substring_dedup.remove_repeats(docs)
-    return rewritten.withColumn("n_chars", F.length("text").cast("long")).select(*named(docs.columns))
+    return rewritten.withColumn("n_chars", F.length("text").cast("long")).select(*columns_named(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +46,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     kept = [c for c in docs.columns if c.lower() not in ("ids_le", "n_tokens", "lossless")]
     made = unused(docs.columns, "encoded")
-    encoded = bpe.encode_checked(docs.select(*named(kept)), out=made)
+    encoded = bpe.encode_checked(docs.select(*columns_named(kept)), out=made)
     ids = F.col(made)["ids_le"]
-    return encoded.select(*named(kept), ids.alias("ids_le"), (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.col(made)["lossless"].alias("lossless"))
+    return encoded.select(*columns_named(kept), ids.alias("ids_le"), (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.col(made)["lossless"].alias("lossless"))
 
 
 STAGES = [
