@@ -35,7 +35,7 @@ from .token_count import tokenizer_path
 BATCH_BYTES = 500_000
 #: Words of more bytes are merged in several parts at once.
 LONG = 512
-CACHE_CHARS = 1_000_000
+CACHE_CHARS = 4_000_000
 
 
 def byte_symbols() -> list[str]:
