@@ -312,15 +312,6 @@ def recent_questions(spark, sf_dir, top: int = 10):
     return rows.where(F.col("r") <= top).drop("r")
 
 
-@query("topics_list", oracle("""SELECT page % 12 AS topic, count(*) AS questions, count(*) FILTER (WHERE kind = 'unanswered') AS unanswered, CASE WHEN count(*) FILTER (WHERE kind = 'unanswered') < 2 OR count(*) FILTER (WHERE kind = 'unanswered') / count(*) < 0.3 THEN NULL
-WHEN count(*) FILTER (WHERE kind = 'unanswered') / count(*) >= 0.7 THEN 'not covered' ELSE 'not clear' END AS insight FROM ev WHERE kind IN ('asked', 'unanswered') AND page IS NOT NULL GROUP BY 1 ORDER BY questions DESC, topic LIMIT 8"""))
-def topics_list(spark, sf_dir, top: int = 8):
-    """The themes asked about most, with what their unanswered share says."""
-    asked = events(spark, sf_dir).where(F.col("kind").isin("asked", "unanswered") & F.col("page").isNotNull()).groupBy((F.col("page") % 12).alias("topic"))
-    sums = asked.agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("kind") == "unanswered").alias("unanswered"))
-    return sums.withColumn("insight", insight(F.col("questions"), F.col("unanswered"))).orderBy(F.desc("questions"), "topic").limit(top)
-
-
 def insight(questions: Column, unanswered: Column) -> Column:
     """Null below two unanswered questions or a share of 0.3; from 0.7 on the theme is not covered, else not clear."""
     share = unanswered / F.greatest(questions, F.lit(1))

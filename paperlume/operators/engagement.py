@@ -42,7 +42,7 @@ def files_engagement(log: DataFrame, files: DataFrame, top: int = 6) -> DataFram
 
 
 @query("files_engagement", oracle(f"""SELECT f.file_id, count(e.event_id) AS n_events, count(*) FILTER (WHERE e.kind = 'opened') AS opens, CAST(coalesce(sum(e.duration_ms), 0) AS BIGINT) AS dwell_ms, count(DISTINCT e.session_id) AS sessions
-FROM (SELECT doc_id AS file_id FROM documents WHERE doc_id < 60) f LEFT JOIN (SELECT * FROM ev WHERE tenant = {TENANT}) e USING (file_id) GROUP BY f.file_id ORDER BY n_events DESC, f.file_id LIMIT 6"""))
+FROM (SELECT doc_id AS file_id FROM documents) f LEFT JOIN (SELECT * FROM ev WHERE tenant = {TENANT}) e USING (file_id) GROUP BY f.file_id ORDER BY n_events DESC, f.file_id LIMIT 6"""))
 def _files(spark, sf_dir):
     live = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"))
     return files_engagement(events(spark, sf_dir).where(F.col("tenant") == TENANT), live)

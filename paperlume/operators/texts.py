@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, html, text
 from ..plans.registry import query
 from ..sources.tables import table
+from .console import insight
 
 
 def _turns(spark, sf_dir):
@@ -46,12 +47,20 @@ def embed_reuse(spark, sf_dir):
     return hashed.agg(F.sum("n").alias("chunks"), F.count(F.lit(1)).alias("to_embed"))
 
 
-@query("lexical_terms")
+_STOPS_SQL = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+@query("lexical_terms", rf"""SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(substr(regexp_replace(regexp_replace(trim(text), '[\s \x{{a0}}]+', ' ', 'g'), '[?!.]+$', ''), 1, 1000)), '[^\p{{L}}\p{{N}}_-]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOPS_SQL}))[1:24] AS terms FROM conversations WHERE role = 'user'""")
 def lexical_terms(spark, sf_dir):
     return _turns(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", text.lexical_terms(F.col("text")).alias("terms"))
 
 
-@query("is_complex")
+def _edged(pattern: str) -> str:
+    """The pattern as SQL has it, whose word edges are those of ASCII."""
+    return pattern.replace("(?<![A-Za-z0-9_])", "\\b").replace("(?![A-Za-z0-9_])", "\\b")
+
+
+@query("is_complex", f"SELECT conv_id, turn, regexp_matches(text, '{_edged(text.COMPLEX)}') OR regexp_matches(text, '{_edged(text.SEVERAL_FILES)}') AS is_complex FROM conversations WHERE role = 'user'")
 def is_complex(spark, sf_dir):
     return _turns(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", text.is_complex(F.col("text"), 2).alias("is_complex"))
 
@@ -71,6 +80,17 @@ def topic(spark, sf_dir):
     return _turns(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", classify.topic(F.col("text")).alias("t")).select("conv_id", "turn", "t.slug", "t.confidence")
 
 
+@query("topics_list", f"""WITH t AS ({_topic_oracle()}), answers AS (SELECT conv_id, turn, bool_and(regexp_matches(text, '(?i){"|".join(p.replace("'", "''") for p in classify.REFUSALS)}') OR length(text) < 120) AS refused FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY ALL),
+sums AS (SELECT slug AS topic, count(*) AS questions, count(*) FILTER (coalesce(refused, true)) AS unanswered FROM t LEFT JOIN answers a ON a.conv_id = t.conv_id AND a.turn = t.turn + 1 GROUP BY slug)
+SELECT topic, questions, unanswered, CASE WHEN unanswered < 2 OR unanswered / questions < 0.3 THEN NULL WHEN unanswered / questions >= 0.7 THEN 'not covered' ELSE 'not clear' END AS insight FROM sums ORDER BY questions DESC, topic LIMIT 8""")
+def topics_list(spark, sf_dir, top: int = 8):
+    """The themes asked about most, with what their unanswered share says: a question without a next turn that answers it is unanswered."""
+    asked = _turns(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", classify.topic(F.col("text"))["slug"].alias("topic"))
+    shown = _turns(spark, sf_dir).where("role = 'assistant' AND text IS NOT NULL").groupBy("conv_id", (F.col("turn") - 1).alias("turn")).agg(F.bool_and(classify.is_refusal(F.col("text")) | (F.length("text") < 120)).alias("refused"))
+    sums = asked.join(shown, ["conv_id", "turn"], "left").groupBy("topic").agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.coalesce("refused", F.lit(True))).alias("unanswered"))
+    return sums.withColumn("insight", insight(F.col("questions"), F.col("unanswered"))).orderBy(F.desc("questions"), "topic").limit(top)
+
+
 #: Parts in which the questions of a theme are ranked before their first ones meet.
 PARTS = 64
 
@@ -85,7 +105,17 @@ def topic_rollup(spark, sf_dir, examples: int = 5):
     return parts.groupBy("slug").agg(F.sum("n").alias("questions"), F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, examples).alias("examples"))
 
 
-@query("classify_request")
+def _request_oracle() -> str:
+    """The shapes of requests as SQL; the heaviest that fits names the intent, earlier ones first."""
+    quoted = lambda p: "'(?i)" + p.replace("'", "''") + "'"
+    shapes = ", ".join(f"CASE WHEN regexp_matches(q, {quoted(p)}) THEN {{'weight': {w}::DOUBLE, 'place': {-k}, 'intent': '{i}'}} END" for k, (i, w, p) in enumerate(classify.EXTRACTION_RULES))
+    return rf"""WITH asked AS (SELECT conv_id, turn, regexp_replace(trim(text), '\s+', ' ', 'g') AS q FROM conversations WHERE role = 'user'),
+best AS (SELECT conv_id, turn, q, list_max(list_filter([{shapes}], lambda x: x IS NOT NULL)) AS b FROM asked),
+scored AS (SELECT conv_id, turn, b, CASE WHEN b IS NULL THEN 0 ELSE greatest(0, least(1, b.weight - CASE WHEN regexp_matches(q, {quoted(classify.COMPREHENSION)}) AND b.intent <> 'bulk_reproduction' THEN 0.25 ELSE 0 END)) END AS score FROM best)
+SELECT conv_id, turn, coalesce(b.intent, 'none') AS intent, round(score, 3)::DOUBLE AS score, b IS NOT NULL AND score >= {classify.MODES["STANDARD"][0]} AS blocked FROM scored"""
+
+
+@query("classify_request", _request_oracle())
 def classify_request(spark, sf_dir):
     return _turns(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", classify.classify_request(F.col("text")).alias("c")).select("conv_id", "turn", "c.intent", "c.score", "c.blocked")
 
@@ -95,11 +125,17 @@ def is_refusal(spark, sf_dir):
     return _turns(spark, sf_dir).where("role = 'assistant'").select("conv_id", "turn", classify.is_refusal(F.col("text")).alias("refused"))
 
 
-@query("legibility")
+_LEGIBLE = rf"""flat AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), cut AS (SELECT doc_id, t, length(t) AS chars, list_filter(string_split(t, ' '), lambda w: length(w) > 0) AS w FROM flat),
+seen AS (SELECT doc_id, chars, len(w) AS words, CASE WHEN chars > 0 THEN length(regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g')) / chars ELSE 0 END AS alnum, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: regexp_matches(x, '{classify.WELL_FORMED.replace("'", "''")}'))) / len(w) ELSE 0 END AS formed,
+  CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x))) / len(w) ELSE 0 END AS mean FROM cut),
+scored AS (SELECT *, greatest(0, least(1, 0.5::DOUBLE * formed + 0.3::DOUBLE * alnum + 0.2::DOUBLE * greatest(0, least(1, (mean - 1.5::DOUBLE) / 3.5::DOUBLE)))) AS raw FROM seen)"""
+
+
+@query("legibility", f"WITH {_LEGIBLE} SELECT doc_id, CASE WHEN chars = 0 THEN 0.0::DOUBLE ELSE round(raw, 3) END AS score, CAST(chars AS INTEGER) AS chars, CAST(words AS INTEGER) AS words, round(alnum, 3) AS alnum, round(formed, 3) AS well_formed, round(mean, 2) AS mean_length, false AS empty_read FROM scored")
 def legibility(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", classify.legibility(F.col("text")).alias("l")).select("doc_id", "l.*")
 
 
-@query("needs_vision")
+@query("needs_vision", f"WITH {_LEGIBLE} SELECT doc_id, chars < 40 OR round(alnum, 3) < 0.45 OR round(formed, 3) < 0.55 AS needs_vision FROM scored")
 def needs_vision(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", classify.needs_vision(F.col("text")).alias("needs_vision"))
