@@ -104,14 +104,16 @@ def next_version(spark, sf_dir):
 
 
 @query("admin_search", r"""SELECT * FROM (SELECT 'customer' AS kind, CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer WHERE c_name ILIKE '%00001%' ORDER BY c_custkey LIMIT 8)
-UNION ALL SELECT * FROM (SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier WHERE s_name ILIKE '%00001%' ORDER BY s_suppkey LIMIT 8) UNION ALL SELECT * FROM (SELECT 'part', CAST(p_partkey AS VARCHAR), p_name FROM part WHERE p_name ILIKE '%00001%' ORDER BY p_partkey LIMIT 8)""")
+UNION ALL SELECT * FROM (SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier WHERE s_name ILIKE '%00001%' ORDER BY s_suppkey LIMIT 8) UNION ALL SELECT * FROM (SELECT 'part', CAST(p_partkey AS VARCHAR), p_name FROM part WHERE p_name ILIKE '%00001%' ORDER BY p_partkey LIMIT 8)
+UNION ALL SELECT * FROM (SELECT 'order', CAST(o_orderkey AS VARCHAR), o_orderpriority FROM orders WHERE o_orderkey = 1 LIMIT 8)""")
 def admin_search(spark, sf_dir, term: str = "00001"):
-    """Several tables searched by one term, with wild cards in it taken literally."""
+    """Three tables searched by a part of a name, wild cards taken literally, and one by its key."""
     escaped = "%" + term.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
-    out = None
-    for name, key, label in (("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name")):
-        found = table(spark, sf_dir, name).where(F.col(label).ilike(escaped)).orderBy(key).limit(8).select(F.lit(name).alias("kind"), F.col(key).cast("string").alias("id"), F.col(label).alias("name"))
-        out = found if out is None else out.unionByName(found)
+    key = int(term) if term.isascii() and term.isdigit() and len(term) < 19 else None
+    searches = [(name, key_col, label, F.col(label).ilike(escaped)) for name, key_col, label in (("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name"))]
+    out = table(spark, sf_dir, "orders").where(F.col("o_orderkey") == F.lit(key)).limit(8).select(F.lit("order").alias("kind"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("name"))
+    for name, key_col, label, fits in searches:
+        out = out.unionByName(table(spark, sf_dir, name).where(fits).orderBy(key_col).limit(8).select(F.lit(name).alias("kind"), F.col(key_col).cast("string").alias("id"), F.col(label).alias("name")))
     return out
 
 

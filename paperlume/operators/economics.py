@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import percentile
 from ..plans.registry import query
-from ..sources.tables import events, ledger, oracle, subscriptions
+from ..sources.tables import table, events, ledger, oracle, subscriptions
 from .engagement import ratio
 
 #: US dollars per unit of the billing currency. Fixed value.
@@ -86,14 +86,17 @@ def room_costs(spark, sf_dir):
     return sums.orderBy(F.desc("cost"), "room").limit(20)
 
 
-@query("usage_summary", oracle("""SELECT kind, count(*) AS requests, count(*) FILTER (WHERE NOT succeeded) AS errors, count(*) FILTER (WHERE billable) AS questions, round(avg(latency_ms) FILTER (WHERE succeeded), 6) AS avg_latency, round(sum(cost_usd), 4) AS cost,
-round(count(*) FILTER (WHERE NOT succeeded) / count(*), 6) AS error_rate FROM led GROUP BY kind"""))
+@query("usage_summary", oracle("""SELECT tenant, count(*) FILTER (billable) AS questions, count(*) FILTER (kind = 'answer' AND succeeded) AS answers, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(cached_tokens) AS BIGINT) AS cached_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+round(coalesce(sum(cost_usd) FILTER (kind = 'answer'), 0), 6) AS answer_cost, round(coalesce(sum(cost_usd) FILTER (kind = 'embedding'), 0), 6) AS embedding_cost, round(sum(cost_usd), 6) AS total_cost, coalesce(CAST(round(sum(cost_usd) * 1000000) AS BIGINT) // nullif(count(*) FILTER (billable), 0), 0) AS question_micros,
+round(coalesce(avg(latency_ms) FILTER (kind = 'answer'), 0), 6) AS avg_latency FROM led GROUP BY tenant"""))
 def usage_summary(spark, sf_dir):
-    """Requests, errors, latency and spend by kind of request."""
-    failed = F.count_if(~F.col("succeeded"))
-    return ledger(spark, sf_dir).groupBy("kind").agg(
-        F.count(F.lit(1)).alias("requests"), failed.alias("errors"), F.count_if("billable").alias("questions"), F.round(F.avg(F.when(F.col("succeeded"), F.col("latency_ms"))), 6).alias("avg_latency"),
-        money(F.sum("cost_usd")).alias("cost"), F.round(failed / F.count(F.lit(1)), 6).alias("error_rate"),
+    """Questions, answers, tokens and spend of each tenant; the cost of a question (in millionths, cut) is that of all its requests, the latency that of answers."""
+    total, asked = F.round(F.sum("cost_usd"), 6), F.count_if("billable")
+    of = lambda kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("cost_usd"))), F.lit(0.0)), 6)
+    return ledger(spark, sf_dir).groupBy("tenant").agg(
+        asked.alias("questions"), F.count_if((F.col("kind") == "answer") & F.col("succeeded")).alias("answers"), *(F.sum(c).alias(c) for c in ("input_tokens", "cached_tokens", "output_tokens")),
+        of("answer").alias("answer_cost"), of("embedding").alias("embedding_cost"), total.alias("total_cost"), F.coalesce(F.floor(F.try_divide(F.round(F.sum("cost_usd") * 1_000_000), asked)).cast("long"), F.lit(0)).alias("question_micros"),
+        F.round(F.coalesce(F.avg(F.when(F.col("kind") == "answer", F.col("latency_ms"))), F.lit(0.0)), 6).alias("avg_latency"),
     )
 
 
@@ -134,13 +137,16 @@ def quota_state(spark, sf_dir):
     return both.select("tenant", "allowance", "consumed", F.greatest(F.col("allowance") - F.col("consumed"), F.lit(0)).alias("remaining"), share.alias("utilisation"))
 
 
-@query("quota_recon", oracle("SELECT count(*) FILTER (WHERE o.o_orderkey IS NULL) AS orphaned, count(*) FILTER (WHERE l_returnflag = 'A') AS not_succeeded FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') o ON l_orderkey = o.o_orderkey WHERE l_linestatus = 'O'"))
+@query("quota_recon", oracle("""SELECT count(*) FILTER (WHERE o.o_orderkey IS NULL) AS orphaned, count(*) AS billable, count(*) FILTER (WHERE l_returnflag = 'A' OR l_linenumber > 6) AS mispriced
+FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') o ON l_orderkey = o.o_orderkey WHERE l_linestatus = 'O' AND l_shipdate >= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 35 DAY"""))
 def quota_recon(spark, sf_dir):
-    """Billable rows whose question is missing, or that did not succeed."""
-    known = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(True).alias("known"))
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linestatus = 'O'").select("l_orderkey", "l_returnflag")
-    found = rows.join(known, "l_orderkey", "left")
-    return found.agg(F.count_if(F.col("known").isNull()).alias("orphaned"), F.count_if(F.col("l_returnflag") == "A").alias("not_succeeded"))
+    """Billable rows of the last 35 days: whose question is missing, and that did not succeed or are no answers (line 7 is an embedding)."""
+    known = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(True).alias("known"))
+    lines = table(spark, sf_dir, "lineitem")
+    last = lines.agg(F.max("l_shipdate").alias("last"))
+    rows = lines.where("l_linestatus = 'O'").crossJoin(F.broadcast(last)).where(F.col("l_shipdate") >= F.col("last") - F.expr("INTERVAL 35 DAYS"))
+    found = rows.select("l_orderkey", "l_returnflag", "l_linenumber").join(known, "l_orderkey", "left")
+    return found.agg(F.count_if(F.col("known").isNull()).alias("orphaned"), F.count(F.lit(1)).alias("billable"), F.count_if((F.col("l_returnflag") == "A") | (F.col("l_linenumber") > 6)).alias("mispriced"))
 
 
 @query("orphan_rows", oracle("SELECT count(*) AS orphans FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"))

@@ -79,26 +79,32 @@ def _daily(spark, sf_dir):
     return daily_series(events(spark, sf_dir), AS_OF)
 
 
-@query("recent_activity", oracle(f"SELECT event_id, kind, file_id, occurred_at FROM ev WHERE tenant = {TENANT} ORDER BY occurred_at DESC, event_id DESC LIMIT 12"))
+@query("recent_activity", oracle(f"SELECT event_id, kind, file_id, source AS file_name, occurred_at FROM (SELECT * FROM ev WHERE tenant = {TENANT} ORDER BY occurred_at DESC, event_id DESC LIMIT 12) LEFT JOIN (SELECT doc_id, min(source) AS source FROM documents GROUP BY doc_id) ON doc_id = file_id"))
 def recent_activity(spark, sf_dir):
-    log = events(spark, sf_dir).where(F.col("tenant") == TENANT)
-    return log.select("event_id", "kind", "file_id", "occurred_at").orderBy(F.desc("occurred_at"), F.desc("event_id")).limit(12)
+    """The newest events with the names of their files; the names are joined to the twelve rows alone."""
+    newest = events(spark, sf_dir).where(F.col("tenant") == TENANT).select("event_id", "kind", "file_id", "occurred_at").orderBy(F.desc("occurred_at"), F.desc("event_id")).limit(12)
+    files = table(spark, sf_dir, "documents").join(F.broadcast(newest.select(F.col("file_id").alias("doc_id")).distinct()), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("file_id")).agg(F.min("source").alias("file_name"))
+    return newest.join(files, "file_id", "left")
 
 
-@query("identified_visitors", oracle("""SELECT session_id, count(*) FILTER (WHERE kind IN ('asked', 'unanswered')) AS question_count, count(DISTINCT CAST(occurred_at AS DATE)) AS session_count, max(occurred_at) AS last_seen
-FROM ev GROUP BY session_id ORDER BY last_seen DESC, session_id LIMIT 50"""))
+@query("identified_visitors", oracle("""SELECT c_custkey AS identity, c_name AS name, visits, last_seen, coalesce(n, 0) AS sessions FROM (SELECT user_id, count(*) AS visits, max(ts) AS last_seen FROM events WHERE event_type = 'view' GROUP BY user_id)
+JOIN customer ON c_custkey = user_id AND c_acctbal > 0 LEFT JOIN (SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS n FROM events GROUP BY user_id) s USING (user_id) ORDER BY last_seen DESC, identity LIMIT 50"""))
 def identified_visitors(spark, sf_dir):
-    """Newest visitors with their sessions (days seen) and questions, pre-aggregated rather than correlated."""
-    sums = events(spark, sf_dir).groupBy("session_id").agg(F.count_if(F.col("kind").isin("asked", "unanswered")).alias("question_count"), F.count_distinct(F.to_date("occurred_at")).alias("session_count"), F.max("occurred_at").alias("last_seen"))
-    return sums.orderBy(F.desc("last_seen"), "session_id").limit(50)
+    """The newest verified identities with their visits and sessions; a customer in credit is a verified identity, a day of its events a session."""
+    log = table(spark, sf_dir, "events")
+    seen = log.groupBy(F.col("user_id").alias("identity")).agg(F.count_if(F.col("event_type") == "view").alias("visits"), F.max(F.when(F.col("event_type") == "view", F.col("ts"))).alias("last_seen"), F.count_distinct(F.to_date("ts")).alias("sessions")).where("visits > 0")
+    known = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("identity"), F.col("c_name").alias("name"))
+    return seen.join(known, "identity").select("identity", "name", "visits", "last_seen", "sessions").orderBy(F.desc("last_seen"), "identity").limit(50)
 
 
-@query("workspace_summary", oracle("""SELECT tenant, count(*) FILTER (WHERE kind = 'opened') AS month_views, count(*) FILTER (WHERE kind = 'asked') AS month_questions, count(DISTINCT file_id) AS active_files
-FROM ev WHERE occurred_at >= TIMESTAMP '2024-01-01' AND occurred_at < TIMESTAMP '2024-02-01' GROUP BY tenant"""))
+@query("workspace_summary", oracle("""SELECT c.tenant, active, total, coalesce(month_views, 0) AS month_views, coalesce(month_questions, 0) AS month_questions FROM (SELECT o_custkey % 20 AS tenant, count(*) FILTER (o_orderstatus = 'O') AS active, count(*) AS total FROM orders WHERE o_orderpriority NOT LIKE '5%' GROUP BY 1) c
+LEFT JOIN (SELECT tenant, count(*) FILTER (WHERE kind = 'opened') AS month_views, count(*) FILTER (WHERE kind = 'asked') AS month_questions FROM ev WHERE occurred_at >= TIMESTAMP '2024-01-01' AND occurred_at < TIMESTAMP '2024-02-01' GROUP BY tenant) e USING (tenant)"""))
 def workspace_summary(spark, sf_dir):
-    """Per tenant this month: questions exclude unanswered ones."""
+    """Per tenant: bundles that are active and all that are not deleted, and the month's views and questions, unanswered ones left out. An order is a bundle."""
+    held = table(spark, sf_dir, "orders").where("o_orderpriority NOT LIKE '5%'").groupBy((F.col("o_custkey") % 20).alias("tenant")).agg(F.count_if(F.col("o_orderstatus") == "O").alias("active"), F.count(F.lit(1)).alias("total"))
     log = events(spark, sf_dir).where("occurred_at >= TIMESTAMP_NTZ '2024-01-01' AND occurred_at < TIMESTAMP_NTZ '2024-02-01'")
-    return log.groupBy("tenant").agg(F.count_if(F.col("kind") == "opened").alias("month_views"), F.count_if(F.col("kind") == "asked").alias("month_questions"), F.count_distinct("file_id").alias("active_files"))
+    month = log.groupBy("tenant").agg(F.count_if(F.col("kind") == "opened").alias("month_views"), F.count_if(F.col("kind") == "asked").alias("month_questions"))
+    return held.join(month, "tenant", "left").na.fill(0, ["month_views", "month_questions"])
 
 
 @query("counter_drift", oracle("""SELECT s.tenant, CAST(s.n AS BIGINT) AS stored, count(e.event_id) AS counted FROM (SELECT CAST(c_custkey AS BIGINT) % 20 AS tenant, count(*) AS n FROM customer GROUP BY 1) s

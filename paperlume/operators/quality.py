@@ -192,7 +192,12 @@ def chunk_stats(spark, sf_dir):
     return sums.crossJoin(F.broadcast(of(0.5, "median"))).crossJoin(F.broadcast(of(0.95, "p95"))).select("chunks", "total", "mean", "median", "p95", "least", "most")
 
 
-@query("release_summary", oracle("SELECT date_trunc('week', occurred_at) AS release, count(*) AS n, count(*) FILTER (WHERE duration_ms > 200000) AS failures, min(occurred_at) AS first_at, max(occurred_at) AS last_at FROM ev GROUP BY release ORDER BY release DESC LIMIT 8"))
+@query("release_summary", f"""WITH {DECLARED_SQL} SELECT release, count(*) AS measurements, count(*) FILTER (state = 'fail') AS failures, count(*) FILTER (state = 'fail' AND severity IN ('CRITICAL', 'HARD_FAIL')) AS blocking, min(measured_at) AS first_seen, max(measured_at) AS last_seen
+FROM (SELECT *, 'r' || day(measured_at) // 3 AS release FROM log) GROUP BY release ORDER BY last_seen DESC LIMIT 8""")
 def release_summary(spark, sf_dir):
-    log = events(spark, sf_dir).groupBy(F.date_trunc("week", "occurred_at").cast("timestamp_ntz").alias("release"))
-    return log.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("duration_ms") > 200000).alias("failures"), F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at")).orderBy(F.desc("release")).limit(8)
+    """Evaluations by release, newest first; every three days of a month are a release here."""
+    hard = (F.col("state") == "fail") & F.col("severity").isin("CRITICAL", "HARD_FAIL")
+    log = evaluations(table(spark, sf_dir, "events")).groupBy(F.concat(F.lit("r"), F.expr("day(measured_at) DIV 3")).alias("release"))
+    sums = log.agg(F.count(F.lit(1)).alias("measurements"), F.count_if(F.col("state") == "fail").alias("failures"), F.count_if(hard).alias("blocking"), F.min("measured_at").alias("first_seen"), F.max("measured_at").alias("last_seen"))
+    return sums.orderBy(F.desc("last_seen")).limit(8)
+
