@@ -65,17 +65,6 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, cutting its lineage.
-
-    Spark deletes the shuffle files of a cut lineage once the driver's collector has found it
-    unused, which a quiet driver may put off for half an hour. So the driver collects first, and
-    the files of earlier steps do not stay beside those that this step writes.
-    """
-    _collect_lineage(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: Paths of the tables written in each scope that is open, the innermost last.
 _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
@@ -94,10 +83,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def written(df: DataFrame, keep: bool = False) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: as ``checkpointed``, for columns of ids.
+    """Write ``df`` as a table in the shared folder and read it back, cutting its lineage.
 
-    The columns are compressed, and later steps read only those that they name. The table lasts as
-    long as the innermost ``scratch``, or the one around it where it is to be kept.
+    The columns are compressed, and later steps read only those that they name. Spark deletes the
+    shuffle files of a cut lineage once the driver's collector has found it unused, which a quiet
+    driver may put off for half an hour; so the driver collects first. The table lasts as long as the
+    innermost ``scratch``, or the one around it where it is to be kept.
     """
     _collect_lineage(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
@@ -120,7 +111,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 def join_ids(df: DataFrame, ids: DataFrame, key: str, how: str, weight: Column | None = None) -> DataFrame:
-    """Join wide rows with a narrow checkpointed table, without a shuffle of the wide rows where its size allows.
+    """Join wide rows with a narrow written table, without a shuffle of the wide rows where its size allows.
 
     ``ids`` is counted (or its ``weight`` summed); up to ``BROADCAST_ROWS`` it is broadcast, beyond
     that both sides are shuffled by key.

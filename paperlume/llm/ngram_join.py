@@ -192,3 +192,19 @@ def keep_one_per_group(docs: DataFrame, size: int = 5, percent: int = 80, id_col
         groups = join_groups(docs, size, percent, id_col, text_col)
         removed = written(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), keep=True)
     return join_ids(docs, removed, id_col, "left_anti").select(*columns_named(docs.columns))
+
+
+def oracle(size: int, percent: int, more: str = "") -> str:
+    """DuckDB SQL for the groups of ``documents``: all pairs that share a shingle, and what links reach, one set for each text of copies."""
+    return rf"""
+WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(w[i : i + {size - 1}], ' ')) END)) AS s FROM cut),
+classes AS (SELECT min(doc_id) AS class, s, len(s) AS n, count(*) AS copies FROM sets WHERE len(s) > 0 GROUP BY s),
+flat AS (SELECT class, unnest(s) AS x FROM classes),
+pairs AS (SELECT a.class AS a, b.class AS b, count(*) AS common FROM flat a JOIN flat b ON a.x = b.x AND a.class < b.class GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN classes p ON p.class = a JOIN classes q ON q.class = b WHERE 100 * common >= {percent} * (p.n + q.n - common)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(class, other) AS (SELECT class, class FROM classes UNION SELECT class, b FROM reach JOIN ways ON other = a),
+tops AS (SELECT class, min(other) AS top FROM reach GROUP BY class)
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(top, doc_id) AS component_id, {more}coalesce(copies, 1) AS n_copies FROM sets s LEFT JOIN classes USING (s) LEFT JOIN tops USING (class)
+"""

@@ -83,6 +83,8 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE,
+    "op3_ngram_join": ngram_join.oracle(ngram_join.SIZE, ngram_join.PERCENT),
     "op11_filter_audit": filter_audit.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
+    "op13_minhash_dedup": ngram_join.oracle(minhash_dedup.SIZE, minhash_dedup.PERCENT, "coalesce(top, doc_id) = doc_id AS kept, "),
 }
