@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import estimate_tokens, is_complex
 from ..plans.registry import query
 from ..sources.tables import table
-from .search import lexical_search, semantic_search, top_per_question
+from .search import POOL, lexical_search, semantic_search, top_per_question
 
 #: Fusion constants and boosts, (chunks, tokens) of plain and complex questions, and the most chunks of any. Fixed values.
 RANK_OFFSET, LEXICAL_WEIGHT, SEMANTIC_WEIGHT = 60, 1.0, 1.15
@@ -106,7 +106,9 @@ SELECT CAST(0 AS BIGINT) AS question_id, chunk_id, CAST(l.r AS INTEGER) AS lexic
 FROM (SELECT * FROM l WHERE r <= 40) l FULL JOIN (SELECT * FROM s WHERE r <= 40) s USING (chunk_id)""")
 def _rrf(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    ranked = lambda k: top_per_question(rows.select(F.lit(0).cast("long").alias("question_id"), F.col("vec_id").alias("chunk_id"), F.col("embedding")[k].alias("score")))
+    # The best rows come from each task's best; only these are ranked.
+    best = lambda k: rows.select(F.lit(0).cast("long").alias("question_id"), F.col("vec_id").alias("chunk_id"), F.col("embedding")[k].alias("score")).orderBy(F.desc("score"), "chunk_id").limit(POOL)
+    ranked = lambda k: top_per_question(best(k))
     return fuse(ranked(0), ranked(1))
 
 

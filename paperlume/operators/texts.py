@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, html, text
@@ -40,11 +40,22 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("digest"))
 
 
-@query("embed_reuse", "SELECT count(*) AS chunks, count(DISTINCT sha256(text)) AS to_embed FROM documents")
+def reuse_vectors(chunks: DataFrame, held: DataFrame) -> DataFrame:
+    """``chunks`` (chunk_id, digest) with the vector of a held chunk (chunk_id, digest, embedding) of the same content, and which; null where it has to be made.
+
+    Of several the least id serves. What is held is reduced to one row a digest before it meets the chunks.
+    """
+    known = held.where("embedding IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("chunk_id", "embedding")).alias("kept"))
+    return chunks.join(known, "digest", "left").select("chunk_id", "digest", F.col("kept.chunk_id").alias("reused_from"), F.col("kept.embedding").alias("embedding"))
+
+
+@query("embed_reuse", """WITH held AS (SELECT sha256(text) AS digest, min(doc_id) AS reused_from FROM documents JOIN embeddings ON vec_id = doc_id WHERE embedding IS NOT NULL AND text IS NOT NULL GROUP BY 1)
+SELECT doc_id AS chunk_id, reused_from, reused_from IS NULL AS to_embed FROM documents LEFT JOIN held ON digest = sha256(text)""")
 def embed_reuse(spark, sf_dir):
-    """Chunks whose embedding is carried over by content hash, so that each text is embedded once."""
-    hashed = table(spark, sf_dir, "documents").groupBy(text.content_hash(F.col("text")).alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    return hashed.agg(F.sum("n").alias("chunks"), F.count(F.lit(1)).alias("to_embed"))
+    """Every chunk with the held chunk whose vector it takes over, so that a text is embedded once."""
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), text.content_hash(F.col("text")).alias("digest"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return reuse_vectors(chunks, chunks.join(vectors, "chunk_id")).select("chunk_id", "reused_from", F.col("reused_from").isNull().alias("to_embed"))
 
 
 _STOPS_SQL = ", ".join(f"'{w}'" for w in text.STOP_WORDS)

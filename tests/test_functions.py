@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from paperlume.functions import classify, html, text
-from paperlume.operators import access, documents, retrieval
+from paperlume.operators import access, documents, retrieval, texts
 from paperlume.plans import registry
 from paperlume.sources.tables import cost_usd
 from paperlume.streaming import events as streams
@@ -130,3 +130,9 @@ def test_themes_and_their_first_questions(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     found = {r["slug"]: (r["questions"], [(e["conv_id"], e["turn"]) for e in r["examples"]]) for r in registry.QUERIES["topic_rollup"](spark, str(tmp_path)).collect()}
     assert found == {"pricing": (30, [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]), "support": (1, [(9, 9)])}
+
+
+def test_vectors_are_carried_by_content(spark):
+    chunks = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "chunk_id long, digest string")
+    held = spark.createDataFrame([(9, "a", [9.0]), (5, "a", [5.0]), (6, "b", None), (7, None, [7.0])], "chunk_id long, digest string, embedding array<double>")
+    assert {r["chunk_id"]: (r["reused_from"], r["embedding"]) for r in texts.reuse_vectors(chunks, held).collect()} == {1: (5, [5.0]), 3: (5, [5.0]), 2: (None, None), 4: (None, None)}
