@@ -54,7 +54,11 @@ _COUNT_LIMIT = 4_000_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """The logistic function, in the place of ``x``."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class GatedUnit:
@@ -76,12 +80,18 @@ class GatedUnit:
         """States after each of the inputs x (steps, lanes), from h; an end symbol starts anew."""
         out = np.empty((*x.shape, HIDDEN), np.float32)
         into, u = self.p["G"], self.p["U"]
+        ends = x == END
+        some = ends.any(1)
         for t in range(len(x)):
-            h = h * (x[t] != END)[:, None]
+            if some[t]:
+                h = h * ~ends[t][:, None]
             g, a = into[x[t]], h @ u
-            zr = _sigmoid(g[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
+            zr = g[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
+            _sigmoid(zr)
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = np.tanh(g[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
+            n = r * a[:, 2 * HIDDEN :]
+            n += g[:, 2 * HIDDEN :]
+            np.tanh(n, out=n)
             if keep is not None:
                 keep.append((h, z, r, n, a[:, 2 * HIDDEN :]))
             h = n + z * (h - n)
@@ -104,23 +114,31 @@ class GatedUnit:
             grads["Wc"] += h.T @ d
             grads["bc"] += d.sum(0)
             dh = d @ self.p["Wc"].T
+        # Rows of one class lie side by side, so its part of every array is a slice.
         order = np.argsort(cls, kind="stable")
+        sorted_h, sorted_member = h[order], member[order]
         ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            rows = order[ends[c] : ends[c + 1]]
-            own = h[rows]
-            logits = own @ self.p["Ww"][c] + self.p["bw"][c]
+        gained = np.empty(len(y), out.dtype)
+        later = np.empty_like(h) if grads is not None else None
+        for c in np.flatnonzero(np.diff(ends)).tolist():
+            part = slice(ends[c], ends[c + 1])
+            own, at, mine = sorted_h[part], every[: ends[c + 1] - ends[c]], sorted_member[part]
+            logits = own @ self.p["Ww"][c]
+            logits += self.p["bw"][c]
             logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1)
-            at = np.arange(len(rows))
-            out[rows] += logits[at, member[rows]] - np.log(total)
+            known = logits[at, mine]
+            np.exp(logits, out=logits)
+            total = logits.sum(1)
+            gained[part] = known - np.log(total)
             if grads is not None:
-                d = -e / total[:, None]
-                d[at, member[rows]] += 1
-                grads["Ww"][c] += own.T @ d
-                grads["bw"][c] += d.sum(0)
-                dh[rows] += d @ self.p["Ww"][c].T
+                logits /= -total[:, None]
+                logits[at, mine] += 1
+                grads["Ww"][c] += own.T @ logits
+                grads["bw"][c] += logits.sum(0)
+                later[part] = logits @ self.p["Ww"][c].T
+        out[order] += gained
+        if grads is not None:
+            dh[order] += later
         return out, dh
 
     def backward(self, x: np.ndarray, kept: list, dh: np.ndarray, grads: dict[str, np.ndarray]) -> None:
