@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import percentile
 from ..plans.registry import query
-from ..sources.tables import table, events, ledger, oracle, subscriptions
+from ..sources.tables import ledger, oracle, subscriptions, table
 from .engagement import ratio
 
 #: US dollars per unit of the billing currency. Fixed value.
