@@ -7,12 +7,14 @@ by what is compared, so an answer with much evidence never meets it all in one r
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ from ..sources.tables import table
 
 #: Relative difference up to which figures are equal, and how near to a power of ten a ratio is a slip of the scale. Fixed values.
 TOLERANCE, SCALE_SLIP = 0.005, 0.02
-#: Buckets of the logarithm of a value: wider than the tolerance, so equal figures lie in one or in neighbours.
-BUCKET = math.log(1.006)
+#: How much wider a range of values is looked up than the tolerance, before each end is compared.
+SLACK = 1e-9
 #: Shares of a sentence's words that evidence must hold; shorter sentences claim nothing. Fixed values.
 SUPPORTED, INFERRED, LEAST_CHARS = 0.6, 0.3, 15
 #: Openings of sentences that claim nothing. Fixed value.
@@ -40,11 +42,6 @@ _WORD_END = re.compile(r"[^\w%€$£]+|_")
 _MARKS = re.compile(r"[\u0300-\u036f]")
 
 
-def _bucket(value: Column) -> Column:
-    """A bucket of the logarithm of a value that is not negative; zero has one of its own."""
-    return F.when(value > 0, F.floor(F.ln(value) / BUCKET)).otherwise(F.lit(-(10**9))).cast("long")
-
-
 def _material(n: DataFrame) -> DataFrame:
     """Numbers that are claims: not the small plain ones of pages, clauses and lists."""
     return n.where(F.col("currency").isNotNull() | F.col("percentage") | (F.col("factor") > 1) | (F.abs("value") >= 10))
@@ -59,38 +56,120 @@ def numeric_check(stated: DataFrame, evidence: DataFrame) -> DataFrame:
     mismatch of currency; else the nearest is shown, with reason magnitude where the ratio is a power
     of ten, and absent otherwise. Agreeing numbers have no reason.
 
-    Equal figures are found by a join on the bucket of their logarithm, so a number meets only those
-    near to it. The nearest of the others comes from two running windows over sorted values,
-    not from pairs. Equal evidence figures of an answer count once, by their first place.
+    Figures of both are shuffled once by (answer, percentage) and sorted by value; a task streams
+    them and finds what lies within the tolerance and the nearest on each side as ranges of sorted
+    arrays. No figure meets another one as a row, and nothing is broadcast.
     """
-    keys = ["answer", "percentage"]
-    own = _material(stated).select("answer", "claim", "place", "raw", "value", "currency", "percentage")
-    held = evidence.groupBy(*keys, "value").agg(F.min("place").alias("at"), F.min_by("currency", "place").alias("held_currency"))
-    near = own.withColumn("bucket", F.explode(F.sequence(_bucket(F.col("value")) - 1, _bucket(F.col("value")) + 1)))
-    other = held.withColumnRenamed("value", "held").withColumn("bucket", _bucket(F.col("held")))
-    larger = F.greatest("value", "held")
-    equal = (F.col("value") == F.col("held")) | ((larger - F.least("value", "held")) / larger <= TOLERANCE)
-    found = near.join(other, [*keys, "bucket"]).where(equal).groupBy("answer", "claim", "place").agg(F.min_by(F.struct("held", "held_currency"), F.struct("at", "held")).alias("exact"))
-    marked = own.join(found, ["answer", "claim", "place"], "left")
-    agreeing = marked.where("exact IS NOT NULL").select(
-        "answer", "claim", "place", "raw", "value", F.col("exact.held").alias("nearest"),
-        F.when(F.col("currency") != F.col("exact.held_currency"), "currency").alias("reason"), F.lit(1.0).alias("ratio"),
-    )
-    # The nearest below and above, by two passes over the sorted figures of an answer.
-    side = F.struct("value", "at")
-    line = marked.where("exact IS NULL").select(*keys, "value", "claim", "place", "raw", F.lit(None).cast("long").alias("at")).unionByName(held.select(*keys, "value", "at"), allowMissingColumns=True)
-    upward = Window.partitionBy(*keys).orderBy("value", F.col("at").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    downward = Window.partitionBy(*keys).orderBy(F.desc("value"), F.col("at").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.when(F.col("at").isNotNull(), side)
-    line = line.withColumn("below", F.last(seen, ignorenulls=True).over(upward)).withColumn("above", F.last(seen, ignorenulls=True).over(downward)).where("place IS NOT NULL")
-    gap = lambda c: F.abs(F.col(f"{c}.value") - F.col("value"))
-    upper = F.col("below").isNull() | (gap("above") < gap("below")) | ((gap("above") == gap("below")) & (F.col("above.at") < F.col("below.at")))
-    line = line.withColumn("nearest", F.when(F.col("above").isNotNull() & upper, F.col("above.value")).otherwise(F.col("below.value")))
-    ratio = F.when(F.col("nearest") != 0, F.col("value") / F.col("nearest"))
+    own = _material(stated).select("answer", "percentage", "value", F.lit(None).cast("long").alias("at"), "claim", "place", "raw", "currency")
+    held = evidence.select("answer", "percentage", "value", F.col("place").cast("long").alias("at"), "currency")
+    line = own.unionByName(held, allowMissingColumns=True).repartition("answer", "percentage").sortWithinPartitions("answer", "percentage", "value", "at")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name not in ("percentage", "at"))
+    line = line.mapInArrow(_compared, f"{schema}, nearest double, agreed boolean, held_currency string")
+    ratio = F.when(F.col("agreed"), F.lit(1.0)).when(F.col("nearest") != 0, F.col("value") / F.col("nearest"))
     power = F.log10(ratio)
     slip = (F.abs(power - F.round(power)) < SCALE_SLIP) & (F.round(power) != 0)
-    missed = line.select("answer", "claim", "place", "raw", "value", "nearest", F.when(slip, "magnitude").otherwise("absent").alias("reason"), ratio.alias("ratio"))
-    return agreeing.unionByName(missed)
+    reason = F.when(F.col("agreed"), F.when(F.col("currency") != F.col("held_currency"), "currency")).when(slip, "magnitude").otherwise("absent")
+    return line.select("answer", "claim", "place", "raw", "value", "nearest", reason.alias("reason"), ratio.alias("ratio"))
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every stated figure of sorted rows (answer, percentage, value, at, ...) with the evidence figure that it agrees with or is nearest to.
+
+    ``at`` is null for stated figures. What a later row may still decide is kept for the next batch: of the
+    last answer, the figures that wait, and the evidence within the tolerance of the least of them.
+    """
+    kept: pa.RecordBatch | None = None
+    waiting: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        waiting += [batch] if batch is not None and len(batch) else []
+        # What is kept is gone through again only when as many rows have come.
+        if batch is not None and sum(map(len, waiting)) < (len(kept) if kept is not None else 1):
+            continue
+        rows = [*([kept] if kept is not None else []), *waiting]
+        if rows:
+            found, kept = _settled(pa.concat_batches(rows), batch is None)
+            waiting = []
+            yield found
+
+
+def _settled(rows: pa.RecordBatch, last: bool) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """The stated figures that these rows decide, and the rows that are still needed."""
+    column = {name: rows.column(k) for k, name in enumerate(rows.schema.names)}
+    answer = pc.fill_null(column["answer"].dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    percentage = column["percentage"].to_numpy(zero_copy_only=False).astype(bool)
+    value, is_held = column["value"].to_numpy(zero_copy_only=False), column["at"].is_valid().to_numpy(zero_copy_only=False)
+    group = np.cumsum(np.r_[False, (answer[1:] != answer[:-1]) | (percentage[1:] != percentage[:-1])])
+    evidence, own = np.flatnonzero(is_held), np.flatnonzero(~is_held)
+    # Complex numbers are in order of their real parts, then of the others.
+    key = lambda g, v: g + 1j * v
+    held, at, of = value[evidence], pc.fill_null(column["at"], 0).to_numpy(zero_copy_only=False)[evidence], group[evidence]
+    keys, v, g = key(of, held), value[own], group[own]
+    # The first evidence row of each value of a group, which is the earliest in place.
+    fresh = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+    run = np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))
+
+    def same(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+        larger = np.maximum(h, x)
+        return (h == x) | (np.abs(h - x) / np.where(larger == 0, 1, larger) <= TOLERANCE)
+
+    def within(g: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and past the last evidence row that equals each figure."""
+        a, b = np.searchsorted(keys, key(g, v * (1 - TOLERANCE) * (1 - SLACK))), np.searchsorted(keys, key(g, v / (1 - TOLERANCE) * (1 + SLACK)), "right")
+        for edge, step in ((a, 1), (b, -1)):
+            while len(wrong := np.flatnonzero(a < b)) and len(wrong := wrong[~same(held[(edge if step > 0 else edge - 1)[wrong]], v[wrong])]):
+                edge[wrong] += step
+        return a, b
+
+    a, b = within(g, v)
+    place = np.searchsorted(keys, key(g, v))
+    has_below, has_above = ((place + d >= 0) & (place + d < len(keys)) for d in (-1, 0))
+    below, above = np.maximum(place - 1, 0), np.minimum(place, len(keys) - 1)
+    if len(keys):
+        has_below, has_above = has_below & (of[below] == g), has_above & (of[above] == g)
+    agreed = a < b
+    nearest, source = np.full(len(own), np.nan), _earliest(at, a, b)
+    one = np.flatnonzero(agreed)
+    nearest[one] = held[source[one]]
+    one = np.flatnonzero(~agreed & (has_below | has_above))
+    if len(one):
+        down, up = np.abs(held[below[one]] - v[one]), np.abs(held[above[one]] - v[one])
+        upper = has_above[one] & (~has_below[one] | (up < down) | ((up == down) & (at[above[one]] < at[run[below[one]]])))
+        nearest[one] = held[np.where(upper, above[one], below[one])]
+    done, needed = np.ones(len(own), bool), np.zeros(len(rows), bool)
+    if not last:
+        end, most = group[-1], value[-1]
+        done = (g < end) | (has_above & (v / (1 - TOLERANCE) * (1 + SLACK) < most))
+        needed[own[~done]] = True
+        # Later figures are not below the last one.
+        least = np.array([min([most, *v[~done][:1]])])
+        first = int(np.searchsorted(keys, key(np.array([end]), least * (1 - TOLERANCE) * (1 - SLACK)))[0])
+        before = int(np.searchsorted(keys, key(np.array([end]), least))[0]) - 1
+        if before >= 0 and of[before] == end:
+            first = min(first, int(run[before]))
+        needed[evidence[first:]] = True
+    out = np.flatnonzero(done)
+    taken = pa.array(own[out], pa.int64())
+    currency = pc.take(column["currency"], pa.array(evidence[source[out]] if len(evidence) else np.zeros(len(out), np.int64), pa.int64(), mask=~agreed[out]))
+    names = ["answer", "value", "claim", "place", "raw", "currency"]
+    columns = [pc.take(column[name], taken) for name in names] + [pa.array(nearest[out], mask=np.isnan(nearest[out])), pa.array(agreed[out]), currency]
+    return pa.RecordBatch.from_arrays(columns, names=[*names, "nearest", "agreed", "held_currency"]), rows.take(pa.array(np.flatnonzero(needed), pa.int64()))
+
+
+def _earliest(at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each range of rows from ``a`` up to ``b``, the row with the least ``at``; 0 for empty ranges."""
+    out, width, table = np.zeros(len(a), np.int64), 1, np.arange(len(at))
+    left = np.flatnonzero(a < b)
+    while len(left):
+        # ``table`` has the best row of every range of ``width``; ranges of less than twice that are two of these.
+        size = b[left] - a[left]
+        now = left[size < 2 * width]
+        x, y = table[a[now]], table[b[now] - width]
+        out[now] = np.where(at[y] < at[x], y, x)
+        left = left[size >= 2 * width]
+        if len(left):
+            x, y = table[:-width], table[width:]
+            table, width = np.where(at[y] < at[x], y, x), 2 * width
+    return out
 
 
 def consistency(checked: DataFrame, keys: list[str]) -> DataFrame:
@@ -230,7 +309,7 @@ def order_statements(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     evidence = lines.select(F.col("l_orderkey").alias("answer"), place.alias("passage"), F.concat(F.col("units"), F.lit(" units for "), money("cents"), F.lit(" USD, less "), F.col("off"), F.lit("%.")).alias("text"))
     tops = lines.groupBy("l_orderkey").agg(F.max("cents").alias("top"), F.sum("units").alias("units"), F.max("off").alias("off"), F.count(F.lit(1)).alias("n"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.substring("o_orderpriority", 1, 1).alias("style"), F.round(F.col("o_totalprice") * 100).cast("long").alias("total"))
-    told = tops.join(orders, "l_orderkey")
+    told = tops.join(orders.hint("merge"), "l_orderkey")
     amount = (
         F.when(F.col("style") == "1", F.concat(F.lit("USD "), F.expr("top DIV 100000"), F.lit("."), F.expr("top DIV 10000 % 10"), F.lit("k")))
         .when(F.col("style") == "2", money("top"))

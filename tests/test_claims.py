@@ -1,14 +1,17 @@
 """Figures, sentences, quotes and rates of answers on hand-made cases and against plain loops over all conversations."""
 
 import math
+import random
 import re
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from paperlume.functions.numbers import number_rows, numbers_in
 from paperlume.operators import claims
+from paperlume.plans import registry
 
 SF = "/root/testdata/sf0.001"
 CHECKS = [
@@ -178,3 +181,34 @@ def test_rates_of_refusals_and_bare_answers(spark):
 def test_quotes(spark, quote, source, verdict):
     row = spark.createDataFrame([(quote, source)], "q string, s string").select(claims.verify_quote(F.col("q"), F.col("s")).alias("v")).first()
     assert row["v"] == verdict
+
+
+def test_figures_are_not_broadcast_and_read_once(spark):
+    plan = registry.QUERIES["numeric_consistency"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("MapInArrow") == 3
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_figures_across_batches_equal_all_pairs(size):
+    r = random.Random(size)
+    tested = 0
+    for _ in range(60):
+        rows = []
+        for k in range(r.choice([1, 20, 200])):
+            value = r.choice([0.0, 100.0, round(100 * 1.002 ** r.randrange(-9, 9), 4), float(r.randrange(40)), 100.5, 99.5, 100.50251256281407])
+            rows.append((r.choice("ab"), r.random() < 0.3, value, k if r.random() < 0.6 else None, r.choice([None, "EUR", "USD"]), k))
+        rows.sort(key=lambda x: (x[0], x[1], x[2], x[3] is not None, x[3] or 0))
+        names = ["answer", "percentage", "value", "at", "currency", "place"]
+        table = pa.table([pa.array([x[k] for x in rows], t) for k, t in enumerate([pa.string(), pa.bool_(), pa.float64(), pa.int64(), pa.string(), pa.int64()])], names=names)
+        table = table.append_column("claim", pa.array([0] * len(rows), pa.int32())).append_column("raw", table["answer"])
+        found = {x["place"]: (x["nearest"], x["agreed"], x["held_currency"]) for b in claims._compared(iter(table.to_batches(max_chunksize=size))) for x in b.to_pylist()}
+        expected = {}
+        for answer, percentage, v, at, _, place in rows:
+            if at is None:
+                held = [(x[3], x[2], x[4]) for x in rows if x[3] is not None and x[:2] == (answer, percentage)]
+                exact = min((x for x in held if x[1] == v or abs(v - x[1]) / max(v, x[1]) <= 0.005), default=None, key=lambda x: x[0])
+                near = exact or min(held, default=(None, None, None), key=lambda x: (abs(x[1] - v), x[0]))
+                expected[place] = (near[1], exact is not None, exact[2] if exact else None)
+        assert found == expected
+        tested += len(found)
+    assert tested > 500
