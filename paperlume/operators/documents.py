@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import BLANK
 from ..functions.text import normalise_whitespace
 from ..plans.registry import query
+from ..session import small_batches
 from ..sources.tables import table
 
 CHARS_PER_TOKEN = 3.6
@@ -138,6 +139,7 @@ def split_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             yield _arrow([(i, k, title, body) for i, text in rows if text for k, (title, body) in enumerate(s for s in sections_of(text) if s[1])], _SECTION)
 
+    small_batches(docs.sparkSession)
     clean = docs.select(F.col(id_col).cast("long").alias("id"), normalise_whitespace(F.col(text_col)).alias("text"))
     return clean.mapInArrow(run, "id long, section int, title string, text string").withColumnRenamed("id", id_col)
 
@@ -184,6 +186,7 @@ def chunk_units(units: DataFrame, in_order: bool = False) -> DataFrame:
     sorted. A task streams them and holds a unit and a carried tail, so a document of very
     many units costs time and no memory. The digest is what vectors are kept by.
     """
+    small_batches(units.sparkSession)
     rows = units.select(F.col("id").cast("long").alias("id"), F.col("unit").cast("int").alias("unit"), "kind", "title", normalise_whitespace(F.coalesce("text", F.lit(""))).alias("text"))
     if not in_order:
         rows = rows.repartition("id").sortWithinPartitions("id", "unit")
@@ -283,6 +286,7 @@ def coverage(units: DataFrame, chunks: DataFrame) -> DataFrame:
     chunks first; a task streams them and holds one document with the index of its chunks. Probes are found by hash,
     so a long document is not scanned once for each of its sentences.
     """
+    small_batches(units.sparkSession)
     flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"{BLANK}+", " "))
     rows = chunks.select(F.col("id").cast("long").alias("id"), F.lit(0).alias("kind"), F.col("chunk").cast("int").alias("place"), flat(F.col("text")).alias("text"))
     rows = rows.unionByName(units.select(F.col("id").cast("long").alias("id"), F.lit(1).alias("kind"), F.col("unit").cast("int").alias("place"), flat(F.col("text")).alias("text")))

@@ -154,3 +154,10 @@ def test_index_of_windows():
     for probe in ("t", "the cat", "cat" + chr(0x1F600), "the cat sat on the mat by the cat", "x", "the dog", "by the catt", "a" * 60):
         assert index.has(probe) == (probe in index.text)
     assert not documents.TextIndex("").has("a")
+
+
+def test_arrow_batches_of_documents_are_bounded(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(1, "One text.")], "doc_id long, text string")
+    documents.coverage(docs.selectExpr("doc_id AS id", "0 AS unit", "text"), docs.selectExpr("doc_id AS id", "0 AS chunk", "text"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
