@@ -216,16 +216,18 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 LEAST_GAP, MOST_GAPS, SHOWN = 120, 20, 160
 #: Characters of a probe that are looked up by hash; of shorter probes, all.
 WINDOW = 24
+#: Characters behind the last probe found in which the next is looked for, and of texts that are scanned whole.
+NEAR, SCANNED = 400, 20_000
 _PROBE = re.compile(r"[^.!?\n]+[.!?\n]*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class TextIndex:
-    """Rolling hashes of all windows of a text, made for each window length when it is first asked for."""
+    """Where probes stand in a text: behind the one before, or by rolling hashes of all windows of a length, made when first asked for."""
 
     def __init__(self, text: str):
-        self.text = text
-        self.chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+        self.text, self.at = text, 0
+        self.chars: np.ndarray | None = None
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @staticmethod
@@ -239,7 +241,22 @@ class TextIndex:
         return hashes
 
     def has(self, probe: str) -> bool:
-        """Whether the probe stands in the text; every window of an equal hash is compared in full."""
+        """Whether the probe stands in the text; every window of an equal hash is compared in full.
+
+        Probes mostly follow each other as they do in the text, so it is looked for behind the last one first;
+        a short text is scanned. Hashes are made when neither tells.
+        """
+        found = self.text.find(probe, self.at, self.at + len(probe) + NEAR)
+        if found < 0 and len(self.text) <= SCANNED:
+            found = self.text.find(probe)
+        if found >= 0:
+            self.at = found + len(probe)
+            return True
+        return len(self.text) > SCANNED and self._hashed(probe)
+
+    def _hashed(self, probe: str) -> bool:
+        if self.chars is None:
+            self.chars = np.frombuffer(self.text.encode("utf-32-le"), "<u4").astype(np.uint64)
         width = min(len(probe), WINDOW)
         if width not in self.tables:
             hashes = self._rolled(self.chars, width)

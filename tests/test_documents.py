@@ -156,6 +156,15 @@ def test_index_of_windows():
     assert not documents.TextIndex("").has("a")
 
 
+def test_probes_in_order_of_a_long_text_need_no_hashes(spark):
+    sentences = [f"Sentence {k} of the long text says {k * k}." for k in range(2000)]
+    held = documents.TextIndex(" ".join(sentences))
+    assert all(held.has(s) for s in sentences) and not held.tables
+    assert held.has(sentences[7]) and not held.has("Sentence 7 is not of this text.") and held.tables
+    short = documents.TextIndex("b a")
+    assert short.has("a") and short.has("b") and not short.has("c") and not short.tables
+
+
 def test_arrow_batches_of_documents_are_bounded(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     docs = spark.createDataFrame([(1, "One text.")], "doc_id long, text string")
