@@ -15,24 +15,28 @@ SIGNS = {"€": "EUR", "$": "USD", "£": "GBP", "¥": "JPY"}
 CODES = "EUR|USD|GBP|CHF|JPY|CAD|AUD|SEK|NOK|DKK"
 #: White space as the texts' origin counts it: the no-break space and other Unicode blanks are of it.
 BLANK = r"[\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-#: A number with its currency, grouping, decimals and magnitude. Fixed value.
+#: A number with its currency, grouping, decimals and magnitude; what it may begin with is looked at first. Fixed value.
 NUMBER = re.compile(
-    rf"(?:(€|\$|£|¥){BLANK}?)?(?:\b({CODES}){BLANK}?)?(\d{{1,3}}(?:[ ,.]\d{{3}})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?){BLANK}*(%|k\b|thousand\b|mn\b|m\b|million[s]?\b|bn\b|billion[s]?\b)?(?:{BLANK}?({CODES})\b)?",
+    rf"(?=[€$£¥0-9{''.join(sorted({c[0] for c in CODES.split('|')}))}])(?:(€|\$|£|¥){BLANK}?)?(?:\b({CODES}){BLANK}?)?(\d{{1,3}}(?:[ ,.]\d{{3}})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?){BLANK}*(%|k\b|thousand\b|mn\b|m\b|million[s]?\b|bn\b|billion[s]?\b)?(?:{BLANK}?({CODES})\b)?",
     re.I | re.A,
 )
 _DIGIT = re.compile("[0-9]")
+_ALONE, _LEAD = re.compile("([0-9]{1,3})[.,]([0-9]{3})"), re.compile("[0-9]*")
 
 
 def plain_digits(shown: str) -> float:
     """The value of digits with separators: the last kind of separator is the decimal one, but one group of three is thousands."""
     digits = "".join(shown.split())
-    alone = re.fullmatch(r"([0-9]{1,3})[.,]([0-9]{3})", digits)
+    if digits.isdecimal():
+        return float(digits)
+    alone = _ALONE.fullmatch(digits)
     if alone:
         return float(alone[1] + alone[2])
-    decimal = max(",.", key=digits.rfind) if re.search("[,.]", digits) else "."
+    decimal = "," if digits.rfind(",") > digits.rfind(".") else "."
     whole, _, rest = digits.replace(",." [decimal == ","], "").partition(decimal)
-    lead = re.match(r"[0-9]*", rest if decimal == "," else rest.split(".")[0])
-    return float(f"{whole}.{lead[0] or '0'}")
+    if not rest.isdecimal():
+        rest = _LEAD.match(rest if decimal == "," else rest.split(".")[0])[0] or "0"
+    return float(f"{whole}.{rest}")
 
 
 def numbers_in(text: str) -> list[tuple[str, float, str | None, bool, float]]:
