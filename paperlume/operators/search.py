@@ -50,13 +50,18 @@ class Best:
 
     def __init__(self, questions: int, k: int):
         self.k = k
-        self.ids = np.zeros((0, questions), np.int64)
-        self.scores = np.zeros((0, questions))
-
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """``scores`` (chunks, questions); what is -inf is no candidate."""
-        ids = np.vstack([self.ids, np.repeat(ids[:, None], scores.shape[1], 1)])
-        scores = np.vstack([self.scores, scores])
+        self.ids = np.zeros((k, questions), np.int64)
+        self.scores = np.full((k, questions), -np.inf)
+
+    def reached(self, ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Which of ``scores`` (chunks, questions) would be among the best."""
+        least, last = self.scores[-1], self.ids[-1]
+        return (scores > least) | ((scores == least) & (ids[:, None] < last))
+
+    def add(self, ids: np.ndarray, scores: np.ndarray, some: np.ndarray | slice = slice(None)) -> None:
+        """``scores`` (chunks, questions), or of ``some`` questions; what is -inf is no candidate."""
+        ids = np.vstack([self.ids[:, some], np.repeat(ids[:, None], scores.shape[1], 1)])
+        scores = np.vstack([self.scores[:, some], scores])
         if len(scores) > 4 * self.k:
             near = np.argpartition(-scores, self.k - 1, axis=0)[: self.k]
             least = np.take_along_axis(scores, near, 0).min(0)
@@ -66,7 +71,7 @@ class Best:
         order = np.argsort(ids, axis=0, kind="stable")
         ids, scores = np.take_along_axis(ids, order, 0), np.take_along_axis(scores, order, 0)
         order = np.argsort(-scores, axis=0, kind="stable")[: self.k]
-        self.ids, self.scores = np.take_along_axis(ids, order, 0), np.take_along_axis(scores, order, 0)
+        self.ids[:, some], self.scores[:, some] = np.take_along_axis(ids, order, 0), np.take_along_axis(scores, order, 0)
 
     def rows(self, questions: np.ndarray) -> pa.RecordBatch:
         at, q = np.nonzero(np.isfinite(self.scores))
@@ -222,12 +227,14 @@ def lexical_search(chunks: DataFrame, questions: DataFrame, k: int = POOL, block
             parts = [_Scorer([(r["question_id"], understood(r["question"] or "", r["terms"] or [])) for r in rows[at : at + WIDE]], k) for at in range(0, len(rows), WIDE)]
             vocabulary = {s for part in parts for s in part.names}
             names = {s: n for n, s in enumerate(sorted(vocabulary))}
+            for part in parts:
+                part.bind(names)
             for batch in batches:
                 for at in range(0, len(batch), TALL):
                     ids, text = (batch.column(c).slice(at, TALL) for c in (0, 1))
                     found = _positions(text, names)
                     for part in parts:
-                        part.add(ids.to_numpy(zero_copy_only=False), *found, names)
+                        part.add(ids.to_numpy(zero_copy_only=False), *found)
             for part in parts:
                 yield part.best.rows(part.ids)
 
@@ -253,60 +260,83 @@ def _positions(texts: pa.Array, names: dict[str, int]) -> tuple[np.ndarray, np.n
 
 
 class _Scorer:
-    """Scores chunks against some questions and keeps the best."""
+    """Scores chunks against some questions and keeps the best.
+
+    Single words and plain alternatives are counted by products of matrices. Whether a chunk matches strictly
+    is asked only where twice its score would be among the best so far; there is no other way up.
+    """
 
     def __init__(self, questions: list[tuple[int, Asked]], k: int):
         self.ids = np.array([q for q, _ in questions], np.int64)
         self.asked, self.best = [a for _, a in questions], Best(len(questions), k)
         self.names = {s for a in self.asked for i in (*a.loose, *(i for g in a.strict for i in g)) for s, _ in i.stems}
-        # Single words are counted by a product of matrices, phrases and spans one by one.
-        self.single = [(s, q) for q, a in enumerate(self.asked) for s in {i.stems[0][0] for i in a.loose if len(i.stems) == 1}]
+        # Phrases and spans are counted one by one.
         self.phrases = [(q, i) for q, a in enumerate(self.asked) for i in a.loose if len(i.stems) > 1]
-        # A chunk that has all stems of an alternative may match it; of most that is all there is to it.
-        self.groups = [(q, g) for q, a in enumerate(self.asked) for g in a.strict]
-        self.needs = [{s for i in g if not i.without for s, _ in i.stems} for _, g in self.groups]
-        self.plain = [all(len(i.stems) == 1 and not i.without for i in g) for _, g in self.groups]
-
-    def add(self, ids: np.ndarray, chunk: np.ndarray, number: np.ndarray, place: np.ndarray, names: dict[str, int]) -> None:
+        self.spanning = np.array([q for q, a in enumerate(self.asked) if not a.loose], np.int64)
+        # A chunk that has all stems of an alternative may match it; of most, the only one of a question, that is all there is to it.
+        groups = [(q, g, {s for i in g if not i.without for s, _ in i.stems}) for q, a in enumerate(self.asked) for g in a.strict]
+        plain = [bool(self.asked[q].loose) and len(self.asked[q].strict) == 1 and all(len(i.stems) == 1 and not i.without for i in g) for q, g, _ in groups]
+        self.plain, self.others = ([x for x, p in zip(groups, plain) if p is kind] for kind in (True, False))
+
+    def bind(self, names: dict[str, int]) -> None:
+        """Number this scorer's stems, given the numbers of all."""
+        self.column = {s: n for n, s in enumerate(sorted(self.names))}
+        self.own = np.full(len(names), -1)
+        self.own[[names[s] for s in self.column]] = list(self.column.values())
+        self.asks = np.zeros((len(self.column), len(self.asked)), np.float32)
+        for q, a in enumerate(self.asked):
+            self.asks[[self.column[i.stems[0][0]] for i in a.loose if len(i.stems) == 1], q] = 1
+        self.needs = np.zeros((len(self.column), len(self.plain)), np.float32)
+        for n, (_, _, needs) in enumerate(self.plain):
+            self.needs[[self.column[s] for s in needs], n] = 1
+        self.plain_of = np.array([q for q, _, _ in self.plain], np.int64)
+
+    def add(self, ids: np.ndarray, chunk: np.ndarray, number: np.ndarray, place: np.ndarray) -> None:
         if not self.names:
             return
-        mine = np.array(sorted(names[s] for s in self.names))
-        at = np.minimum(np.searchsorted(mine, number), len(mine) - 1)
-        own = mine[at] == number
-        chunk, term, place = chunk[own], at[own], place[own]
-        column = {s: int(np.searchsorted(mine, names[s])) for s in self.names}
-        counts = np.zeros((len(ids), len(mine)), np.float32)
-        np.add.at(counts, (chunk, term), 1)
-        asks = np.zeros((len(mine), len(self.asked)), np.float32)
-        for s, q in self.single:
-            asks[column[s], q] = 1
-        scores = COVER * np.round(counts @ asks).astype(np.float64)
-        order = np.lexsort((place, term, chunk))
-        chunk, term, place = chunk[order], term[order], place[order]
-        code = chunk * len(mine) + term
+        width, term = len(self.column), self.own[number]
+        chunk, term, place = chunk[term >= 0], term[term >= 0], place[term >= 0]
+        code = chunk * width + term
+        counts = np.bincount(code, minlength=len(ids) * width).reshape(len(ids), width).astype(np.float32)
+        scores = COVER * np.round(counts @ self.asks).astype(np.float64)
+        order: list[np.ndarray] = []
 
         def held(c: int, stems: set[str]) -> dict[str, np.ndarray]:
-            ends = [np.searchsorted(code, c * len(mine) + column[s], side) for s in stems for side in ("left", "right")]
-            return {s: place[a:b] for s, a, b in zip(stems, ends[::2], ends[1::2])}
+            if not order:
+                by = np.lexsort((place, code))
+                order.extend((code[by], place[by]))
+            codes, places = order
+            ends = [np.searchsorted(codes, c * width + self.column[s], side) for s in stems for side in ("left", "right")]
+            return {s: places[a:b] for s, a, b in zip(stems, ends[::2], ends[1::2])}
+
+        def final(strictly: np.ndarray) -> np.ndarray:
+            found = np.round(np.where(strictly, STRICT, 1.0) * scores.astype(np.float32), 6)
+            return np.where(scores > 0, found, -np.inf)
 
         present = counts > 0
         for q, item in self.phrases:
             stems = {s for s, _ in item.stems}
-            for c in np.flatnonzero(present[:, [column[s] for s in stems]].all(1)).tolist():
+            for c in np.flatnonzero(present[:, [self.column[s] for s in stems]].all(1)).tolist():
                 scores[c, q] += COVER * len(_places(item, held(c, stems)))
+        may = self.best.reached(ids, final(np.True_)) & (scores > 0)
+        may[:, self.spanning] = True
         strictly = np.zeros(scores.shape, bool)
-        for (q, group), needs, plain in zip(self.groups, self.needs, self.plain):
-            fits = present[:, [column[s] for s in needs]].all(1)
-            spans = not self.asked[q].loose
-            if plain and not spans:
-                strictly[fits, q] = True
-                continue
+        some = np.flatnonzero(may[:, self.plain_of].any(0))
+        rows = np.flatnonzero(may[:, self.plain_of].any(1))
+        if len(some):
+            needs = self.needs[:, some]
+            strictly[rows[:, None], self.plain_of[some]] = present[rows].astype(np.float32) @ needs > needs.sum(0) - 0.5
+        for q, group, needs in self.others:
+            rows = np.flatnonzero(may[:, q])
             every = needs | {s for i in group for s, _ in i.stems}
-            for c in np.flatnonzero(fits).tolist():
+            for c in rows[present[np.ix_(rows, [self.column[s] for s in needs])].all(1)].tolist():
                 where = held(c, every)
                 if matches(group, where):
                     strictly[c, q] = True
-                    if spans:
+                    if not self.asked[q].loose:
                         scores[c, q] += covers(group, where)
-        scores = np.round(np.where(strictly, STRICT, 1.0) * scores.astype(np.float32), 6)
-        self.best.add(ids, np.where(scores > 0, scores, -np.inf))
+        scores = final(strictly)
+        better = self.best.reached(ids, scores) & (scores > 0)
+        rows, some = np.flatnonzero(better.any(1)), np.flatnonzero(better.any(0))
+        if len(some):
+            self.best.add(ids[rows], scores[np.ix_(rows, some)], some)

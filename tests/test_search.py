@@ -122,3 +122,16 @@ def test_vectors_that_take_no_part(spark):
     assert {q: [c for c, _ in own] for q, own in found.items()} == {1: [7, 6], 6: [1, 7], 7: [1, 6]}
     assert search.semantic_search(chunks.limit(0), chunks.withColumnRenamed("chunk_id", "question_id")).count() == 0
     assert search.lexical_search(chunks.select("chunk_id", F.lit("a b").alias("text")), chunks.select(F.col("chunk_id").alias("question_id"), F.lit("b").alias("question")).limit(0)).count() == 0
+
+
+def test_chunks_below_the_best_are_not_selected():
+    scorer = search._Scorer([(7, search.understood("payment notice", ["payment", "notice"]))], 1)
+    names = {s: n for n, s in enumerate(sorted(scorer.names))}
+    scorer.bind(names)
+    add = lambda ids, texts: scorer.add(search.np.array(ids), *search._positions(search.pa.array(texts), names))
+    add([5], ["payment notice payment"])
+    taken, scorer.best.add = [], lambda ids, *rest: taken.extend(ids.tolist())
+    add([6, 8, 9], ["payment", "notice of payment payment", "other"])
+    assert not taken
+    add([4, 10, 11], ["notice payment payment", "payment notice notice notice", "payment"])
+    assert taken == [4, 10]
